@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over documents, each on all that the one before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns documents; its result is written as
+Parquet in the shared folder and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import work_path
+from plumbline.llm.decontamination import decontaminate
+from plumbline.llm.importance_resampling import resampled
+from plumbline.llm.jaccard_join import jaccard_join
+from plumbline.llm.line_dedup import dedup_lines
+from plumbline.llm.packing import pack
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = resampled(docs, labels).where("selected").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that came before; those of which nothing is left go."""
+    left = dedup_lines(docs).select("doc_id", F.col("text").alias("new_text"), "n_deleted").dropDuplicates(["doc_id"])
+    rows = docs.join(left, "doc_id")
+    rows = rows.where("n_deleted = 0 or new_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    changed = F.col("n_deleted") > 0
+    return rows.withColumn("n_chars", F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(changed, F.col("new_text")).otherwise(F.col("text"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, a similarity of 0.8."""
+    first = jaccard_join(docs, k=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of any benchmark item of at least a window's words."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(docs, benchmark, least_items=1, least_words=8).where("contaminated").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: No SQL expresses tokenization, packing or the sampling; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = work_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -5,18 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm.classifier_chain import scored
+from plumbline.llm.decontamination import decontaminate
+from plumbline.llm.importance_resampling import resampled
 from plumbline.llm.jaccard_join import jaccard_join
+from plumbline.llm.kd_sharding import kd_shards, number, text_order
+from plumbline.llm.line_dedup import dedup_lines
+from plumbline.llm.packing import pack
+from plumbline.llm.quality_rules import judged
+from plumbline.llm.secret_scan import scanned
+from plumbline.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' categories, in the order of the chain: poor quality, then toxic."""
+    categories = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join,)}
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimensions = {"n_chars": number("n_chars"), "lang": text_order("lang"), "source": text_order("source"), "doc_id": number("doc_id")}
+    shards = kd_shards(table(spark, sf_dir, "documents"), 24, dimensions)
+    return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_classifier_chain,
+        op2_jaccard_join,
+        op3_best_two_fit,
+        op4_winnowing,
+        op5_importance_resampling,
+        op6_decision_list,
+        op7_kd_sharding,
+        op8_line_winnowing,
+        op9_markov_secrets,
+        op10_warc_segments,
+    )
+}
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {}

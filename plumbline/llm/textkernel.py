@@ -55,6 +55,13 @@ def alphanumeric() -> np.ndarray:
     return word
 
 
+def words_and_marks() -> np.ndarray:
+    """Two classes of tokens: runs of word characters (1), and of marks (2)."""
+    classes = space_separated().astype(np.uint8) * 2
+    classes[alphanumeric() | (np.arange(256) == 0x5F)] = 1
+    return classes
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -72,23 +79,19 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts: hashes, byte ranges, and first word of each text."""
+    """The words of a run of texts: hashes, byte ranges, and first word of each text.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool = True):
+    classes: for each byte 0 (no word's) or the class of words that it is of; a word is a run of one class.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool = True):
         n = len(data)
-        is_word = word_bytes[data]
-        before = np.empty(n, dtype=bool)
-        before[1:] = is_word[:-1]
-        edges = offsets[:-1][offsets[:-1] < n]
-        before[edges] = False
-        begin = np.flatnonzero(is_word & ~before)
-        after = np.empty(n, dtype=bool)
-        after[:-1] = is_word[1:]
-        if n:
-            after[-1] = False
-        last = offsets[1:][offsets[1:] > 0] - 1
-        after[last] = False
-        end = np.flatnonzero(is_word & ~after) + 1
+        of = classes[data]
+        edge = np.empty(n + 1, dtype=bool)
+        np.not_equal(of[1:], of[:-1], out=edge[1:-1])
+        edge[offsets] = edge[0] = edge[-1] = True
+        begin = np.flatnonzero(edge[:-1] & (of != 0))
+        end = np.flatnonzero(edge[1:] & (of != 0)) + 1
         sums = np.empty(n + 1, dtype=np.uint64)
         sums[0] = 0
         terms = _BYTE_TABLE[_LOWER[data] if lower else data]
@@ -96,9 +99,15 @@ class Words:
         np.cumsum(terms, out=sums[1:])
         self.hash = mix((sums[end] - sums[begin]) * _power(_INVERSE, n)[begin] + (end - begin).astype(np.uint64))
         self.begin, self.end = begin, end
+        self._sums = sums
         #: self.first[j] to self.first[j + 1]: the words of text j
         self.first = np.searchsorted(begin, offsets)
 
+    def prefix(self, n: int) -> np.ndarray:
+        """The hash of each word's first n bytes, or of all of a shorter one."""
+        end = np.minimum(self.begin + n, self.end)
+        return mix((self._sums[end] - self._sums[self.begin]) * _power(_INVERSE, len(self._sums))[self.begin])
+
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k words that begin at each word; those that leave their text mean nothing."""
         n = len(self.hash)
