@@ -53,7 +53,7 @@ from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 #: Frequent shingles that are told to all tasks, at most: 16 bytes each.
 MOST_FREQUENT = 500_000
 #: A shingle is noted as frequent when so many documents of one batch have it.
-NOTED = 4
+NOTED = 2
 #: Postings merged by a heap; longer merges count in an array.
 HEAP_MOST = 2_000
 #: Weight of a look-up against a merge step in DivideSkip's choice of L.
@@ -308,10 +308,10 @@ def jaccard_join(
 
     first = stored(texts.mapInArrow(_digests(k), "id long, n long, d1 long, d2 long, noted boolean"), "digests")
     sets = first.where("not noted").drop("noted")
-    noted = first.where("noted").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_FREQUENT).collect()
-    tokens = np.array([r["d1"] for r in noted], dtype=np.int64).view(np.uint64)
+    noted = first.where("noted").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_FREQUENT).toArrow()
+    tokens = noted["d1"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in noted], dtype=np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((tokens[order], noted["n"].to_numpy()[order]))
 
     same = stored(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = same.where(f"n >= {least_size(percent)} and rep is not null").select(F.col("rep").alias("id"), "copies")
