@@ -1,2 +1,266 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries of the screening engine, and DuckDB SQL for their results.
+
+The star schema's numeric fields are melted into cells (``plans.star``); the screens run over all of them at once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import tokens as T
+from plumbline.operators import audits, classify, context, dispose, evaluate, headers, images
+from plumbline.oracles import ORACLE_SQL
+from plumbline.plans.star import LINEITEM_ORDER, star_cells
+from plumbline.sources.melt import Melt, melt
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _brief(findings: DataFrame, **details: str) -> DataFrame:
+    """Findings with some of their details as columns: name='kind path'."""
+    more = [F.get_json_object("details", f"$.{v.split()[1]}").cast(v.split()[0]).alias(k) for k, v in details.items()]
+    return findings.select("table_name", F.col("column").alias("column_name"), "n", "score", "severity", *more)
+
+
+def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed cells, kept for the parts of a screen (and the screens) to share."""
+    return audits.numeric_cells(star_cells(spark, sf_dir)).persist()
+
+
+def last_digit(spark, sf_dir):
+    return _brief(audits.last_digit_distribution(_numeric(spark, sf_dir)), top_digit="string top_digit")
+
+
+def decimal_tail(spark, sf_dir):
+    return _brief(audits.decimal_tail_regularity(_numeric(spark, sf_dir)), top_tail="string top_tail", tidy="bigint tidy_tail_count")
+
+
+def duplicate_values(spark, sf_dir):
+    return _brief(audits.duplicate_values(_numeric(spark, sf_dir)), unique_n="bigint unique_n", repeated="bigint repeat_count")
+
+
+def arithmetic_sequence(spark, sf_dir):
+    return _brief(audits.arithmetic_sequence(_numeric(spark, sf_dir)), steps="bigint common_step_count")
+
+
+def benford(spark, sf_dir):
+    return _brief(audits.benford_first_digit(_numeric(spark, sf_dir)))
+
+
+def _pattern_cells(spark, sf_dir):
+    return melt(table(spark, sf_dir, "orders"), Melt("orders", 0, "o_orderkey", {"o_orderstatus": "text", "o_orderpriority": "text"}))
+
+
+def duplicate_rows(spark, sf_dir):
+    return _brief(audits.duplicate_rows(_pattern_cells(spark, sf_dir)), patterns="bigint patterns", repeated="bigint repeated_rows")
+
+
+def clone_vector(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").withColumn("key_copy", F.col("n_nationkey"))
+    cells = melt(nation, Melt("nation", 0, "n_nationkey", {"n_nationkey": "whole", "n_regionkey": "whole", "key_copy": "fixed"}))
+    return _brief(audits.clone_vector(audits.numeric_cells(cells)))
+
+
+def _volumes(spark, sf_dir):
+    """Boxes with a derived volume, wrong in some rows."""
+    volume = F.col("l_quantity") * F.col("l_linenumber") * F.col("l_linenumber") / 2 + F.when(F.col("l_orderkey") % 97 == 0, 15).otherwise(0)
+    made = table(spark, sf_dir, "lineitem").withColumns({"length_mm": F.col("l_quantity"), "width_mm": F.col("l_linenumber"), "volume_mm3": volume})
+    return melt(made, Melt("lineitem", 0, LINEITEM_ORDER, {"length_mm": "fixed", "width_mm": "whole", "volume_mm3": "fixed"}))
+
+
+def formula_check(spark, sf_dir):
+    return _brief(audits.formula_mismatch(_volumes(spark, sf_dir)), mismatches="bigint mismatch_count")
+
+
+def summary_math(spark, sf_dir):
+    by_supplier = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.stddev_samp("l_quantity").alias("sd"))
+    made = by_supplier.withColumn("sem", F.col("sd") / F.sqrt("n") + F.when(F.col("l_suppkey") % 10 == 0, 1).otherwise(0))
+    return _brief(audits.summary_math(melt(made, Melt("suppliers", 0, "l_suppkey", {"n": "whole", "sd": "fixed", "sem": "fixed"}))), mismatches="bigint mismatch_count")
+
+
+def classify_columns(spark, sf_dir):
+    out = classify.classify_columns(star_cells(spark, sf_dir))
+    return out.select("table_name", F.col("column").alias("column_name"), "numeric_n", "unique_n", "column_type", "applicability", "homepage_eligible", F.size("eligible_methods").cast("bigint").alias("n_methods"))
+
+
+def _screened(spark, sf_dir):
+    cells = star_cells(spark, sf_dir)
+    numeric = _numeric(spark, sf_dir)
+    parts = [f(numeric) for f in (audits.last_digit_distribution, audits.decimal_tail_regularity, audits.duplicate_values, audits.arithmetic_sequence, audits.benford_first_digit)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return dispose.with_order(found), classify.classify_columns(cells)
+
+
+def normalize(spark, sf_dir):
+    out = dispose.normalize(*_screened(spark, sf_dir))
+    return out.select("table_name", F.col("column").alias("column_name"), "method", "error_type", "column_type", "applicability", "disposition", "score", "n")
+
+
+def rank(spark, sf_dir):
+    out = dispose.rank_findings(*_screened(spark, sf_dir))
+    return out.select("table_name", F.col("column").alias("column_name"), "method", "severity", "rank_score")
+
+
+def assessment_summary(spark, sf_dir):
+    findings, classes = _screened(spark, sf_dir)
+    out = dispose.assessment_summary(findings, dispose.normalize(findings, classes), classes)
+    return out.select("high_confidence_count", "weak_anomaly_count", "not_applicable_count", "raw_statistical_hit_count", "auditable_column_count", "highest_observed_tier", "source_data_status")
+
+
+def _document_rows(spark, sf_dir):
+    """Documents as tables: a row per line, a cell per part between commas."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_index"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("row_i", "line"))
+    return rows.select("table_index", "row_i", F.split("line", ",", -1).alias("cells"))
+
+
+def header_detect(spark, sf_dir):
+    return headers.detect_headers(_document_rows(spark, sf_dir)).select(F.col("table_index").alias("doc_id"), F.col("header_i").cast("bigint").alias("header_i"))
+
+
+def column_names(spark, sf_dir):
+    """Names made of documents' first lines: blanks numbered, repeats suffixed."""
+    first = _document_rows(spark, sf_dir).where("row_i = 0").select("table_index", F.posexplode("cells").alias("col_i", "x"))
+    named = headers.unique_names(first.select("table_index", "col_i", T.clean_cell(F.col("x")).alias("label")))
+    return named.select(F.col("table_index").alias("doc_id"), F.col("col_i").cast("bigint").alias("col_i"), F.col("column").alias("column_name"))
+
+
+def article_title(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", context.title(F.coalesce("text", F.lit(""))).alias("title"))
+
+
+def page_title(spark, sf_dir):
+    """The text of pages, and the first line of it that can be a title."""
+    text = table(spark, sf_dir, "pages").withColumn("text", context.html_text("html"))
+    return text.select("page_id", context.title(F.col("text")).alias("title"), F.length("text").cast("bigint").alias("text_chars"))
+
+
+def source_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    spliced = F.concat(F.coalesce("html", F.lit("")), F.lit(' <a href="https://data.example.org/t'), F.col("page_id").cast("string"), F.lit('.xlsx">a</a> <a href=\'http://x.example.org/s.pdf\'>b</a>'))
+    return pages.select("page_id", F.array_join(context.source_links(spliced), " ").alias("links"))
+
+
+def _figure_names(spark, sf_dir):
+    name = F.concat(F.lit("Source Data "), F.when(F.col("p_partkey") % 3 == 0, "Extended Data ").otherwise(""), F.lit("Fig. "), F.col("p_size").cast("string"), F.chr(97 + F.col("p_partkey") % 5), F.when(F.col("p_partkey") % 2 == 0, " and b").otherwise(""))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("table_index"), F.lit("parts.xlsx").alias("source_path"), name.alias("table_name"))
+
+
+def figure_map(spark, sf_dir):
+    out = context.map_to_figures(_figure_names(spark, sf_dir))
+    return out.select(F.col("table_index").alias("p_partkey"), "figure_id", "figure_type", F.array_join("panels", ",").alias("panels"), "mapped")
+
+
+def _articles(spark, sf_dir):
+    """Documents with an article's sections spliced in: no table has any."""
+    d = table(spark, sf_dir, "documents")
+    n = (F.col("doc_id") % 7 + 1).cast("string")
+    text = F.concat_ws(
+        "\n", F.lit("Abstract"), F.substring("text", 1, 80), F.lit("Introduction"), F.concat(F.lit("Fig. "), n, F.lit(": Growth.")), F.lit("a, Cells. b, Controls."), F.concat(F.lit("Extended Data Fig. "), n, F.lit(": More.")), F.lit("c, Rates."),
+        F.lit("Data availability"), F.lit("All data are in the source tables."), F.lit("References"), F.lit("An Author Correction to this article was published on 3 May 2021"),
+    )
+    return d.select(F.col("doc_id").alias("article_id"), text.alias("text"))
+
+
+def captions(spark, sf_dir):
+    out = context.captions(_articles(spark, sf_dir))
+    return out.groupBy("figure_id", "figure_type").agg(F.count("*").alias("captions"), F.max(F.array_join("panels", ",")).alias("panels"))
+
+
+def notices(spark, sf_dir):
+    return context.notices(_articles(spark, sf_dir)).groupBy("kind", "text").agg(F.count("*").alias("articles"))
+
+
+def sections(spark, sf_dir):
+    a = _articles(spark, sf_dir)
+    return a.select(F.col("article_id").alias("doc_id"), context.section(F.col("text"), context.ABSTRACT).alias("abstract"), context.section(F.col("text"), context.AVAILABILITY).alias("data_availability"))
+
+
+def coverage_leads(spark, sf_dir):
+    some = context.map_to_figures(_figure_names(spark, sf_dir))
+    named = some.select("figure_id", F.lit("").alias("heading")).withColumn("figure_id", F.regexp_replace("figure_id", "(\\d+)$", "1$1")).distinct()
+    return context.coverage_leads(named, some).select("kind", "priority", "context_score", F.get_json_object("evidence", "$.figure_id").alias("figure_id"))
+
+
+def column_leads(spark, sf_dir):
+    cells = star_cells(spark, sf_dir)
+    mappings = cells.select("table_index").distinct().select("table_index", F.concat(F.lit("Fig."), F.col("table_index").cast("string")).alias("figure_id"), F.array().cast("array<string>").alias("panels"))
+    leads = context.column_leads(classify.classify_columns(cells, mappings))
+    return leads.select("kind", "priority", "context_score", F.get_json_object("evidence", "$.figure_id").alias("figure_id"))
+
+
+def label_leads(spark, sf_dir):
+    rows = audits.table_rows(_pattern_cells(spark, sf_dir))
+    none = rows.select("table_index").distinct().select("table_index", F.lit("").alias("figure_id"))
+    return context.label_leads(rows, none).select("kind", "priority", "context_score")
+
+
+def phash_pairs(spark, sf_dir, radius: int = 7):
+    """Pairs of vectors whose sign bits differ in at most ``radius`` places: pairs share one band at least of radius + 1 (pigeonhole), so no pair test is a cross join."""
+    e = table(spark, sf_dir, "embeddings")
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
+    hashed = e.select("vec_id", bits.alias("h"))
+    width = 64 // (radius + 1)
+    banded = hashed.select("vec_id", "h", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * width).bitwiseAND((1 << width) - 1).alias("part")) for b in range(radius + 1)])).alias("k")).select("vec_id", "h", "k.*")
+    other = banded.select(F.col("vec_id").alias("vec_b"), F.col("h").alias("h_b"), "band", "part")
+    near = banded.join(other, ["band", "part"]).where((F.col("vec_id") < F.col("vec_b")) & (images.hamming(F.col("h"), F.col("h_b")) <= radius))
+    return near.select(F.col("vec_id").alias("vec_a"), "vec_b", images.hamming(F.col("h"), F.col("h_b")).cast("bigint").alias("distance")).distinct()
+
+
+def cosine_to_label(spark, sf_dir):
+    """Each vector's cosine and correlation with its label's mean vector."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    both = e.join(F.broadcast(means), "label")  # a row per label, 64 numbers each
+    return both.select("vec_id", F.round(images.cosine(F.col("embedding"), F.col("mean")), 5).alias("cosine"), F.round(images.correlation(F.col("embedding"), F.col("mean")), 5).alias("ncc"))
+
+
+def risk_tiers(spark, sf_dir):
+    """Tiers of compared pairs whose metrics are made of line items."""
+    li = table(spark, sf_dir, "lineitem")
+    made = li.select(
+        F.col("l_orderkey").cast("string").alias("panel_id_a"), F.col("l_partkey").cast("string").alias("panel_id_b"),
+        (0.8 + F.col("l_discount") * 2).alias("ncc"), (0.8 + F.col("l_tax")).alias("ssim"), F.lit("normal").alias("orientation"), (0.7 + F.col("l_tax") * 3).alias("template_ncc"), F.lit("a_in_b").alias("template_direction"),
+        (F.col("l_linenumber") / 7).alias("overlap_ratio"), F.col("l_quantity").cast("int").alias("ransac_inliers"), (F.col("l_discount") * 6).alias("inlier_ratio"), F.lit("affine").alias("feature_transform"),
+    )
+    judged = images.pair_verdict(made).withColumn("risk_tier", images.risk_tier())
+    return judged.groupBy("match_type", "risk_tier").agg(F.count("*").alias("pairs"), F.max("score").alias("top_score"))
+
+
+def fixture_screen(spark, sf_dir):
+    """The synthetic table through all nine screens: findings with their dispositions."""
+    cells = evaluate.fixture_cells(spark)
+    out = dispose.normalize(audits.audit(cells), classify.classify_columns(cells))
+    return out.select(F.col("column").alias("column_name"), "method", "disposition", "score", "n", "normalized_rank")
+
+
+def score_oracle(spark, sf_dir):
+    cells = evaluate.fixture_cells(spark)
+    found = dispose.normalize(audits.audit(cells), classify.classify_columns(cells))
+    return evaluate.recovery(evaluate.score_oracle(found, evaluate.fixture_oracle(spark)), found)
+
+
+def score_labels(spark, sf_dir):
+    """Labels of a known case against leads that name figures."""
+    leads = context.ranked_leads(
+        _figure_names(spark, sf_dir).select(F.lit("named_table").alias("kind"), F.lit("Low").alias("priority"), F.lit(40.0).alias("context_score"), F.concat(F.lit("See "), F.col("table_name")).alias("summary"), F.lit("{}").alias("evidence"), F.lit("").alias("review_suggestion"))
+    )
+    oracle = spark.createDataFrame([("k1", "Fig. 2c", "duplication"), ("k2", "Extended Data Fig. 7k", "splicing"), ("k3", "Fig. 99a", "labels")], "id string, label string, problem_family string")
+    return evaluate.score_labels(leads, oracle).select("oracle_id", "label", "status")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        last_digit, decimal_tail, duplicate_values, arithmetic_sequence, benford, duplicate_rows, clone_vector, formula_check, summary_math, classify_columns, normalize, rank, assessment_summary,
+        header_detect, column_names, article_title, page_title, source_links, figure_map, captions, notices, sections, coverage_leads, column_leads, label_leads,
+        phash_pairs, cosine_to_label, risk_tiers, fixture_screen, score_oracle, score_labels,
+    )
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
