@@ -8,9 +8,9 @@ ordinary model's by ``threshold`` nats a character.
 
 Both models are trained from samples that the base patterns label: values of
 base spans are random strings (mixed with a uniform share, so that strings from
-other alphabets aren't punished); tokens of the same documents outside base spans are ordinary
+other alphabets aren't punished); tokens outside base spans that aren't themselves in question are ordinary
 identifiers. The sample is at most ``rows`` documents with base spans and as many
-without (the smallest hashes of the id); scanning covers all of every text.
+of all (the smallest hashes of the id among texts under 20,000 characters); scanning covers all of every text.
 
 Positions come from built-in functions alone: ``split`` and ``regexp_extract_all`` walk the
 same matches, so lengths of gaps and matches add up to places. Lengths are in code points. Nothing is
@@ -39,6 +39,8 @@ TOKEN = rf"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 ROWS = 2_000
 UNIFORM = 0.3
+#: Pairs that the single characters' distribution counts for.
+BACKOFF = 2.0
 
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -83,7 +85,7 @@ def trained(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col:
     marked = some.where(F.col(text_col).rlike(f"{HEX}|{ACCESS}|{ASSIGN}")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
     plain = some.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     values = with_base_spans(marked, id_col, text_col).select(F.lit(1).alias("random"), F.explode(F.transform("base", lambda b: b["v"])).alias("v"))
-    words = F.regexp_extract_all(F.regexp_replace(text_col, f"{HEX}|{ACCESS}|{ASSIGN}", " "), F.lit("[A-Za-z0-9_]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(F.regexp_replace(text_col, f"{TOKEN}|{HEX}|{ACCESS}|{ASSIGN}", " "), F.lit("[A-Za-z0-9_]{3,}"), F.lit(0))
     ordinary = plain.select(F.lit(0).alias("random"), F.explode(words).alias("v"))
     both = values.unionByName(ordinary).where(F.length("v") > 1)
     pairs = both.select("random", "v", F.explode(F.sequence(F.lit(1), F.length("v") - 1)).alias("i"))
@@ -92,10 +94,13 @@ def trained(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col:
     for r in pairs.collect():  # 2 * 63 * 63 rows at most
         counts[r["random"]][r["a"]][r["b"]] = r["n"]
     out = []
+    # Backed off to single characters: one that a class hardly has is unlikely after any other.
+    total = {k: sum(map(sum, c)) for k, c in counts.items()}
+    single = {k: [(sum(row[b] for row in c) + 0.5) / (total[k] + 0.5 * n) for b in range(n)] for k, c in counts.items()}
     for a in range(n):
         of = {k: sum(counts[k][a]) for k in counts}
         for b in range(n):
-            p = {k: (counts[k][a][b] + 0.5 / n) / (of[k] + 0.5) for k in counts}
+            p = {k: (counts[k][a][b] + BACKOFF * single[k][b]) / (of[k] + BACKOFF) for k in counts}
             out.append(math.log(((1 - UNIFORM) * p[1] + UNIFORM / n) / p[0]))
     return out
 
