@@ -94,7 +94,7 @@ def _screened(spark, sf_dir):
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return dispose.with_order(found), classify.classify_columns(cells)
+    return dispose.with_order(found).persist(), classify.classify_columns(cells).persist()  # both small, and used more than once
 
 
 def normalize(spark, sf_dir):
@@ -241,7 +241,7 @@ def fixture_screen(spark, sf_dir):
 
 def score_oracle(spark, sf_dir):
     cells = evaluate.fixture_cells(spark)
-    found = dispose.normalize(audits.audit(cells), classify.classify_columns(cells))
+    found = dispose.normalize(audits.audit(cells), classify.classify_columns(cells)).persist()
     return evaluate.recovery(evaluate.score_oracle(found, evaluate.fixture_oracle(spark)), found)
 
 
