@@ -23,29 +23,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that importance resampling selects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = resampled(docs, labels).where("selected").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(good.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that came before; those of which nothing is left go."""
-    left = dedup_lines(docs).select("doc_id", F.col("text").alias("new_text"), "n_deleted").dropDuplicates(["doc_id"])
-    rows = docs.join(left, "doc_id")
-    rows = rows.where("n_deleted = 0 or new_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    changed = F.col("n_deleted") > 0
-    return rows.withColumn("n_chars", F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(changed, F.col("new_text")).otherwise(F.col("text"))).select(*COLUMNS)
+    left = dedup_lines(docs, carry=["lang", "source", "n_chars"])
+    left = left.where("n_deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five-word shingles, a similarity of 0.8."""
     first = jaccard_join(docs, k=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item of at least a window's words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, benchmark, least_items=1, least_words=8).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

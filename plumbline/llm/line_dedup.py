@@ -20,6 +20,8 @@ The result has the id, the text that is left and counts; other columns are left
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,18 +76,21 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     return whole.groupBy("d", "t").agg(F.collect_set("at").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_lines, n_deleted, deleted) of every row: the text without its repeated runs."""
+def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, text, n_lines, n_deleted, deleted) of every row: the text without its repeated runs. Columns named in carry follow, as they are."""
     gone = stored(repeated_runs(docs, min_words, id_col, text_col), "deleted").withColumnRenamed("lines", "deleted")
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"))
+    carried = F.struct(F.lit(0).alias("_"), *carry)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), carried.alias("carried"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"))
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return rows.join(gone, ["d", "t"], "left").select(
+    # The plan is the same at any size: texts are dealt by id once, whatever the other side weighs.
+    return rows.join(gone.hint("merge"), ["d", "t"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("deleted").isNull(), F.col("text")).otherwise(left).alias(text_col),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("n_deleted"),
         F.coalesce(F.array_sort("deleted"), F.expr("cast(array() as array<int>)")).alias("deleted"),
+        *[F.col(f"carried.{c}").alias(c) for c in carry],
     )
