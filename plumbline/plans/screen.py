@@ -16,19 +16,22 @@ from plumbline.sources import files, tables
 
 
 def extract(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, statuses) of all files under root. Statuses are the files or arrays that gave no table, and why."""
-    rows = tables.numbered(tables.extract_rows(spark, files.inventory(spark, root)))
+    """(cells, statuses) of all files under root. Statuses are the files or arrays that gave no table, and why.
+
+    Files are read once: rows and cells are kept for the stages that follow.
+    """
+    rows = tables.numbered(tables.extract_rows(spark, files.inventory(spark, root))).persist()
     statuses = rows.where("status is not null").select("table_index", "source_path", "table_name", "source_confidence", "status", "message")
-    return headers.to_cells(rows), statuses
+    return headers.to_cells(rows).persist(), statuses
 
 
 def screen(cells: DataFrame, captions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything that the numeric branch makes of cells."""
     named = cells.select("table_index", "source_path", "table_name").distinct()
     mappings = context.map_to_figures(named, captions)
-    classes = classify.classify_columns(cells, mappings)
-    findings = dispose.with_order(audits.audit(cells))
-    normalized = dispose.normalize(findings, classes)
+    classes = classify.classify_columns(cells, mappings).persist()
+    findings = dispose.with_order(audits.audit(cells)).persist()
+    normalized = dispose.normalize(findings, classes).persist()
     leads = context.column_leads(classes).unionByName(context.label_leads(audits.table_rows(cells), mappings))
     if captions is not None:
         leads = leads.unionByName(context.coverage_leads(captions, mappings))

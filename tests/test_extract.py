@@ -50,7 +50,7 @@ def folder(tmp_path_factory):
 
 def test_inventory(spark, folder):
     got = {r.relative_path: r.kind for r in files.inventory(spark, folder).collect()}
-    assert len(got) == 16 and got["sub/l.points.csv"] == "chart_points" and got["a.csv"] == "table" and got["k.pdf"] == "pdf" and "n.doc" not in got
+    assert len(got) == 15 and got["sub/l.points.csv"] == "chart_points" and got["a.csv"] == "table" and got["k.pdf"] == "pdf" and "n.doc" not in got
     assert {r.kind: r.files for r in files.kind_counts(files.inventory(spark, folder)).collect()} == {"table": 5, "array": 6, "pdf": 1, "image": 2}
 
 
