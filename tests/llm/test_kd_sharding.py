@@ -43,7 +43,7 @@ def test_one_text_in_every_row(spark):
 
 def test_nulls_and_repeats_and_nothing(spark):
     assert shards(spark, empty(spark)) == []
-    rows = [(None, None, None, None, None), (1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (2, None, None, "s", float("nan"))]
+    rows = [(None, None, None, None, None), (1, "a", "en", "s", 1.0), (1, "a", "en", "s", 1.0), (2, None, None, "s", float("nan"))]
     got = shards(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars double"), 2)
     assert len(got) == 4 and len({(r.shard, r.slot) for r in got}) == 4
 
