@@ -68,12 +68,38 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("units"), F.size("h0") + F.col("shift")) - 1
     mine = F.slice("units", low + 1, high - low + 1)
     other = F.slice("h0", low - F.col("shift") + 1, high - low + 1)
-    equal = F.filter(F.zip_with(F.transform(mine, lambda u, k: F.struct(k.alias("k"), u.alias("u"))), other, lambda a, b: F.when(a["u"]["h"] == b, a)), lambda x: x.isNotNull())
-    matched = both.select("d", "t", "d0", "t0", "shift", F.explode(equal).alias("x")).select("d", "t", "d0", "t0", "shift", "x.k", "x.u.at", "x.u.w")
-    aligned = Window.partitionBy("d", "t", "d0", "t0", "shift")
-    runs = matched.withColumn("run", F.col("k") - F.row_number().over(aligned.orderBy("k")))
-    whole = runs.withColumn("words", F.sum("w").over(Window.partitionBy("d", "t", "d0", "t0", "shift", "run"))).where(F.col("words") >= min_words)
-    return whole.groupBy("d", "t").agg(F.collect_set("at").alias("lines"))
+    equal = F.filter(F.zip_with(F.transform(mine, lambda u, k: F.struct(k.alias("k"), u["w"].alias("w"), u["h"].alias("h"))), other, lambda a, b: F.when(a["h"] == b, a)), lambda x: x.isNotNull())
+    found = both.select("d", "t", F.explode(_runs(equal, min_words)).alias("r"), low.alias("low"))
+    spans = found.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct((F.col("low") + F.col("r.b")).alias("b"), (F.col("low") + F.col("r.e")).alias("e")))).alias("spans"))
+    at = F.flatten(F.transform(_merged("spans"), lambda r: F.transform(F.slice("units", r["b"] + 1, r["e"] - r["b"] + 1), lambda u: u["at"])))
+    return spans.join(units, ["d", "t"]).select("d", "t", at.alias("lines"))
+
+
+_SPANS = "cast(array() as array<struct<b:int,e:int>>)"
+
+
+def _runs(places: Column, min_words: int) -> Column:
+    """Stretches (b, e) of consecutive places (k, w) that have enough words."""
+    one = lambda acc: F.when(acc["w"] >= min_words, F.array_append(acc["out"], F.struct(acc["b"].alias("b"), acc["e"].alias("e")))).otherwise(acc["out"])
+    state = lambda b, e, w, out: F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"), w.cast("long").alias("w"), out.alias("out"))
+    return F.aggregate(
+        places,
+        state(F.lit(-2), F.lit(-2), F.lit(0), F.expr(_SPANS)),
+        lambda acc, x: F.when(x["k"] == acc["e"] + 1, state(acc["b"], x["k"], acc["w"] + x["w"], acc["out"])).otherwise(state(x["k"], x["k"], x["w"], one(acc))),
+        one,
+    )
+
+
+def _merged(spans: str) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+    state = lambda b, e, out: F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"), out.alias("out"))
+    closed = lambda acc: F.when(acc["b"] >= 0, F.array_append(acc["out"], F.struct(acc["b"].alias("b"), acc["e"].alias("e")))).otherwise(acc["out"])
+    return F.aggregate(
+        spans,
+        state(F.lit(-2), F.lit(-2), F.expr(_SPANS)),
+        lambda acc, x: F.when(x["b"] <= acc["e"] + 1, state(acc["b"], F.greatest(acc["e"], x["e"]), acc["out"])).otherwise(state(x["b"], x["e"], closed(acc))),
+        closed,
+    )
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
