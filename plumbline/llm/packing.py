@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import salted_rank, stored
 
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Rows that one task numbers within a length.
 RANKED_ROWS = 50_000
 _RANK_BITS = 44
@@ -44,7 +44,8 @@ class WordIds:
     This vocabulary's tokens never cross white space, so a text's ids are those of
     its words, in order; words come again, and their ids are remembered. Texts are
     cut at space and line feed only, and what else counts as white space stays
-    with the tokenizer.
+    with the tokenizer. New words of letters alone are encoded in one run: each ends with a
+    token that says so, and if as many do as there are words, the run is cut there.
     """
 
     _ending = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,])")
@@ -53,12 +54,28 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, bytes] = {b"": b""}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _together(self, words: list[bytes]) -> None:
+        ids = np.array(self.encode([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(words) and cut[-1] == len(ids):
+            raw = ids.tobytes()
+            at = (4 * cut).tolist()
+            self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *at], at)]))
+        else:
+            self._apart(words)
+
+    def _apart(self, words: list[bytes]) -> None:
+        for w, found in zip(words, self.encode([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {b"": b""}
         known, later, new = self.known, [], set()
         for w in words:
             if m := self._ending.fullmatch(w):  # the tokenizer parts a letter from a mark after it
@@ -66,28 +83,29 @@ class WordIds:
                 new.update(x for x in m.groups() if x not in known)
             else:
                 new.add(w)
-        order = list(new)
-        for at in range(0, len(order), 5_000):
-            part = order[at : at + 5_000]
-            for w, found in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, dtype="<u4").tobytes()
+        letters = [w for w in new if w.decode().isalpha()]
+        for at in range(0, len(letters), 1_000):
+            self._together(letters[at : at + 1_000])
+        self._apart([w for w in new if w not in known])
         for w, a, b in later:
             known[w] = known[a] + known[b]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        cut = []
         for text in texts:
             raw = (text or "").encode()
             if b"<|" not in raw:  # else a special token's name in capitals would become the token
                 raw = raw.lower()
-            words = raw.replace(b"\n", b" ").split(b" ")
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self.learn(set(words).difference(self.known))
-                known = self.known
-                if missing := set(words).difference(known):  # it had just forgotten
-                    self.learn(missing)
-                yield b"".join(map(self.known.__getitem__, words))
+            cut.append(raw.replace(b"\n", b" ").split(b" "))
+        every = set().union(*cut)
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, every
+        new.discard(b"")
+        self.known[b""] = b""
+        self.learn(new)
+        for words in cut:
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -102,7 +120,9 @@ def default_tokenizer() -> str:
 def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = path or default_tokenizer()
-        ids = _tokenizers.setdefault(place, None) or _tokenizers.__setitem__(place, WordIds(place)) or _tokenizers[place]
+        if place not in _tokenizers:
+            _tokenizers[place] = WordIds(place)
+        ids = _tokenizers[place]
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
