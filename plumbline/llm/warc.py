@@ -167,71 +167,83 @@ def _decoded(kind: str, block: bytes, said: str, total: str | None) -> tuple[byt
     return payload, None if not said or digest(payload) == said.removeprefix("sha1:") else "the payload doesn't have the digest said"
 
 
-_PARSED = "origin string, number int, total string, record_type string, uri string, said string, refers_to string, block binary, payload binary, error string, whole boolean"
+_PARSED = "origin string, number int, total string, record_type string, uri string, said string, refers_to string, block binary, payload binary, payload_bytes bigint, error string, whole boolean"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [pa.field(n, t) for n, t in zip(
-            ("origin", "number", "total", "record_type", "uri", "said", "refers_to", "block", "payload", "error", "whole"),
-            (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.bool_()), strict=True)]
-    )
-    for batch in batches:
-        for archive in batch.column(0):
-            out, held = [], 0
-            for f, block in parsed(archive.as_py()):
-                kind, number = f.get("warc-type", ""), f.get("warc-segment-number")
-                said, payload, error = f.get("warc-payload-digest", ""), b"", None
-                if number is None:
-                    payload, error = _decoded(kind, block, said, None)
-                origin = f.get("warc-segment-origin-id") if kind == "continuation" else f.get("warc-record-id")
-                out.append((origin, int(number or 1), f.get("warc-segment-total-length"), kind, f.get("warc-target-uri"), said, f.get("warc-refers-to"), block if number else None, payload, error, number is None))
-                held += len(block)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for origin, parts in zip(batch.column("origin").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            blocks: dict[int, list[bytes]] = {}
-            for p in parts:
-                blocks.setdefault(p["number"], []).append(p["block"])
-            first, last = parts[0], parts[-1]
-            # Pages that are there twice have every segment twice.
-            copies = len(blocks[first["number"]])
-            wrong = None
-            if first["record_type"] == "continuation":
-                wrong = "the first segment is missing"
-            elif list(blocks) != list(range(1, len(blocks) + 1)):
-                wrong = "a segment is missing"
-            elif any(x != [x[0]] * copies for x in blocks.values()):
-                wrong = "segments of one number differ"
-            elif last["total"] is None:
-                wrong = "the last segment is missing"
-            payload, error = (b"", wrong) if wrong else _decoded(first["record_type"], b"".join(x[0] for x in blocks.values()), first["said"], last["total"])
-            kind = "response" if first["record_type"] == "continuation" else first["record_type"]
-            out += [(origin, kind, first["uri"], first["said"], first["refers_to"], payload, error)] * (1 if wrong else copies)
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["origin", "record_type", "uri", "said", "refers_to", "payload", "error"])
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, uri, payload_digest, refers_to, payload, error) of every record or reassembled record."""
+def _parse(with_payload: bool):
+    names = ("origin", "number", "total", "record_type", "uri", "said", "refers_to", "block", "payload", "payload_bytes", "error", "whole")
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column(0):
+                out, held = [], 0
+                for f, block in parsed(archive.as_py()):
+                    kind, number = f.get("warc-type", ""), f.get("warc-segment-number")
+                    said, payload, error = f.get("warc-payload-digest", ""), None, None
+                    if number is None:
+                        payload, error = _decoded(kind, block, said, None)
+                    size = None if payload is None else len(payload)
+                    origin = f.get("warc-segment-origin-id") if kind == "continuation" else f.get("warc-record-id")
+                    kept = payload if with_payload else None
+                    out.append((origin, int(number or 1), f.get("warc-segment-total-length"), kind, f.get("warc-target-uri"), said, f.get("warc-refers-to"), block if number else None, kept, size, error, number is None))
+                    held += len(block)
+                    if held > 4 << 20:
+                        yield packed(out)
+                        out, held = [], 0
+                if out:
+                    yield packed(out)
+
+    return run
+
+
+def _joined(with_payload: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for origin, parts in zip(batch.column("origin").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                blocks: dict[int, list[bytes]] = {}
+                for p in parts:
+                    blocks.setdefault(p["number"], []).append(p["block"])
+                first, last = parts[0], parts[-1]
+                # Pages that are there twice have every segment twice.
+                copies = len(blocks[first["number"]])
+                wrong = None
+                if first["record_type"] == "continuation":
+                    wrong = "the first segment is missing"
+                elif list(blocks) != list(range(1, len(blocks) + 1)):
+                    wrong = "a segment is missing"
+                elif any(x != [x[0]] * copies for x in blocks.values()):
+                    wrong = "segments of one number differ"
+                elif last["total"] is None:
+                    wrong = "the last segment is missing"
+                payload, error = (b"", wrong) if wrong else _decoded(first["record_type"], b"".join(x[0] for x in blocks.values()), first["said"], last["total"])
+                kind = "response" if first["record_type"] == "continuation" else first["record_type"]
+                out += [(origin, kind, first["uri"], first["said"], first["refers_to"], payload if with_payload else None, len(payload), error)] * (1 if wrong else copies)
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "error"])
+
+    return run
+
+
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """(record_id, record_type, uri, payload_digest, refers_to, payload, payload_bytes, error) of every record or reassembled record.
+
+    Without payload that column is null, and only segments are kept between the two steps; all else is checked just the same.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = stored(files.mapInArrow(_parse, _PARSED), "records")
-    names = ["origin", "record_type", "uri", "said", "refers_to", "payload", "error"]
+    records = stored(files.mapInArrow(_parse(with_payload), _PARSED), "records")
+    names = ["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "error"]
     # A record's segments meet in one row: no more than that one page.
     parts = F.array_sort(F.collect_list(F.struct("number", "record_type", "uri", "said", "refers_to", "total", "block")))
     segments = records.where("not whole").groupBy("origin").agg(parts.alias("parts"))
-    schema = "origin string, record_type string, uri string, said string, refers_to string, payload binary, error string"
-    every = records.where("whole").select(*names).unionByName(segments.mapInArrow(_joined, schema))
-    return every.select(F.col("origin").alias("record_id"), "record_type", "uri", F.regexp_replace("said", "^sha1:", "").alias("payload_digest"), "refers_to", "payload", "error")
+    schema = "origin string, record_type string, uri string, said string, refers_to string, payload binary, payload_bytes bigint, error string"
+    every = records.where("whole").select(*names).unionByName(segments.mapInArrow(_joined(with_payload), schema))
+    return every.select(F.col("origin").alias("record_id"), "record_type", "uri", F.regexp_replace("said", "^sha1:", "").alias("payload_digest"), "refers_to", "payload", "payload_bytes", "error")
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -240,8 +252,8 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int
     path = work_path(spark, "warc")
     write_warc(pages, path, min_revisit_bytes, segment_bytes)
     number = lambda c: F.when(F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1) != "", F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1)).cast("long")
-    records = read_warc(spark, path).select(
-        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("own_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error"
+    records = read_warc(spark, path, with_payload=False).select(
+        number("record_id").alias("page_id"), F.col("payload_bytes").alias("own_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error"
     )
     records = stored(records, "pages")
     # A revisit has no payload of its own: its size is the response's.
