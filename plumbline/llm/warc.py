@@ -6,7 +6,7 @@ and continuation records (WARC/1.1, segmentation), each of which may lie in any
 Of pages with equal payloads the one of the largest id is the response, the
 others are revisits of it. Archives are files of Spark's text sink: records are
 valid UTF-8 (segments end between characters), so archives can be written to and read from any
-store that Spark reaches. A file holds at most ``FILE_RECORDS`` records, and so has a bounded size.
+store that Spark reaches; each file is compressed as a whole (gzip), and plain ones are read as well. A file holds at most ``FILE_RECORDS`` records, and so has a bounded size.
 
 Reading. Records are parsed from whole archives. Continuation records are grouped by
 the id of their origin record, put in the order of their segment numbers, and checked
@@ -23,6 +23,7 @@ are left out; an empty table makes empty archives.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -130,7 +131,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_
     first = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.col("page_id").eqNullSafe(F.col("refers_to"))
     typed = rows.join(first, "sha", "left").withColumn("revisit", F.col("refers_to").isNotNull() & ~same & (F.col("bytes") >= min_revisit_bytes))
-    typed.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_written(segment_bytes), "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    typed.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_written(segment_bytes), "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,7 +182,8 @@ def _parse(with_payload: bool):
         for batch in batches:
             for archive in batch.column(0):
                 out, held = [], 0
-                for f, block in parsed(archive.as_py()):
+                raw = archive.as_py()
+                for f, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind, number = f.get("warc-type", ""), f.get("warc-segment-number")
                     said, payload, error = f.get("warc-payload-digest", ""), None, None
                     if number is None:
