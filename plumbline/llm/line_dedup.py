@@ -1,16 +1,16 @@
 """Line dedup by winnowing: delete runs of lines that came before, here or in an earlier document.
 
 A unit is a line with at least one word. From every unit a window reaches over as
-few units as have ``min_words`` words, and the smallest line hash in it is a
-fingerprint. Two equal runs of lines with ``min_words`` words or more hold a common
-window, and so leave a common fingerprint: each such run is found.
+few units as have ``min_words`` words, and from every unit one reaches back likewise.
+A fingerprint is the hash of all line hashes of a window: windows of one fingerprint are
+equal throughout, whatever surrounds them.
 
-Each fingerprint is joined with its first place only, the smallest (id, line), so a line that a third of
-all documents have gives one row for each of them. A joined place proposes an
-alignment of two documents; their units are compared at this shift, which
-extends the match both ways, and equal stretches of ``min_words`` words or more are
-deleted from the later document. What is deleted equals earlier lines, and the
-first of them stay, so nothing disappears altogether.
+Each fingerprint is joined with its first place only, the smallest (id, line), so a passage that a third of
+all documents have gives one row for each of them. All windows at other places are deleted: the windows within
+a run of ``min_words`` words or more cover it (a unit that neither the first one forward nor the last one
+back reaches begins one itself), so each run that equals one that begins earlier goes, wherever
+its first copy is. What is deleted equals earlier lines, and the first of them stay, so
+nothing disappears altogether.
 
 Only built-in column functions are used. A null text stays null, and a text
 without such runs stays as it is. If all lines go, the text is empty. Rows of one id and
@@ -50,27 +50,18 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     )
     rows = units.select("d", "t", F.posexplode("units").alias("i", "u")).select("d", "t", "i", "u.h", "u.w")
     of_doc = Window.partitionBy("d", "t")
-    placed = rows.withColumn("begin", F.sum("w").over(of_doc.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
-    placed = placed.withColumn("ahead", F.sum("w").over(of_doc) - F.col("begin"))
-    window = of_doc.orderBy("begin").rangeBetween(0, min_words - 1)
-    chosen = placed.withColumn("p", F.min(F.struct("h", (-F.col("i")).alias("back"))).over(window)).where(F.col("ahead") >= min_words)
-    prints = stored(chosen.select("d", "t", F.col("p.h").alias("h"), (-F.col("p.back")).alias("i")).distinct(), "prints")
-
-    first = prints.groupBy("h").agg(F.min(F.struct("d", "t", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.i").alias("i0"))
-    shifts = (
-        prints.join(first, "h")
-        .where("not (d = d0 and t = t0 and i = i0)")
-        .select("d", "t", "d0", "t0", (F.col("i") - F.col("i0")).alias("shift"))
-        .distinct()
-    )
-    theirs = units.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.transform("units", lambda u: u["h"]).alias("h0"))
-    both = shifts.join(units, ["d", "t"]).join(theirs, ["d0", "t0"])
-    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("units"), F.size("h0") + F.col("shift")) - 1
-    mine = F.slice("units", low + 1, high - low + 1)
-    other = F.slice("h0", low - F.col("shift") + 1, high - low + 1)
-    equal = F.filter(F.zip_with(F.transform(mine, lambda u, k: F.struct(k.alias("k"), u["w"].alias("w"), u["h"].alias("h"))), other, lambda a, b: F.when(a["h"] == b, a)), lambda x: x.isNotNull())
-    found = both.select("d", "t", F.explode(_runs(equal, min_words)).alias("r"), low.alias("low"))
-    spans = found.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct((F.col("low") + F.col("r.b")).alias("b"), (F.col("low") + F.col("r.e")).alias("e")))).alias("spans"))
+    placed = rows.withColumn("end", F.sum("w").over(of_doc.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = placed.withColumn("begin", F.col("end") - F.col("w")).withColumn("ahead", F.sum("w").over(of_doc) - F.col("begin"))
+    ahead, back = of_doc.orderBy("begin").rangeBetween(0, min_words - 1), of_doc.orderBy("end").rangeBetween(1 - min_words, 0)
+    placed = placed.withColumn("on", F.collect_list("h").over(ahead)).withColumn("off", F.collect_list("h").over(back)).withColumn("behind", F.sum("w").over(back))
+    on = F.when(F.col("ahead") >= min_words, F.struct("i", F.size("on").alias("n"), *_key("on")))
+    # A window back that is no longer without its last unit is also a window ahead.
+    off = F.when(F.col("behind") - F.col("w") >= min_words, F.struct((F.col("i") - F.size("off") + 1).alias("i"), F.size("off").alias("n"), *_key("off")))
+    prints = stored(placed.select("d", "t", F.explode(F.array_compact(F.array(on, off))).alias("p")).select("d", "t", "p.*"), "prints")
+
+    first = prints.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "i")).alias("f"), F.count("*").alias("n0")).where("n0 > 1").select("h", "h2", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.i").alias("i0"))
+    later = prints.join(first, ["h", "h2"]).where("not (d = d0 and t = t0 and i = i0)")
+    spans = later.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("b"), (F.col("i") + F.col("n") - 1).alias("e")))).alias("spans"))
     at = F.flatten(F.transform(_merged("spans"), lambda r: F.transform(F.slice("units", r["b"] + 1, r["e"] - r["b"] + 1), lambda u: u["at"])))
     return spans.join(units, ["d", "t"]).select("d", "t", at.alias("lines"))
 
@@ -78,16 +69,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 _SPANS = "cast(array() as array<struct<b:int,e:int>>)"
 
 
-def _runs(places: Column, min_words: int) -> Column:
-    """Stretches (b, e) of consecutive places (k, w) that have enough words."""
-    one = lambda acc: F.when(acc["w"] >= min_words, F.array_append(acc["out"], F.struct(acc["b"].alias("b"), acc["e"].alias("e")))).otherwise(acc["out"])
-    state = lambda b, e, w, out: F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"), w.cast("long").alias("w"), out.alias("out"))
-    return F.aggregate(
-        places,
-        state(F.lit(-2), F.lit(-2), F.lit(0), F.expr(_SPANS)),
-        lambda acc, x: F.when(x["k"] == acc["e"] + 1, state(acc["b"], x["k"], acc["w"] + x["w"], acc["out"])).otherwise(state(x["k"], x["k"], x["w"], one(acc))),
-        one,
-    )
+def _key(hashes: str) -> list[Column]:
+    """What windows are told by: two hashes of their line hashes."""
+    return [F.xxhash64(hashes).alias("h"), F.hash(hashes).alias("h2")]
 
 
 def _merged(spans: str) -> Column:

@@ -53,3 +53,30 @@ def test_repeated_rows_and_nothing(spark):
     assert dedup_lines(empty(spark)).collect() == []
     docs = spark.createDataFrame([(1, "a b c d e\nf")] * 2 + [(2, "a b c d e")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_deleted) for r in dedup_lines(docs, 5).collect()) == [(1, 0), (1, 0), (2, 1)]
+
+
+def test_a_stock_line_hides_no_run(spark):
+    """Every line of the runs is in document 0 in other surroundings: whichever is a window's minimum, its first place isn't the runs'."""
+    run = [f"line {x} of the passage" for x in "abcdefg"]
+    rows = [(0, "\n".join(f"{x}\nother {i}" for i, x in enumerate(run)))]
+    rows += [(7, "\n".join(["start"] + run)), (8, "\n".join(run + ["end"]))]
+    rows += [(9, "\n".join(run[:2] + ["mid"] + run[2:] + ["mid"] + run))]
+    got = {r.doc_id: r.deleted for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert got == {0: [], 7: [], 8: list(range(7)), 9: [3, 4, 5, 6, 7, *range(9, 16)]}
+
+
+def test_a_run_goes_to_its_end_though_its_first_window_is_older_and_ends_sooner(spark):
+    rows = [(0, "a b c d e\nx"), (7, "q\na b c d e\nf"), (8, "r\na b c d e\nf"), (9, "f\na b c d e\ns")]
+    got = {r.doc_id: r.deleted for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {0: [], 7: [1], 8: [1, 2], 9: [1]}
+
+
+def test_texts_of_few_different_lines(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        stock = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(6)] + ["", " \t"]
+        found = ["\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
+        got = {r.doc_id: set(r.deleted) for r in dedup_lines(documents(spark, found), 12).collect()}
+        assert got == brute(list(enumerate(found)), 12), seed
