@@ -156,12 +156,12 @@ def figure_map(spark, sf_dir):
     return out.select(F.col("table_index").alias("p_partkey"), "figure_id", "figure_type", F.array_join("panels", ",").alias("panels"), "mapped")
 
 
-def _articles(spark, sf_dir):
-    """Documents with an article's sections spliced in: no table has any."""
+def _articles(spark, sf_dir, body=None):
+    """Documents with an article's sections spliced in: no table has any. body: what stands as the abstract, the whole text unless given."""
     d = table(spark, sf_dir, "documents")
     n = (F.col("doc_id") % 7 + 1).cast("string")
     text = F.concat_ws(
-        "\n", F.lit("Abstract"), F.substring("text", 1, 80), F.lit("Introduction"), F.concat(F.lit("Fig. "), n, F.lit(": Growth.")), F.lit("a, Cells. b, Controls."), F.concat(F.lit("Extended Data Fig. "), n, F.lit(": More.")), F.lit("c, Rates."),
+        "\n", F.lit("Abstract"), F.coalesce("text", F.lit("")) if body is None else body, F.lit("Introduction"), F.concat(F.lit("Fig. "), n, F.lit(": Growth.")), F.lit("a, Cells. b, Controls."), F.concat(F.lit("Extended Data Fig. "), n, F.lit(": More.")), F.lit("c, Rates."),
         F.lit("Data availability"), F.lit("All data are in the source tables."), F.lit("References"), F.lit("An Author Correction to this article was published on 3 May 2021"),
     )
     return d.select(F.col("doc_id").alias("article_id"), text.alias("text"))
@@ -177,7 +177,8 @@ def notices(spark, sf_dir):
 
 
 def sections(spark, sf_dir):
-    a = _articles(spark, sf_dir)
+    """The abstract is the first 80 characters only: so its SQL has it."""
+    a = _articles(spark, sf_dir, F.substring("text", 1, 80))
     return a.select(F.col("article_id").alias("doc_id"), context.section(F.col("text"), context.ABSTRACT).alias("abstract"), context.section(F.col("text"), context.AVAILABILITY).alias("data_availability"))
 
 

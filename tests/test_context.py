@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from plumbline import queries as Q
 from plumbline.operators import context as C
 from plumbline.operators import evaluate
 
@@ -77,3 +78,13 @@ def test_label_leads(spark):
     maps = spark.createDataFrame([(0, "Fig.1")], "table_index int, figure_id string")
     got = C.label_leads(rows, maps).collect()
     assert len(got) == 1 and got[0].context_score == 50.0 and got[0].priority == "Medium"
+
+
+def test_captions_and_notices_read_the_whole_text(spark, tmp_path):
+    long = "Some words that fill a line.\n" * 400
+    text = long + "Fig. 9: Late.\na, One. d, Two.\nMethods\nwere used.\nAn Author Correction to this article was published on 4 June 2022\nend"
+    spark.createDataFrame([(0, text), (1, long), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.figure_id, r.captions, r.panels) for r in Q.captions(spark, str(tmp_path)).collect()}
+    assert got == {("Fig.9", 1, "a,d")} | {(f"{x}Fig.{n}", 1, p) for n in (1, 2, 3) for x, p in (("", "a,b"), ("ED ", "c"))}
+    found = {r.text: r.articles for r in Q.notices(spark, str(tmp_path)).collect()}
+    assert found == {f"An Author Correction to this article was published on {x}": n for x, n in (("3 May 2021", 3), ("4 June 2022", 1))}
