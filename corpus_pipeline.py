@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents; its result is written as
 Parquet in the shared folder and read again as the next one's documents.
+
+Stages decide by row: a null id is an id like others, the smallest, and rows of one id may have
+different texts. Rows of one id and text are decided alike, and of them one goes beyond the n-gram Jaccard join
+(all do if they have no shingle).
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import work_path
+from plumbline.llm.common import stored, work_path
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.importance_resampling import resampled
 from plumbline.llm.jaccard_join import jaccard_join
@@ -19,11 +23,21 @@ from plumbline.llm.packing import pack
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """Documents with the hash of their text, t."""
+    return docs.withColumn("t", F.xxhash64("text"))
+
+
+def _joined(docs: DataFrame, told: DataFrame, how: str) -> DataFrame:
+    """Documents whose id and hash of the text are (left_semi) or are not (left_anti) in told(doc_id, t)."""
+    told = told.select(F.col("doc_id").alias("told_id"), F.col("t").alias("told_t")).distinct()
+    return docs.join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.xxhash64("text") == F.col("told_t")), how).select(*COLUMNS)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling selects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = resampled(docs, labels).where("selected").select("doc_id").distinct()
-    return docs.join(good.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    return _joined(docs, resampled(_told(docs), labels, carry=["t"]).where("selected"), "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +48,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five-word shingles, a similarity of 0.8."""
-    first = jaccard_join(docs, k=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document, that of the smallest id, of each class of near duplicates: five-word shingles, a similarity of 0.8.
+
+    Rows are numbered for the join, as ids may be null or repeated.
+    """
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "numbered")
+    place = numbered.select("row", F.struct("doc_id", F.xxhash64(*COLUMNS).alias("h"), F.col("row").alias("first")).alias("place"))
+    classes = jaccard_join(numbered, k=5, percent=80, id_col="row").select("row", "component_id")
+    first = classes.join(place.hint("merge"), "row").groupBy("component_id").agg(F.min("place").alias("p")).select(F.col("p.first").alias("row"))
+    return numbered.join(first.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item of at least a window's words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, benchmark, least_items=1, least_words=8).where("contaminated").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate(_told(docs), benchmark, least_items=1, least_words=8, carry=["t"])
+    return _joined(docs, found.where("contaminated"), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ item. Every row of the documents gives a row, repeated ones too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -159,17 +159,17 @@ def _matched(blocks: list):
                     spans.append([{"begin": b, "end": e} for b, e in merged])
                     names.append(sorted({x[2] for x in found.get(j, ())}))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words.astype(np.int64)), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
+                    [part.column(0), pa.array(n_words.astype(np.int64)), pa.array(spans, span), pa.array(names, pa.list_(pa.string())), *part.columns[2:]],
+                    names=["id", "n_words", "spans", "items", *part.schema.names[2:]],
                 )
 
     return run
 
 
 def matched(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, gram: int = 5, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, gram: int = 5, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(id, n_words, spans, items) of every document. least_words: items with fewer words are left out."""
+    """(id, n_words, spans, items) of every document. least_words: items with fewer words are left out. Columns named in carry follow as carried_<name>."""
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
     total = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -178,14 +178,14 @@ def matched(
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
         told.append(spark.sparkContext.broadcast(Items([tuple(r) for r in rows], window, gram, least_words)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_matched(told), "id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    return texts.mapInArrow(_matched(told), ", ".join(["id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>", *[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[2:]]]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, id_col: str = "doc_id", **options) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) of every document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, id_col: str = "doc_id", carry: Sequence[str] = (), **options) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) of every document. Columns named in carry follow, as they are."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["begin"]).cast("long"))
-    return matched(docs, benchmark, id_col=id_col, **options).select(
+    return matched(docs, benchmark, id_col=id_col, carry=carry, **options).select(
         F.col("id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
@@ -194,4 +194,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, i
         (F.size("items") >= least_items).alias("contaminated"),
         "spans",
         "items",
+        *[F.col(f"carried_{c}").alias(c) for c in carry],
     )

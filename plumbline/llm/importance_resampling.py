@@ -20,12 +20,12 @@ The noise is a hash of the id, so a lost task gives the same keys again.
 A null or empty text has importance 1. Rows with a null id draw the noise of null;
 repeated rows have equal keys and are kept or rejected together. Labels of ids
 that aren't in the documents, and null labels, have no effect. Without any good
-label the ratio is 1 for all. Other columns are left out.
+label the ratio is 1 for all. Columns named in carry follow, as they are; others are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,15 +92,15 @@ def _weights(ratios):
                 each = np.concatenate([[0.0], np.cumsum(log_ratio[one] + np.where(inside, log_ratio[two], 0.0))])
                 out.append(each[words.first[1:]] - each[words.first[:-1]])
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["id", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *batch.columns[2:]], names=["id", "log_weight", *batch.schema.names[2:]])
 
     return run
 
 
 def resampled(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, target_rows: int = TARGET_ROWS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame, labels: DataFrame, k: int | None = None, target_rows: int = TARGET_ROWS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(id, log_weight, gumbel_key, selected) of every document."""
+    """(id, log_weight, gumbel_key, selected) of every document. Columns named in carry follow, as they are."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows).collect()
@@ -114,7 +114,8 @@ def resampled(
         expected = raw * (target.sum() / raw.sum())
         log_ratio = np.log((target + PRIOR) / (expected + PRIOR))
     ratios = spark.sparkContext.broadcast(log_ratio)
-    weighed = texts.mapInArrow(_weights(ratios), "id long, log_weight double")
+    both = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    weighed = both.mapInArrow(_weights(ratios), ", ".join(["id long, log_weight double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema[2:]]]))
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     weighed = stored(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
 
@@ -122,4 +123,4 @@ def resampled(
     k = min(rows, round(expected or 0) if k is None else k)
     key = F.floor((F.least(F.greatest(F.col("gumbel_key"), F.lit(-_KEY_SHIFT + 1.0)), F.lit(_KEY_SHIFT - 1.0)) + _KEY_SHIFT) * _KEY_SCALE).cast("long")
     cut = exact_cuts(weighed.select(F.lit(0).alias("node"), key.alias("key"), F.lit(1).alias("weight")), {0: rows - k}, _KEY_BITS, 12)[0] if rows else 0
-    return weighed.select(F.col("id").alias(id_col), "log_weight", "gumbel_key", (key >= F.lit(cut)).alias("selected"))
+    return weighed.select(F.col("id").alias(id_col), "log_weight", "gumbel_key", (key >= F.lit(cut)).alias("selected"), *[F.col(f"carried_{c}").alias(c) for c in carry])
