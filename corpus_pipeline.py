@@ -60,9 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of any benchmark item of at least a window's words."""
+    """Documents that hold no window of any benchmark item; an item of fewer words is one window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(_told(docs), benchmark, least_items=1, least_words=8, carry=["t"])
+    found = decontaminate(_told(docs), benchmark, least_items=1, carry=["t"])
     return _joined(docs, found.where("contaminated"), "left_anti")
 
 

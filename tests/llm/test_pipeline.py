@@ -75,3 +75,11 @@ def test_quality_is_decided_by_row(spark, tmp_path):
     want = sorted(((r.doc_id, r.text) for r in resampled(docs, labels, carry=["text"]).where("selected").collect()), key=repr)
     assert 0 < len(want) < len(rows)
     assert sorted(((r.doc_id, r.text) for r in P.quality_classifier(spark, docs, str(tmp_path)).collect()), key=repr) == want
+
+
+def test_short_items_of_the_benchmark_count(spark, tmp_path):
+    items = [("a", "five words are not many"), ("b", "this one has seven words in all")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["so: Five words, are not many!", "and this one has seven words in all of it", "five words are not quite many", "words in all", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.benchmark_decontamination(spark, docs, str(tmp_path)).collect()) == [2, 3, 4, 5]
