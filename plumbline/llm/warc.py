@@ -16,7 +16,8 @@ reason in ``error``, never dropped.
 
 Null HTML is an empty payload. A null URL is written as an empty one, control characters
 and spaces in a URL are percent-encoded. Pages that repeat the id and the payload of
-a response are responses too. Rows with a null id count as the smallest. Other columns
+a response are responses too. Rows with a null id count as the smallest. A record's id is made of the page's id and
+the payload's digest, so pages that share an id, or have none, stay apart. Other columns
 are left out; an empty table makes empty archives.
 """
 
@@ -38,6 +39,7 @@ CHUNK_BYTES = 8_192
 FILE_RECORDS = 500
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+_PAGE = r"^<urn:page:(-?\d+):[A-Z2-7]+>$"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -87,15 +89,18 @@ def _clean(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def record_id(page: object) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def record_id(page: object, said: str) -> str:
+    """Made of the page's id and its payload's digest: null and reused ids give no two payloads one record id."""
+    return f"<urn:page:{'' if page is None else page}:{said}>"
 
 
 def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, segment_bytes: int) -> Iterator[str]:
-    fields = [("WARC-Record-ID", record_id(page)), ("WARC-Target-URI", _clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    said = digest(payload)
+    name = record_id(page, said)
+    fields = [("WARC-Record-ID", name), ("WARC-Target-URI", _clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{said}")]
     kind = ("Content-Type", "application/http; msgtype=response")
     if revisit:
-        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)), kind], _HTTP + b"\r\n")
+        yield _record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, said)), kind], _HTTP + b"\r\n")
         return
     block = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment_bytes:
@@ -108,8 +113,8 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int
             yield _record([("WARC-Type", "response"), *fields, *number, kind], part)
         else:
             total = [("WARC-Segment-Total-Length", str(len(block)))] * (i == len(parts))
-            own = [("WARC-Record-ID", f"<urn:page:{'' if page is None else page}:{i}>"), ("WARC-Date", DATE)]
-            yield _record([("WARC-Type", "continuation"), *own, ("WARC-Segment-Origin-ID", record_id(page)), *number, *total], part)
+            own = [("WARC-Record-ID", f"{name[:-1]}:{i}>"), ("WARC-Date", DATE)]
+            yield _record([("WARC-Type", "continuation"), *own, ("WARC-Segment-Origin-ID", name), *number, *total], part)
 
 
 def _written(segment_bytes: int):
@@ -224,7 +229,7 @@ def _joined(with_payload: bool):
                     wrong = "the last segment is missing"
                 payload, error = (b"", wrong) if wrong else _decoded(first["record_type"], b"".join(x[0] for x in blocks.values()), first["said"], last["total"])
                 kind = "response" if first["record_type"] == "continuation" else first["record_type"]
-                out += [(origin, kind, first["uri"], first["said"], first["refers_to"], payload if with_payload else None, len(payload), error)] * (1 if wrong else copies)
+                out += [(origin, kind, p["uri"], p["said"], p["refers_to"], payload if with_payload else None, len(payload), error) for p in parts[: 1 if wrong else copies]]
             columns = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "error"])
@@ -253,13 +258,13 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write_warc(pages, path, min_revisit_bytes, segment_bytes)
-    number = lambda c: F.when(F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1) != "", F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1)).cast("long")
+    number = lambda c: F.when(F.regexp_extract(c, _PAGE, 1) != "", F.regexp_extract(c, _PAGE, 1)).cast("long")
     records = read_warc(spark, path, with_payload=False).select(
         number("record_id").alias("page_id"), F.col("payload_bytes").alias("own_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error"
     )
     records = stored(records, "pages")
     # A revisit has no payload of its own: its size is the response's.
-    full = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("own_bytes").alias("full_bytes"))
-    return records.join(full, "refers_to", "left").select(
+    full = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("full_bytes"))
+    return records.join(full, ["refers_to", "payload_digest"], "left").select(
         "page_id", F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "error"
     )

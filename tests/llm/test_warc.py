@@ -37,6 +37,18 @@ def test_repeated_rows_and_null_ids_and_nothing(spark):
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_null_and_reused_ids_of_long_pages(spark, tmp_path):
+    rows = [(None, "u0", "a" * 300), (None, "u1", "b" * 400), (7, "u2", "c" * 350), (7, "u3", "d" * 500), (7, "u4", "d" * 500), (3, "u5", "c" * 350), (-2, "u6", "d" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = W.round_trip(pages, segment_bytes=100).collect()
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    want = [(i, len(h), digest(h), "response", None, None) for i, _, h in rows[:5]] + [(i, len(h), digest(h), "revisit", 7, None) for i, _, h in rows[5:]]
+    assert sorted((tuple(r[c] for c in names) for r in got), key=repr) == sorted(want, key=repr)
+    W.write_warc(pages, str(tmp_path / "w"), segment_bytes=100)
+    read = W.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.uri, bytes(r.payload).decode()) for r in read) == [(u, h if i in (None, 7) else "") for i, u, h in rows]
+
+
 def test_damage_is_reported(spark, tmp_path):
     page = next(iter([list(W.records_of(5, "u", b"q" * 500, None, False, 100))]))
     for name, records, wrong in (
