@@ -17,7 +17,8 @@ How the work is split
     (frequent ones, as counted in all batches of the first pass, last; ties by
     hash), and only this head of each document is posted.
 3.  Short posted lists (up to ``short_list`` documents) are merged: pairs on
-    them count their common lists, and those under ``extra + 1`` go. Longer ones
+    them count their common lists, and those under ``extra + 1``, or under the T of the larger set
+    where that is less, go. Longer ones
     link each of their documents with the smallest: no list gives more rows
     than it has documents times ``short_list``.
 4.  The components of these candidates are blocks: all links lie within blocks. Each
@@ -330,8 +331,8 @@ def jaccard_join(
         one.join(two, "token")
         .where((F.col("id") < F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
         .groupBy("id", "id2")
-        .agg(F.count("*").alias("common"))
-        .where(F.col("common") > extra)
+        .agg(F.count("*").alias("common"), F.max(F.greatest("n", "n2")).alias("larger"))
+        .where(f"common >= least({extra} + 1, ({percent} * larger + 99) div 100)")
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
     )
     blocks = stored(components(stars.unionByName(pairs)), "blocks")

@@ -47,6 +47,17 @@ def test_long_lists_and_split_blocks(spark):
     assert sorted(map(tuple, got)) == brute(found, 3, 80)
 
 
+def test_small_sets_at_low_similarities(spark):
+    """Linked sets that overlap in one or two shingles only."""
+    found = [" ".join(sorted(x)) for n in (1, 2, 3, 4) for x in combinations("abcdef", n)]
+    found = found[::3] + ["p q", "p q r", "s t", "t u v w"]
+    for percent in (34, 60, 66):
+        got = J.jaccard_join(documents(spark, found), 1, percent).collect()
+        assert sorted(map(tuple, got)) == brute(found, 1, percent)
+    pair = J.jaccard_join(documents(spark, ["p q", "p q r"]), 1, 60).collect()
+    assert sorted(map(tuple, pair)) == [(0, 2, 0, 1), (1, 3, 0, 1)]
+
+
 def test_empty_and_repeated_and_null_ids(spark):
     assert J.jaccard_join(empty(spark), 3, 90).collect() == []
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (2, "z")]
