@@ -20,7 +20,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_NUMBER = r"(?U)\A[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?\z"
+NUMBER = r"(?U)\A[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?\z"
 
 
 def stripped(text: Column) -> Column:
@@ -37,7 +37,7 @@ def numeric_token(text: Column) -> Column:
     """The number as printed, without commas and a closing per cent sign; null if it isn't one."""
     bare = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), ",", "")
     bare = stripped(F.when(bare.endswith("%"), bare.substr(F.lit(1), F.length(bare) - 1)).otherwise(bare))
-    return F.when(bare.rlike(_NUMBER), bare)
+    return F.when(bare.rlike(NUMBER), bare)
 
 
 def value(token: Column) -> Column:

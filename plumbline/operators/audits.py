@@ -1,8 +1,12 @@
 """Nine numeric screens. Each audits all columns of all tables in one job: cells in, findings out.
 
-Grouping is by table and column (and value, digit or tail), so partial sums
-are made before each shuffle, and a column that a third of all cells belong to
-costs no task of its own. Row order matters to two screens only; see ``lagged``.
+The five screens of single columns share their work. One grouping counts, for each column, how often
+each last digit, decimal tail, precision, value, step and first digit occurs (partial sums
+before the shuffle, so a column that a third of all cells belong to costs no task of its own); a second one makes a
+row of statistics for each column, and the hits follow from it. Only then are the first rows behind each hit looked
+up, for all screens in one join.
+
+Row order matters to one screen only; see ``lagged``.
 """
 
 from __future__ import annotations
@@ -15,11 +19,29 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import tokens as T
 from plumbline.model import COLUMN_KEY, TABLE_KEY
+from plumbline.sources.store import stored
 
-#: Values of one column that are put in order in one task.
-ORDERED_ROWS = 2_000_000
-#: Examples that a finding carries.
+#: Examples that a finding carries, and the columns beside them whose texts are shown as labels.
 EXAMPLES = 8
+LABELLED = 8
+#: Mismatches of a formula that a finding shows.
+MISMATCHES = 10
+
+COLUMN = ["table_index", "col_i"]
+#: What tells a hit: its table, method and columns; -1 stands for no column.
+HIT = ["table_index", "method", "col_i", "col_b"]
+#: Fields of a finding's details; those that a method doesn't have are left out of its JSON.
+DETAILS = {
+    "counts": "map<string,bigint>", "chi_square": "double", "p_approx": "double", "missing_digits": "array<string>", "top_digit": "string",
+    "top_tails": "map<string,bigint>", "tidy_tail_count": "bigint", "fixed_precision_fraction": "double", "top_tail": "string",
+    "total_unique_values": "bigint", "distinct_repeated_values": "bigint", "distinct_repeated_values_ge3": "bigint", "repeat_count": "bigint", "repeated_observation_fraction": "double",
+    "top_repeated_values": "array<struct<value:string,count:bigint,fraction:double>>", "common_step": "double", "common_step_count": "bigint", "diff_cv": "double",
+    "duplicate_row_patterns": "bigint", "repeat_rows": "bigint", "columns": "array<string>", "clone_type": "string", "formula": "string", "mismatch_count": "bigint",
+}
+EXAMPLE = {
+    "row_index": "bigint", "cell": "string", "column": "string", "value": "string", "values": "array<string>",
+    "expected_from_formula": "double", "formula": "string", "expected_sem": "double", "sd": "double", "n": "double",
+}
 
 
 def numeric_cells(cells: DataFrame) -> DataFrame:
@@ -27,7 +49,7 @@ def numeric_cells(cells: DataFrame) -> DataFrame:
     parsed = cells.withColumn("token", T.numeric_token(F.col("raw"))).withColumn("val", T.value(F.col("token"))).where("val is not null")
     parsed = parsed.withColumn("plain", T.plain(F.col("token")))
     return parsed.select(
-        *COLUMN_KEY, "column_context", "row_i", "row_no", "cell", "raw", "token", "val",
+        *COLUMN_KEY, "row_i", "row_no", "cell", "raw", "val",
         T.last_digit(F.col("plain")).alias("last_digit"),
         T.decimal_tail(F.col("plain")).alias("tail"),
         T.decimal_places(F.col("token")).alias("places"),
@@ -45,269 +67,344 @@ def severity(score: Column, n: Column, confidence: Column) -> Column:
     )
 
 
-def _finding(df: DataFrame, method: str, family: str, score: Column, n: Column, summary: Column, details: dict[str, Column], fixed: str | None = None, column: Column | None = None) -> DataFrame:
-    df = df.withColumn("_score", F.least(F.lit(100.0), score)).withColumn("_n", n.cast("long"))
-    return df.select(
-        "table_index",
-        (F.col("col_i") if "col_i" in df.columns else F.lit(None)).cast("int").alias("col_i"),
-        "source_path",
-        "source_kind",
-        "source_confidence",
-        "table_name",
-        (F.col("column") if column is None else column).alias("column"),
-        F.lit(method).alias("method"),
-        F.lit(family).alias("anomaly_family"),
-        (severity(F.col("_score"), F.col("_n"), F.col("source_confidence")) if fixed is None else F.lit(fixed)).alias("severity"),
-        F.round("_score", 3).alias("score"),
-        F.col("_n").alias("n"),
-        summary.alias("summary"),
-        F.to_json(F.struct(*[c.alias(k) for k, c in details.items()])).alias("details"),
-    )
+def _struct(fields: dict[str, str], **given: Column) -> Column:
+    return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields.items()])
 
 
-def _first_seen(count: Column, first: Column) -> Column:
-    """For max_by: the largest count, and of equals the one seen first."""
-    return F.struct(count, -first)
+def _hit(method: str, family: str, score: Column, n: Column, summary: Column, column: Column, fixed: str | None = None, col_i: Column | None = None, col_b: Column | None = None, **details: Column) -> Column:
+    none = F.lit(-1)
+    return F.struct(
+        F.lit(method).alias("method"), (none if col_i is None else col_i).cast("int").alias("col_i"), (none if col_b is None else col_b).cast("int").alias("col_b"), F.lit(family).alias("family"),
+        F.least(F.lit(100.0), score).alias("score"), n.cast("long").alias("n"), summary.alias("summary"), column.alias("column"), F.lit(fixed).cast("string").alias("fixed"), _struct(DETAILS, **details).alias("details"),
+    )
 
 
-def examples(numeric: DataFrame, wanted: DataFrame, on: list[str], order: str = "row_i", limit: int = EXAMPLES) -> DataFrame:
-    """The first rows of numeric that are wanted, as an array for each column."""
-    keys = ["table_index", "col_i"]
-    rows = numeric.join(wanted, [*keys, *on]).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_k") <= limit)
-    example = F.struct(F.col("row_no").alias("row_index"), "cell", "column", F.col("raw").alias("value"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", example.alias("e")))), lambda x: x["e"]).alias("evidence_examples"))
+def lagged(numeric: DataFrame) -> DataFrame:
+    """numeric with ``before``, the numeric cell before in the same column (val, row_i, row_no, cell, raw), and ``d``, the step from it.
 
+    Cells are dealt by ranges of table, column and row, so a column of any size is ordered in as many tasks as
+    it needs; the first cell of a part takes its predecessor from the end of the part before.
+    """
+    cell = F.struct("val", "row_i", "row_no", "cell", "raw")
+    dealt = numeric.repartitionByRange(*COLUMN, "row_i").withColumn("_part", F.spark_partition_id())
+    held = stored(dealt.withColumn("_lag", F.lag(cell).over(Window.partitionBy(*COLUMN, "_part").orderBy("row_i"))), "steps")
+    # A row for each part of a column.
+    ends = held.groupBy(*COLUMN, "_part").agg(F.max_by(cell, "row_i").alias("_end"))
+    ends = ends.select(*COLUMN, "_part", F.lag("_end").over(Window.partitionBy(*COLUMN).orderBy("_part")).alias("_end"))
+    out = held.join(ends, [*COLUMN, "_part"]).withColumn("before", F.coalesce("_lag", "_end")).drop("_part", "_lag", "_end")
+    return out.withColumn("d", F.round(F.col("val") - F.col("before.val"), 10) + 0.0)
+
+
+#: What is counted for each method.
+KINDS = {
+    "last_digit_distribution": ("digit",), "decimal_tail_regularity": ("tail", "places"), "duplicate_values": ("value",), "arithmetic_or_over_smooth_sequence": ("step",), "benford_first_digit": ("first",),
+}
+
+
+def _keys(kinds: tuple[str, ...]) -> Column:
+    """The properties of a cell that are counted: (kind, key); null where it has none."""
+    of = {
+        "digit": F.col("last_digit"), "tail": F.col("tail"), "places": F.col("places").cast("string"), "value": (F.round("val", 10) + 0.0).cast("string"),
+        "step": F.when(F.col("d") != 0, F.col("d").cast("string")) if "step" in kinds else None, "first": F.when(F.col("val") != 0, F.col("first_digit")),
+    }
+    return F.array_compact(F.array(*[F.when(of[k].isNotNull(), F.struct(F.lit(k).alias("kind"), of[k].alias("key"))) for k in kinds]))
+
+
+def _profile(numeric: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A row of statistics for each column."""
+    groups = numeric.select(*COLUMN, "row_i", F.explode(_keys(kinds)).alias("k")).groupBy(*COLUMN, "k.kind", "k.key").agg(F.count("*").alias("c"), F.min("row_i").alias("first"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    c, key = F.col("c"), F.col("key")
+    seen_first = F.struct(c, -F.col("first"))
+    each = [s for k in kinds for s in (F.sum(of(k, c)).alias(f"{k}_n"), F.max(of(k, c)).alias(f"{k}_top"), F.max_by("key", of(k, seen_first)).alias(f"{k}_key"), F.count_if(F.col("kind") == k).alias(f"{k}_kinds"))]
+    counts = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(of(kind, F.struct("key", "c")))))
+    expected = F.log10(1.0 + 1.0 / key.cast("double"))
+    more = {
+        "digit": [F.sum(of("digit", c * c)).alias("digit_squares"), counts("digit").alias("digit_counts")],
+        "tail": [
+            F.sum(of("tail", F.when(key.isin("00", "50", "05"), c).otherwise(0))).alias("tidy"),
+            F.slice(F.sort_array(F.collect_list(of("tail", F.struct("c", (-F.col("first")).alias("f"), "key"))), asc=False), 1, 10).alias("tails"),  # of 100 at most
+        ],
+        "places": [],
+        "value": [F.count_if((F.col("kind") == "value") & (c >= 2)).alias("repeated_values"), F.count_if((F.col("kind") == "value") & (c >= 3)).alias("thrice"), F.sum(of("value", F.when(c >= 2, c).otherwise(0))).alias("repeated")],
+        "step": [],
+        "first": [F.sum(of("first", c * c / expected)).alias("first_squares"), counts("first").alias("first_counts")],
+    }
+    stats = groups.groupBy(*COLUMN).agg(*each, *[m for k in kinds for m in more[k]])
+    about = [F.count_if("integer_like").alias("integers"), F.max(F.abs("val")).alias("high"), F.min(F.when(F.col("val") != 0, F.abs("val"))).alias("low"), F.count("*").alias("n")]
+    if "step" in kinds:
+        moved = F.when(F.col("d") != 0, F.col("d"))
+        about += [F.avg(moved).alias("step_mean"), F.stddev_pop(moved).alias("step_sd")]
+    return numeric.groupBy(*COLUMN_KEY).agg(*about).join(stats, COLUMN)
+
+
+def _column_hits(methods: tuple[str, ...]) -> Column:
+    """The hits of a column's row of statistics."""
+    n, name, at = F.col("n"), F.col("column"), F.col("col_i")
+    minus = lambda share, limit: F.greatest(F.lit(0.0), share - limit)
+
+    def last_digit() -> Column:
+        share, missing, m = F.col("digit_top") / F.col("digit_n"), 10 - F.col("digit_kinds"), F.col("digit_n")
+        chi2 = F.greatest(10.0 * F.col("digit_squares") / m - m, F.lit(0.0))
+        export_zero = (F.col("digit_key") == "0") & (share >= 0.95) & (F.col("integers") >= 0.9 * m)
+        return T.let(T.chi_square_p(chi2, 9), lambda p: F.when(
+            (m >= 10) & ((p < 0.01) | (share >= 0.35) | ((m >= 30) & (missing > 0))) & ~export_zero,
+            _hit("last_digit_distribution", "digit_preference", T.minus_ten_log(p) + minus(share, 0.25) * 120 + 4 * missing, m, F.format_string("Last digit %s in %d of %d values", "digit_key", "digit_top", "digit_n"), name, col_i=at,
+                 counts=F.col("digit_counts"), chi_square=F.round(chi2, 4), p_approx=p, missing_digits=F.array_except(F.array(*[F.lit(str(d)) for d in range(10)]), F.map_keys("digit_counts")), top_digit=F.col("digit_key"))))
+
+    def tail() -> Column:
+        m = F.col("tail_n")
+        share, tidy, same = F.col("tail_top") / m, F.col("tidy") / m, F.coalesce(F.col("places_top") / F.col("places_n"), F.lit(0.0))
+        top = F.map_from_entries(F.transform("tails", lambda x: F.struct(x["key"], x["c"])))
+        return F.when(
+            (m >= 10) & ((share >= 0.35) | (tidy >= 0.55) | ((m >= 30) & (same >= 0.98))),
+            _hit("decimal_tail_regularity", "decimal_regularity", minus(share, 0.2) * 140 + minus(tidy, 0.35) * 100 + minus(same, 0.9) * 30, m, F.format_string("Decimal tail %s in %d of %d values; tidy tails in %d", "tail_key", "tail_top", "tail_n", "tidy"), name, col_i=at,
+                 top_tails=top, tidy_tail_count=F.col("tidy"), fixed_precision_fraction=same, top_tail=F.col("tail_key")))
+
+    def duplicate() -> Column:
+        m = F.col("value_n")
+        return F.when(
+            (m >= 10) & ((F.col("thrice") > 0) | (F.col("repeated") / m >= 0.35)),
+            _hit("duplicate_values", "duplication", 12.0 * F.col("thrice") + 80.0 * F.col("repeated") / m, m, F.format_string("%d values, %d different; %d of them in repeated groups", "value_n", "value_kinds", "repeated"), name, col_i=at,
+                 total_unique_values=F.col("value_kinds"), distinct_repeated_values=F.col("repeated_values"), distinct_repeated_values_ge3=F.col("thrice"), repeat_count=F.col("repeated"), repeated_observation_fraction=F.round(F.col("repeated") / m, 4)))
+
+    def step() -> Column:
+        share, mean = F.col("step_top") / F.col("step_n"), F.abs("step_mean")
+        return T.let(F.col("step_sd") / F.when(mean == 0, 1e-12).otherwise(mean), lambda cv: F.when(
+            (n >= 8) & (F.col("step_n") >= 5) & ((share >= 0.55) | (cv < 0.08)),
+            _hit("arithmetic_or_over_smooth_sequence", "row_order_regularity", share * 80 + F.greatest(F.lit(0.0), 0.15 - cv) * 180, n, F.format_string("Step %s in %d of %d changes from row to row", "step_key", "step_top", "step_n"), name, col_i=at,
+                 common_step=F.col("step_key"), common_step_count=F.col("step_top"), diff_cv=cv)))
+
+    def benford() -> Column:
+        m = F.col("first_n")
+        chi2 = F.greatest(F.col("first_squares") / m - m, F.lit(0.0))
+        return T.let(T.chi_square_p(chi2, 8), lambda p: F.when(
+            (m >= 50) & (F.col("high") / F.col("low") >= 100) & (p < 0.01),
+            _hit("benford_first_digit", "first_digit", T.minus_ten_log(p), m, F.format_string("First digits of %d values differ from Benford's law", "first_n"), name, col_i=at,
+                 counts=F.col("first_counts"), chi_square=F.round(chi2, 4), p_approx=p)))
+
+    made = {"last_digit_distribution": last_digit, "decimal_tail_regularity": tail, "duplicate_values": duplicate, "arithmetic_or_over_smooth_sequence": step, "benford_first_digit": benford}
+    return F.array_compact(F.array(*[made[m]() for m in methods]))
+
+
+Parts = tuple[DataFrame, DataFrame]  # hits, and the rows behind them: (*HIT, pos, row_i, focus, example)
+
+
+def _columns(numeric: DataFrame, methods: tuple[str, ...] = tuple(KINDS)) -> Parts:
+    """The screens of single columns."""
+    kinds = tuple(k for m in methods for k in KINDS[m])
+    if "step" in kinds:
+        numeric = lagged(numeric)
+    of_hit = {m: KINDS[m][0] for m in methods}
+    shown = F.struct(*[F.lit(of_hit[m]).alias(m) for m in methods])
+    profile = _profile(numeric, kinds).withColumn("hit", F.explode(_column_hits(methods)))
+    key = reduce(lambda out, m: out.when(F.col("hit.method") == m, F.col(f"{of_hit[m]}_key")), methods, F.when(F.lit(False), ""))
+    kind = reduce(lambda out, m: out.when(F.col("hit.method") == m, shown[m]), methods, F.when(F.lit(False), ""))
+    found = stored(profile.select(*TABLE_KEY, "hit", kind.alias("kind"), key.alias("key")), "hits")
+    hits = found.select(*TABLE_KEY, "hit.*")
+    wanted = found.groupBy("table_index", F.col("hit.col_i").alias("col_i")).agg(F.collect_list(F.struct("kind", "key", F.col("hit.method").alias("method"))).alias("wanted"))  # five at most
+    if "duplicate_values" in methods:
+        hits = _with_repeated_values(hits, numeric, found)
+    own = F.struct("val", "row_i", "row_no", "cell", "raw")
+    pair = F.array("before", own) if "step" in kinds else F.array(own)
+    fits = F.filter("wanted", lambda w: F.exists("keys", lambda k: (k["kind"] == w["kind"]) & (k["key"] == w["key"])))
+    some = numeric.join(wanted, COLUMN).select(*COLUMN, "column", "row_i", pair.alias("pair"), _keys(tuple(k for k in kinds if k != "places")).alias("keys"), "wanted")
+    some = some.select(*COLUMN, "column", "row_i", "pair", F.explode(fits).alias("w"))
+    some = some.select("table_index", F.col("w.method").alias("method"), "col_i", "column", "row_i", "pair")
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("table_index", "method", "col_i").orderBy("row_i"))).where(F.col("k") <= EXAMPLES)
+    # A step has two ends.
+    step = F.col("method") == "arithmetic_or_over_smooth_sequence"
+    ends = F.when(step & (F.col("k") <= EXAMPLES // 2), F.col("pair")).when(~step, F.slice("pair", -1, 1))
+    rows = some.select("table_index", "method", "col_i", F.lit(-1).alias("col_b"), "column", "k", F.posexplode(ends).alias("j", "x"))
+    example = _struct(EXAMPLE, row_index=F.col("x.row_no"), cell=F.col("x.cell"), column=F.col("column"), value=F.col("x.raw"))
+    return hits, rows.select(*HIT, (F.col("k") * 2 + F.col("j")).cast("long").alias("pos"), F.col("x.row_i").alias("row_i"), F.col("col_i").alias("focus"), example.alias("example"))
+
+
+def _with_repeated_values(hits: DataFrame, numeric: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds the ten most frequent values to hits of equal values; only their columns are counted again."""
+    is_dup = F.col("method") == "duplicate_values"
+    columns = found.where("hit.method = 'duplicate_values'").select("table_index", F.col("hit.col_i").alias("col_i"), F.col("hit.n").alias("of"))
+    groups = numeric.select(*COLUMN, "row_i", (F.round("val", 10) + 0.0).alias("v")).join(columns, COLUMN).groupBy(*COLUMN, "of", "v").agg(F.count("*").alias("c"), F.min("row_i").alias("first")).where("c >= 2")
+    most = groups.withColumn("k", F.row_number().over(Window.partitionBy(*COLUMN).orderBy(F.desc("c"), "first"))).where("k <= 10")
+    shown = F.struct(F.col("v").cast("string").alias("value"), F.col("c").alias("count"), F.round(F.col("c") / F.col("of"), 4).alias("fraction"))
+    most = most.groupBy(*COLUMN).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", shown.alias("s")))), lambda x: x["s"]).alias("most"))
+    return hits.join(most, COLUMN, "left").withColumn("details", F.when(is_dup, F.col("details").withField("top_repeated_values", F.col("most"))).otherwise(F.col("details"))).drop("most")
 
-def last_digit_distribution(numeric: DataFrame) -> DataFrame:
-    """A1: last printed digits against the uniform distribution."""
-    digits = numeric.groupBy(*COLUMN_KEY, "last_digit").agg(
-        F.count("*").alias("c"), F.min("row_i").alias("first"), F.count_if("integer_like").alias("integers")
-    )
-    stats = digits.groupBy(*COLUMN_KEY).agg(
-        F.sum("c").alias("n"),
-        F.sum(F.col("c") * F.col("c")).alias("squares"),
-        F.max("c").alias("top"),
-        F.max_by("last_digit", _first_seen(F.col("c"), F.col("first"))).alias("top_digit"),
-        F.count("*").alias("kinds"),
-        F.sum("integers").alias("integers"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("last_digit", "c")))).alias("counts"),
-    )
-    chi2 = 10.0 * F.col("squares") / F.col("n") - F.col("n")
-    stats = stats.where("n >= 10").withColumn("chi2", chi2).withColumn("p", T.chi_square_p(F.greatest(chi2, F.lit(0.0)), 9)).withColumn("share", F.col("top") / F.col("n"))
-    missing = 10 - F.col("kinds")
-    fires = (F.col("p") < 0.01) | (F.col("share") >= 0.35) | ((F.col("n") >= 30) & (missing > 0))
-    export_zero = (F.col("top_digit") == "0") & (F.col("share") >= 0.95) & (F.col("integers") >= 0.9 * F.col("n"))
-    hit = stats.where(fires & ~export_zero)
-    shown = examples(numeric, hit.select("table_index", "col_i", F.col("top_digit").alias("last_digit")), ["last_digit"])
-    score = T.minus_ten_log(F.col("p")) + F.greatest(F.lit(0.0), F.col("share") - 0.25) * 120 + 4 * missing
-    absent = F.array_except(F.array(*[F.lit(str(d)) for d in range(10)]), F.map_keys("counts"))
-    return _finding(
-        hit.join(shown, ["table_index", "col_i"], "left"), "last_digit_distribution", "digit_preference", score, F.col("n"),
-        F.format_string("Last digit %s in %d of %d values", "top_digit", "top", "n"),
-        {"counts": F.col("counts"), "chi_square": F.round("chi2", 4), "p_approx": F.col("p"), "missing_digits": absent, "top_digit": F.col("top_digit"), "evidence_examples": F.col("evidence_examples")},
+
+def table_rows(cells: DataFrame) -> DataFrame:
+    """Rows of tables as arrays of stripped cells, in the order of their columns."""
+    cell = F.struct("col_i", T.stripped(F.coalesce("raw", F.lit(""))).alias("x"))
+    return cells.groupBy(*TABLE_KEY, "row_i", "row_no").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["x"]).alias("values"))
+
+
+def _rows(cells: DataFrame) -> Parts:
+    """A6: identical rows of a table. Blank rows count for its size alone."""
+    rows = table_rows(cells)
+    patterns = rows.groupBy(*TABLE_KEY, "values").agg(F.count("*").alias("c"), F.min("row_i").alias("first")).withColumn("blank", ~F.exists("values", lambda x: x != ""))
+    c, again = F.col("c"), (F.col("c") > 1) & ~F.col("blank")
+    stats = patterns.groupBy(*TABLE_KEY).agg(F.sum("c").alias("rows"), F.sum(F.when(~F.col("blank"), c)).alias("m"), F.count_if(again).alias("patterns"), F.sum(F.when(again, c).otherwise(0)).alias("repeated")).where("rows >= 5 and patterns > 0")
+    score = 90.0 * F.col("repeated") / F.col("m") + 4 * F.col("patterns")
+    hit = _hit("duplicate_rows", "duplication", score, F.col("m"), F.format_string("%d patterns of identical rows cover %d of %d rows", "patterns", "repeated", "m"), F.lit("__rows__"), duplicate_row_patterns=F.col("patterns"), repeat_rows=F.col("repeated"))
+    hits = stored(stats.select(*TABLE_KEY, hit.alias("hit")).select(*TABLE_KEY, "hit.*"), "hits")
+    first = patterns.where(again).withColumn("k", F.row_number().over(Window.partitionBy("table_index").orderBy("first"))).where("k <= 3")
+    some = rows.join(first.select("table_index", "values", "k", "c"), ["table_index", "values"])
+    some = some.withColumn("j", F.row_number().over(Window.partitionBy("table_index", "k").orderBy("row_i"))).where(F.col("j") <= EXAMPLES)
+    # A list that is full takes one row of each pattern that follows.
+    before = F.coalesce(F.sum(F.when(F.col("j") == 1, F.least("c", F.lit(EXAMPLES)))).over(Window.partitionBy("table_index").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumn("before", before).where((F.col("j") == 1) | (F.col("before") + F.col("j") <= EXAMPLES)).join(hits.select("table_index"), "table_index", "left_semi")
+    example = _struct(EXAMPLE, row_index=F.col("row_no"), values=F.slice("values", 1, 12))
+    none = F.lit(-1)
+    return hits, some.select("table_index", F.lit("duplicate_rows").alias("method"), none.alias("col_i"), none.alias("col_b"), (F.col("k") * 100 + F.col("j")).cast("long").alias("pos"), "row_i", none.alias("focus"), example.alias("example"))
+
+
+def _clones(numeric: DataFrame, least: int = 5, most: int = 200) -> Parts:
+    """A7: two columns of a table with equal values in equal order, blanks left out: a join on the vector, not on all pairs."""
+    # Sizes first: only short columns become vectors.
+    sizes = numeric.groupBy(*COLUMN).agg(F.count("*").alias("k")).where(F.col("k").between(least, most)).drop("k")
+    at = F.struct("row_i", (F.round("val", 8) + 0.0).alias("v"), "row_no", "cell", "raw")
+    vectors = numeric.join(sizes, COLUMN, "left_semi").groupBy(*COLUMN_KEY).agg(F.array_sort(F.collect_list(at)).alias("cells"))
+    vectors = vectors.withColumn("vector", F.transform("cells", lambda x: x["v"])).where(F.size(F.array_distinct("vector")) > 1).withColumn("cells", F.slice("cells", 1, 4))
+    right = vectors.select("table_index", "vector", F.col("col_i").alias("col_b"), F.col("column").alias("column_b"), F.col("cells").alias("cells_b"))
+    pairs = stored(vectors.join(right, ["table_index", "vector"]).where("col_i < col_b").withColumn("m", F.size("vector")).drop("vector"), "pairs")
+    hit = _hit(
+        "clone_vector", "duplication", F.lit(95.0), F.col("m"), F.format_string("%s and %s hold the same %d values", "column", "column_b", "m"), F.concat_ws(" <> ", "column", "column_b"), "High", F.col("col_i"), F.col("col_b"),
+        columns=F.array("column", "column_b"), clone_type=F.lit("exact_vector"),
     )
+    side = lambda cells, column, focus, j: F.transform(cells, lambda x, i: F.struct((i * 2 + j).cast("long").alias("pos"), x["row_i"].alias("row_i"), focus.alias("focus"), _struct(EXAMPLE, row_index=x["row_no"], cell=x["cell"], column=column, value=x["raw"]).alias("example")))
+    both = F.concat(side(F.col("cells"), F.col("column"), F.col("col_i"), 0), side(F.col("cells_b"), F.col("column_b"), F.col("col_b"), 1))
+    rows = pairs.select("table_index", F.lit("clone_vector").alias("method"), "col_i", "col_b", F.explode(both).alias("x"))
+    return pairs.select(*TABLE_KEY, hit.alias("hit")).select(*TABLE_KEY, "hit.*"), rows.select(*HIT, "x.*")
 
 
-def decimal_tail_regularity(numeric: DataFrame) -> DataFrame:
-    """A2: repeated or tidy decimals, and a single precision."""
-    tails = numeric.groupBy(*COLUMN_KEY, "tail").agg(F.count("*").alias("c"), F.min("row_i").alias("first"))
-    by_tail = tails.groupBy(*COLUMN_KEY).agg(
-        F.sum("c").alias("n"),
-        F.max("c").alias("top"),
-        F.max_by("tail", _first_seen(F.col("c"), F.col("first"))).alias("top_tail"),
-        F.sum(F.when(F.col("tail").isin("00", "50", "05"), F.col("c")).otherwise(0)).alias("tidy"),
-        F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("first")).alias("f"), "tail")), asc=False), 1, 10).alias("most"),  # 100 tails at most
+#: The columns that a check is made of, the first that fits each pattern; the last one is what is checked.
+CHECKS = {
+    "formula_mismatch": {"a": r"\blength", "b": r"\bwidth", "x": r"\bvolume"},
+    "summary_math_inconsistency": {"a": r"^n$|sample\s*n", "b": r"\bsd\b|std", "x": r"\bsem\b|se\b"},
+}
+FORMULAS = {"formula_mismatch": "length * width^2 / 2", "summary_math_inconsistency": "SEM = SD / sqrt(n)"}
+
+
+def _loose_number(text: Column) -> Column:
+    """What a plain conversion takes once commas are out: no per cent sign, but infinities."""
+    text = F.regexp_replace(T.stripped(F.coalesce(text, F.lit(""))), ",", "")
+    number = F.when(text.rlike(r"(?i)^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[-+]?\d+)?$"), text.try_cast("double"))
+    infinite = F.when(text.rlike(r"(?i)^\+?inf(inity)?$"), float("inf")).when(text.rlike(r"(?i)^-inf(inity)?$"), float("-inf"))
+    return F.coalesce(number, infinite)
+
+
+def _checks(cells: DataFrame, methods: tuple[str, ...] = tuple(CHECKS)) -> Parts:
+    """A8: volume against length * width**2 / 2. A9: SEM against SD / sqrt(n)."""
+    names = cells.select(*TABLE_KEY, "col_i", "column").distinct()
+    first = lambda p: F.min(F.when(F.col("column").rlike("(?i)" + p), F.struct("col_i", "column")))
+    chosen = names.groupBy(*TABLE_KEY).agg(*[F.struct(*[first(p).alias(n) for n, p in CHECKS[m].items()]).alias(m) for m in methods])
+    chosen = chosen.select(*TABLE_KEY, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("of")) for m in methods])).alias("c")).select(*TABLE_KEY, "c.method", "c.of.*").dropna()
+    at = chosen.select("table_index", "method", *[F.col(f"{n}.col_i").alias(f"_{n}") for n in "abx"])
+    some = cells.join(at, "table_index").where("col_i = _a or col_i = _b or col_i = _x")
+    mine = lambda n, c: F.max(F.when(F.col("col_i") == F.col(f"_{n}"), c))
+    rows = some.groupBy("table_index", "method", "row_i", "row_no").agg(*[mine(n, _loose_number(F.col("raw"))).alias(n) for n in "abx"], mine("x", F.col("cell")).alias("cell"), mine("x", F.col("raw")).alias("raw"))
+    formula = F.col("method") == "formula_mismatch"
+    rows = rows.withColumn("expected", F.when(formula, F.col("a") * F.col("b") * F.col("b") / 2).when(F.col("a") > 1, F.col("b") / F.sqrt("a")))
+    tolerance = F.when(formula, F.greatest(F.lit(0.02), F.abs("expected") * 0.02)).otherwise(F.greatest(F.lit(0.001), F.abs("expected") * 0.03))
+    off = F.abs(F.col("x") - F.col("expected"))
+    wrong = F.coalesce((off > tolerance) & ~F.isnan(off), F.lit(False))
+    stats = rows.groupBy("table_index", "method").agg(F.count("*").alias("m"), F.count_if(wrong).alias("k")).where((F.col("k") >= 2) | (~formula & (F.col("k") >= 1)))
+    stats = stats.join(chosen, ["table_index", "method"])
+    said, column, x_at = F.format_string("%d rows differ from what their other columns give", "k"), F.col("x.column"), F.col("x.col_i")
+    details = lambda m: {"formula": F.lit(FORMULAS[m]), "mismatch_count": F.col("k")}
+    hit = F.when(formula, _hit("formula_mismatch", "internal_consistency", 50.0 + 5.0 * F.col("k"), F.col("m"), said, column, None, x_at, **details("formula_mismatch"))).otherwise(
+        _hit("summary_math_inconsistency", "internal_consistency", 70.0 + 5.0 * F.col("k"), F.col("m"), said, column, "High", x_at, **details("summary_math_inconsistency"))
     )
-    precision = numeric.groupBy("table_index", "col_i", "places").agg(F.count("*").alias("c")).where("places is not null").groupBy("table_index", "col_i").agg(F.max("c").alias("same"))
-    stats = by_tail.where("n >= 10").join(precision, ["table_index", "col_i"], "left").fillna(0, ["same"])
-    share, tidy, fixed = F.col("top") / F.col("n"), F.col("tidy") / F.col("n"), F.col("same") / F.col("n")
-    hit = stats.where((share >= 0.35) | (tidy >= 0.55) | ((F.col("n") >= 30) & (fixed >= 0.98)))
-    shown = examples(numeric, hit.select("table_index", "col_i", F.col("top_tail").alias("tail")), ["tail"])
-    score = F.greatest(F.lit(0.0), share - 0.2) * 140 + F.greatest(F.lit(0.0), tidy - 0.35) * 100 + F.greatest(F.lit(0.0), fixed - 0.9) * 30
-    return _finding(
-        hit.join(shown, ["table_index", "col_i"], "left"), "decimal_tail_regularity", "decimal_regularity", score, F.col("n"),
-        F.format_string("Decimal tail %s in %d of %d values; tidy tails in %d", "top_tail", "top", "n", "tidy"),
-        {"top_tails": F.transform("most", lambda x: F.struct(x["tail"].alias("tail"), x["c"].alias("count"))), "tidy_tail_count": F.col("tidy"), "fixed_precision_fraction": F.round(fixed, 4),
-         "top_tail": F.col("top_tail"), "evidence_examples": F.col("evidence_examples")},
+    hits = stored(stats.select(*TABLE_KEY, hit.alias("hit")).select(*TABLE_KEY, "hit.*"), "hits")
+    shown = rows.where(wrong).withColumn("pos", F.row_number().over(Window.partitionBy("table_index", "method").orderBy("row_i"))).where(F.col("pos") <= MISMATCHES)
+    shown = shown.join(hits.select("table_index", "method", "col_i", "col_b", "column"), ["table_index", "method"])
+    summary = lambda c: F.when(~formula, c)
+    example = _struct(
+        EXAMPLE, row_index=F.col("row_no"), cell=F.col("cell"), column=F.col("column"), value=F.col("raw"), expected_from_formula=F.when(formula, F.round("expected", 6)), formula=F.when(formula, FORMULAS["formula_mismatch"]),
+        expected_sem=summary(F.round("expected", 6)), sd=summary(F.col("b")), n=summary(F.col("a")),
     )
+    return hits, shown.select(*HIT, F.col("pos").cast("long").alias("pos"), "row_i", F.col("col_i").alias("focus"), example.alias("example"))
 
 
-def duplicate_values(numeric: DataFrame) -> DataFrame:
-    """A3: groups of equal values (to 10 decimals)."""
-    groups = numeric.groupBy(*COLUMN_KEY, F.round("val", 10).alias("v")).agg(F.count("*").alias("c"), F.min("row_i").alias("first"), F.min_by("raw", "row_i").alias("shown"))
-    stats = groups.groupBy(*COLUMN_KEY).agg(
-        F.sum("c").alias("n"),
-        F.count("*").alias("unique_n"),
-        F.count_if(F.col("c") >= 3).alias("thrice"),
-        F.sum(F.when(F.col("c") >= 2, F.col("c")).otherwise(0)).alias("repeated"),
-        F.max_by("v", _first_seen(F.col("c"), F.col("first"))).alias("top"),
-    )
-    hit = stats.where("n >= 10").where((F.col("thrice") > 0) | (F.col("repeated") >= 0.35 * F.col("n")))
-    ranked = groups.where("c >= 2").join(hit.select("table_index", "col_i"), ["table_index", "col_i"], "left_semi")
-    ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("table_index", "col_i").orderBy(F.desc("c"), "first"))).where("_k <= 10")
-    most = ranked.groupBy("table_index", "col_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "shown", "c"))), lambda x: F.struct(x["shown"].alias("value"), x["c"].alias("count"))).alias("repeated_values"))
-    shown = examples(numeric.withColumn("v", F.round("val", 10)), hit.select("table_index", "col_i", F.col("top").alias("v")), ["v"])
-    score = 12.0 * F.col("thrice") + 80.0 * F.col("repeated") / F.col("n")
-    return _finding(
-        hit.join(most, ["table_index", "col_i"], "left").join(shown, ["table_index", "col_i"], "left"), "duplicate_values", "duplication", score, F.col("n"),
-        F.format_string("%d values, %d different; %d of them in repeated groups", "n", "unique_n", "repeated"),
-        {"unique_n": F.col("unique_n"), "groups_of_three": F.col("thrice"), "repeat_count": F.col("repeated"), "repeated_values": F.col("repeated_values"), "evidence_examples": F.col("evidence_examples")},
+def _labelled(rows: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """The rows behind hits with the texts beside them: of the first columns of the row, those that aren't numbers."""
+    if cells is None:
+        return rows.withColumn("labels", F.lit(None).cast("map<string,string>"))
+    text = T.stripped(F.coalesce("raw", F.lit("")))
+    number = F.regexp_replace(text, ",", "").rlike(T.NUMBER)
+    asked = rows.where("focus >= 0").select("table_index", "row_i").distinct()
+    beside = cells.where((F.col("col_i") < LABELLED) & (text != "") & ~number).select("table_index", "row_i", "col_i", "column", F.substring(text, 1, 80).alias("text")).join(asked, ["table_index", "row_i"], "left_semi")
+    beside = beside.groupBy("table_index", "row_i").agg(F.array_sort(F.collect_list(F.struct("col_i", "column", "text"))).alias("beside"))
+    others = F.filter("beside", lambda x: x["col_i"] != F.col("focus"))
+    last = F.filter(others, lambda x: ~F.exists(others, lambda y: (y["column"] == x["column"]) & (y["col_i"] > x["col_i"])))
+    labels = F.when(F.col("focus") >= 0, F.coalesce(F.map_from_entries(F.transform(last, lambda x: F.struct(x["column"], x["text"]))), F.create_map().cast("map<string,string>")))
+    return rows.join(beside, ["table_index", "row_i"], "left").withColumn("labels", labels).drop("beside")
+
+
+def _findings(parts: list[Parts], cells: DataFrame | None = None) -> DataFrame:
+    hits, rows = (reduce(DataFrame.unionByName, some) for some in zip(*parts, strict=True))
+    shown = F.struct("pos", F.col("example").withField("nearby_labels", F.col("labels")).alias("e"))
+    in_order = lambda a, b: (a["pos"] - b["pos"]).cast("int")
+    examples = _labelled(rows, cells).groupBy(*HIT).agg(F.transform(F.array_sort(F.collect_list(shown), in_order), lambda x: x["e"]).alias("examples"))  # ten at most
+    out = hits.join(examples, HIT, "left")
+    graded = F.coalesce("fixed", severity(F.col("score"), F.col("n"), F.col("source_confidence")))
+    details = F.to_json(F.col("details").withField("evidence_examples", F.coalesce("examples", F.array())))
+    return out.select(
+        "table_index", F.when(F.col("col_i") >= 0, F.col("col_i")).alias("col_i"), "source_path", "source_kind", "source_confidence", "table_name", "column", "method", F.col("family").alias("anomaly_family"),
+        graded.alias("severity"), F.round("score", 3).alias("score"), "n", "summary", details.alias("details"),
     )
 
 
-def lagged(numeric: DataFrame, rows: int = ORDERED_ROWS) -> DataFrame:
-    """numeric with ``before``, the value of the numeric row before in the same column.
+def last_digit_distribution(numeric: DataFrame) -> DataFrame:
+    """A1: last printed digits against the uniform distribution."""
+    return _findings([_columns(numeric, ("last_digit_distribution",))])
 
-    A column of more than ``rows`` values is cut by quantiles of its row order; each part
-    is ordered in a task of its own, and takes its first predecessor from the end of the part before.
-    """
-    keys = ["table_index", "col_i"]
-    sizes = numeric.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"), F.percentile_approx("row_i", [i / 64 for i in range(1, 64)], 10_000).alias("_cuts"))
-    step = F.greatest(F.lit(1), F.floor(64 / F.col("_parts")).cast("int"))
-    part = F.when(F.col("_parts") <= 1, 0).otherwise(F.size(F.filter("_cuts", lambda c, i: ((i + 1) % step == 0) & (c < F.col("row_i")))))
-    dealt = numeric.join(sizes, keys).withColumn("_part", part)
-    within = Window.partitionBy(*keys, "_part").orderBy("row_i")
-    ends = dealt.groupBy(*keys, "_part").agg(F.max_by("val", "row_i").alias("_end"))
-    ends = ends.select(*keys, "_part", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part")).alias("_end"))
-    return dealt.withColumn("_lag", F.lag("val").over(within)).join(ends, [*keys, "_part"]).withColumn("before", F.coalesce("_lag", "_end")).drop("_parts", "_cuts", "_part", "_lag", "_end")
+
+def decimal_tail_regularity(numeric: DataFrame) -> DataFrame:
+    """A2: repeated or tidy decimals, and a single precision."""
+    return _findings([_columns(numeric, ("decimal_tail_regularity",))])
+
+
+def duplicate_values(numeric: DataFrame) -> DataFrame:
+    """A3: groups of equal values (to 10 decimals)."""
+    return _findings([_columns(numeric, ("duplicate_values",))])
 
 
 def arithmetic_sequence(numeric: DataFrame) -> DataFrame:
-    """A4: one step, or hardly varying steps, from row to row."""
-    steps = lagged(numeric).withColumn("d", F.round(F.col("val") - F.col("before"), 10)).where("before is not null")
-    groups = steps.where("d <> 0").groupBy(*COLUMN_KEY, "d").agg(F.count("*").alias("c"), F.min("row_i").alias("first"))
-    modal = groups.groupBy("table_index", "col_i").agg(F.max("c").alias("common"), F.max_by("d", _first_seen(F.col("c"), F.col("first"))).alias("step"), F.sum("c").alias("nonzero"))
-    spread = steps.groupBy(*COLUMN_KEY).agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), (F.count("*") + 1).alias("n"))
-    stats = spread.join(modal, ["table_index", "col_i"]).where("n >= 8 and nonzero >= 5")
-    stats = stats.withColumn("share", F.col("common") / F.col("nonzero")).withColumn("cv", F.col("sd") / F.when(F.col("mean") == 0, 1e-12).otherwise(F.abs("mean")))
-    hit = stats.where((F.col("share") >= 0.55) | (F.col("cv") < 0.08))
-    shown = examples(steps, hit.select("table_index", "col_i", F.col("step").alias("d")), ["d"])
-    score = F.col("share") * 80 + F.greatest(F.lit(0.0), 0.15 - F.col("cv")) * 180
-    return _finding(
-        hit.join(shown, ["table_index", "col_i"], "left"), "arithmetic_or_over_smooth_sequence", "row_order_regularity", score, F.col("n"),
-        F.format_string("Step %s in %d of %d changes from row to row", F.col("step").cast("string"), "common", "nonzero"),
-        {"common_step": F.col("step"), "common_step_count": F.col("common"), "nonzero_steps": F.col("nonzero"), "diff_cv": F.round("cv", 9), "evidence_examples": F.col("evidence_examples")},
-    )
+    """A4: one step, or hardly varying steps, from row to row; rows without a change don't count."""
+    return _findings([_columns(numeric, ("arithmetic_or_over_smooth_sequence",))])
 
 
 def benford_first_digit(numeric: DataFrame) -> DataFrame:
     """A5: first digits against Benford's law, for values that span two orders of magnitude."""
-    some = numeric.where("val <> 0")
-    digits = some.groupBy(*COLUMN_KEY, "first_digit").agg(F.count("*").alias("c"), F.max(F.abs("val")).alias("high"), F.min(F.abs("val")).alias("low"), F.min("row_i").alias("first"))
-    expected = F.log10(1.0 + 1.0 / F.col("first_digit").cast("double"))
-    stats = digits.groupBy(*COLUMN_KEY).agg(
-        F.sum("c").alias("n"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum(F.col("c") * F.col("c") / expected).alias("s"),
-        F.max_by("first_digit", _first_seen(F.col("c"), F.col("first"))).alias("top_digit"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("first_digit", "c")))).alias("counts"),
-    )
-    stats = stats.where("n >= 50 and high / low >= 100").withColumn("chi2", F.col("s") / F.col("n") - F.col("n"))
-    hit = stats.withColumn("p", T.chi_square_p(F.greatest("chi2", F.lit(0.0)), 8)).where("p < 0.01")
-    shown = examples(some, hit.select("table_index", "col_i", F.col("top_digit").alias("first_digit")), ["first_digit"])
-    return _finding(
-        hit.join(shown, ["table_index", "col_i"], "left"), "benford_first_digit", "first_digit", T.minus_ten_log(F.col("p")), F.col("n"),
-        F.format_string("First digits of %d values differ from Benford's law", "n"),
-        {"counts": F.col("counts"), "chi_square": F.round("chi2", 4), "p_approx": F.col("p"), "evidence_examples": F.col("evidence_examples")},
-    )
+    return _findings([_columns(numeric, ("benford_first_digit",))])
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """Rows of tables as arrays of stripped cells, in the order of their columns; blank rows are left out."""
-    rows = cells.groupBy(*TABLE_KEY, "row_i", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_i", T.stripped(F.coalesce("raw", F.lit(""))).alias("x")))), lambda x: x["x"]).alias("values"))
-    return rows.where(F.exists("values", lambda x: x != ""))
+def column_screens(numeric: DataFrame) -> DataFrame:
+    """A1 to A5 at once."""
+    return _findings([_columns(numeric)])
 
 
 def duplicate_rows(cells: DataFrame) -> DataFrame:
     """A6: identical rows of a table."""
-    patterns = table_rows(cells).groupBy(*TABLE_KEY, "values").agg(F.count("*").alias("c"), F.min("row_i").alias("first"), F.slice(F.array_sort(F.collect_set("row_no")), 1, EXAMPLES).alias("at"))
-    stats = patterns.groupBy(*TABLE_KEY).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("patterns"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("repeated"))
-    hit = stats.where("n >= 5 and patterns > 0")
-    first = patterns.where("c > 1").withColumn("_k", F.row_number().over(Window.partitionBy("table_index").orderBy("first"))).where("_k <= 3")
-    shown = first.groupBy("table_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "at", F.slice("values", 1, 12).alias("values")))), lambda x: F.struct(x["at"].alias("rows"), x["values"].alias("values"))).alias("evidence_examples"))
-    score = 90.0 * F.col("repeated") / F.col("n") + 4 * F.col("patterns")
-    return _finding(
-        hit.join(shown, ["table_index"], "left"), "duplicate_rows", "duplication", score, F.col("n"),
-        F.format_string("%d patterns of identical rows cover %d of %d rows", "patterns", "repeated", "n"),
-        {"patterns": F.col("patterns"), "repeated_rows": F.col("repeated"), "evidence_examples": F.col("evidence_examples")}, column=F.lit("__rows__"),
-    )
+    return _findings([_rows(cells)])
 
 
 def clone_vector(numeric: DataFrame, least: int = 5, most: int = 200) -> DataFrame:
-    """A7: two columns of a table with equal values in equal order, blanks left out: a join on the vector, not on all pairs."""
-    # Sizes first: only short columns become vectors.
-    sizes = numeric.groupBy("table_index", "col_i").agg(F.count("*").alias("k")).where(F.col("k").between(least, most)).drop("k")
-    vectors = (
-        numeric.join(sizes, ["table_index", "col_i"], "left_semi")
-        .groupBy(*COLUMN_KEY)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("row_i", (F.round("val", 8) + 0.0).alias("v")))), lambda x: x["v"]).alias("vector"), F.count("*").alias("n"))
-        .where(F.size(F.array_distinct("vector")) > 1)
-    )
-    left = vectors.select(*TABLE_KEY, F.col("col_i"), F.col("column").alias("column_a"), "vector", "n")
-    right = vectors.select("table_index", "vector", F.col("col_i").alias("col_b"), F.col("column").alias("column_b"))
-    pairs = left.join(right, ["table_index", "vector"]).where("col_i < col_b")
-    return _finding(
-        pairs, "clone_vector", "duplication", F.lit(95.0), F.col("n"), F.format_string("%s and %s hold the same %d values", "column_a", "column_b", "n"),
-        {"column_a": F.col("column_a"), "column_b": F.col("column_b"), "first_values": F.slice("vector", 1, 4)}, fixed="High", column=F.concat_ws(" <> ", "column_a", "column_b"),
-    )
-
-
-def wide_rows(cells: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Rows of tables that have a column for each pattern (the first that matches): the columns' numbers by name, loosely parsed."""
-    names = cells.select("table_index", "col_i", "column").distinct()
-    chosen = names.groupBy("table_index").agg(*[F.min(F.when(F.col("column").rlike("(?i)" + p), F.col("col_i"))).alias(f"_{n}") for n, p in patterns.items()]).dropna()
-    wanted = reduce(lambda a, b: a | b, [F.col("col_i") == F.col(f"_{n}") for n in patterns])
-    text = T.stripped(F.coalesce("raw", F.lit("")))
-    text = F.regexp_replace(text, ",", "")
-    number = F.when(text.rlike(r"(?i)^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[-+]?\d+)?$"), text.try_cast("double"))
-    infinite = F.when(text.rlike(r"(?i)^\+?inf(inity)?$"), float("inf")).when(text.rlike(r"(?i)^-inf(inity)?$"), float("-inf"))
-    some = cells.join(chosen, "table_index").where(wanted).withColumn("x", F.coalesce(number, infinite))
-    by_row = [F.max(F.when(F.col("col_i") == F.col(f"_{n}"), F.col("x"))).alias(n) for n in patterns]
-    cell = [F.max(F.when(F.col("col_i") == F.col(f"_{n}"), F.col("cell"))).alias(f"{n}_cell") for n in patterns]
-    named = [F.max(F.when(F.col("col_i") == F.col(f"_{n}"), F.col("column"))).alias(f"{n}_column") for n in patterns]
-    at = [F.max(F.col(f"_{n}")).alias(f"{n}_at") for n in patterns]
-    return some.groupBy(*TABLE_KEY, "row_i", "row_no").agg(*by_row, *cell, *named, *at)
-
-
-def _mismatches(rows: DataFrame, found: str, expected: Column, tolerance: Column, usable: Column, last: str, total: DataFrame, least: int, method: str, base: float, fixed: str | None) -> DataFrame:
-    rows = rows.where(usable).withColumn("expected", expected)
-    wrong = rows.where((F.abs(F.col(found) - F.col("expected")) > tolerance) & ~F.isnan(F.col(found) - F.col("expected")))
-    ranked = wrong.withColumn("_k", F.row_number().over(Window.partitionBy("table_index").orderBy("row_i")))
-    stats = ranked.groupBy(*TABLE_KEY).agg(
-        F.count("*").alias("k"), F.max(f"{last}_column").alias("column"), F.max(f"{last}_at").alias("col_i"),
-        F.array_sort(F.collect_list(F.when(F.col("_k") <= 10, F.struct("_k", F.col("row_no").alias("row_index"), F.col(f"{last}_cell").alias("cell"), F.col(found).alias("value"), F.round("expected", 6).alias("expected"))))).alias("wrong"),
-    ).where(F.col("k") >= least).join(total, "table_index")
-    return _finding(
-        stats, method, "internal_consistency", base + 5.0 * F.col("k"), F.col("n"), F.format_string("%d rows differ from what their other columns give", "k"),
-        {"mismatch_count": F.col("k"), "evidence_examples": F.col("wrong")}, fixed=fixed,
-    )
-
-
-def _table_sizes(cells: DataFrame) -> DataFrame:
-    return cells.select("table_index", "row_i").distinct().groupBy("table_index").agg(F.count("*").alias("n"))
+    """A7: two columns of a table with equal values in equal order."""
+    return _findings([_clones(numeric, least, most)])
 
 
 def formula_mismatch(cells: DataFrame) -> DataFrame:
     """A8: volume against length * width**2 / 2."""
-    rows = wide_rows(cells, {"l": r"\blength", "w": r"\bwidth", "v": r"\bvolume"})
-    expected = F.col("l") * F.col("w") * F.col("w") / 2
-    tolerance = F.greatest(F.lit(0.02), F.abs("expected") * 0.02)
-    usable = F.col("l").isNotNull() & F.col("w").isNotNull() & F.col("v").isNotNull()
-    return _mismatches(rows, "v", expected, tolerance, usable, "v", _table_sizes(cells), 2, "formula_mismatch", 50.0, None)
+    return _findings([_checks(cells, ("formula_mismatch",))])
 
 
 def summary_math(cells: DataFrame) -> DataFrame:
     """A9: SEM against SD / sqrt(n)."""
-    rows = wide_rows(cells, {"k": r"^n$|sample\s*n", "sd": r"\bsd\b|std", "sem": r"\bsem\b|se\b"})
-    usable = (F.col("k") > 1) & F.col("sd").isNotNull() & F.col("sem").isNotNull()
-    tolerance = F.greatest(F.lit(0.001), F.abs("expected") * 0.03)
-    return _mismatches(rows, "sem", F.col("sd") / F.sqrt("k"), tolerance, usable, "sem", _table_sizes(cells), 1, "summary_math_inconsistency", 70.0, "High")
+    return _findings([_checks(cells, ("summary_math_inconsistency",))])
 
 
-def audit(cells: DataFrame, persist: bool = True) -> DataFrame:
-    """All nine screens over all tables: findings. The parsed cells are kept in memory or on disk for the screens to share."""
+def audit(cells: DataFrame) -> DataFrame:
+    """All nine screens over all tables: findings, with the texts beside each example."""
     numeric = numeric_cells(cells)
-    if persist:
-        numeric = numeric.persist()
-    parts = [
-        duplicate_rows(cells), last_digit_distribution(numeric), decimal_tail_regularity(numeric), duplicate_values(numeric), arithmetic_sequence(numeric),
-        benford_first_digit(numeric), clone_vector(numeric), formula_mismatch(cells), summary_math(cells),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _findings([_rows(cells), _columns(numeric), _clones(numeric), _checks(cells)], cells)

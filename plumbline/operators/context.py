@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from plumbline.functions.tokens import stripped
+from plumbline.sources.store import numbered
 
 # The patterns by which sections, notices and captions are told.
 ABSTRACT = r"(?is)\bAbstract\b\s*(.+?)(?:\n\s*(?:Data availability|References|Fig\. 1|Introduction|Author information)\b)"
@@ -181,4 +182,4 @@ def label_leads(rows: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def ranked_leads(leads: DataFrame) -> DataFrame:
     """Leads (a few per article) in the order of their scores."""
-    return leads.withColumn("context_rank", F.row_number().over(Window.orderBy(F.desc("context_score"), "kind", "summary", "evidence")))
+    return numbered(leads, [F.desc("context_score"), F.col("kind"), F.col("summary"), F.col("evidence")], "context_rank")

@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions import pixels as P
+from plumbline.sources.store import numbered
 
 FEATURES = "panel_id string, image_id string, source_path string, page int, bbox array<int>, width int, height int, gray binary, dhash bigint, phash bigint, edge_hist array<float>"
 #: Up to so many panels all pairs are candidates; then only those that one of these limits lets through.
@@ -178,9 +178,9 @@ def normalize_images(findings: DataFrame, min_risk: str = "Low") -> DataFrame:
         filled = filled.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast(kind)) if name in findings.columns else F.lit(0).cast(kind))
     tiers = filled.withColumn("risk_tier", risk_tier()).where(order[F.col("risk_tier")] >= order[F.lit(min_risk)])
     benign = F.create_map(*[x for k, v in BENIGN.items() for x in (F.lit(k), F.array(*[F.lit(b) for b in v]))])
-    numbered = F.row_number().over(Window.orderBy(F.desc("score"), "panel_id_a", "panel_id_b"))  # findings are a few thousand at most
-    ranked = F.row_number().over(Window.orderBy(F.desc(order[F.col("risk_tier")]), F.desc("score"), "panel_id_a", "panel_id_b"))
-    return tiers.withColumn("finding_id", F.format_string("image-%05d", numbered)).withColumn("normalized_rank", ranked).withColumn("benign_explanations_checked", benign[F.col("match_type")])
+    numbers = numbered(tiers, [F.desc("score"), F.col("panel_id_a"), F.col("panel_id_b")], "_number").withColumn("finding_id", F.format_string("image-%05d", "_number"))
+    ranked = numbered(numbers.withColumn("_tier", order[F.col("risk_tier")]), [F.desc("_tier"), F.desc("score"), F.col("panel_id_a"), F.col("panel_id_b")], "normalized_rank")
+    return ranked.drop("_number", "_tier").withColumn("benign_explanations_checked", benign[F.col("match_type")])
 
 
 def image_findings(images: DataFrame, max_pairs: int = MAX_PAIRS, min_score: float = 60.0, with_clones: bool = False, split_pages: bool = False) -> DataFrame:

@@ -74,7 +74,7 @@ _STEPS = f""",
 sl AS (SELECT {_KEY}, row_i, round(val - lag(val) OVER (PARTITION BY ti, col_i ORDER BY row_i), 10) d FROM num WHERE nn >= 8),
 sg AS (SELECT {_KEY}, d, count(*) c FROM sl WHERE d <> 0 GROUP BY ALL),
 sm AS (SELECT ti, col_i, max(c) common, sum(c) nonzero FROM sg GROUP BY ALL HAVING sum(c) >= 5),
-ss AS (SELECT {_KEY}, avg(d) mean, stddev_pop(d) sd, count(*) + 1 n FROM sl WHERE d IS NOT NULL GROUP BY ALL),
+ss AS (SELECT {_KEY}, avg(d) FILTER (WHERE d <> 0) mean, stddev_pop(d) FILTER (WHERE d <> 0) sd, count(*) + 1 n FROM sl WHERE d IS NOT NULL GROUP BY ALL),
 sa AS (SELECT *, CAST(common AS DOUBLE)/nonzero share, sd/(CASE WHEN mean = 0 THEN 1e-12 ELSE abs(mean) END) cv FROM ss JOIN sm USING (ti, col_i)),
 a4 AS (SELECT *, least(100e0, share*80 + greatest(0e0, 0.15e0-cv)*180) score0 FROM sa WHERE share >= 0.55 OR cv < 0.08)"""
 _BENFORD = f""",

@@ -54,7 +54,7 @@ def _evidence(details: dict) -> list[list[object]]:
 def _block(r: dict, folder: Path) -> str:
     details = json.loads(r["details"] or "{}")
     lines = [f"### {r['normalized_rank']}. {METHODS.get(r['method'], r['method'])}：{r['table_name']} / {r['column']}", "", f"- 层级：{TIERS[r['disposition']]}；得分 {r['score']}；n = {r['n']}；来源 {r['source_path']}", f"- {r['summary']}"]
-    counts = details.get("counts") if isinstance(details.get("counts"), dict) else {x["tail"]: x["count"] for x in details.get("top_tails") or []}
+    counts = details.get("counts") or details.get("top_tails")
     if counts and r["method"] in ("last_digit_distribution", "decimal_tail_regularity"):
         name = f"{r['finding_id']}.svg"
         folder.mkdir(parents=True, exist_ok=True)

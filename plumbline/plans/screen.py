@@ -13,32 +13,34 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import audits, classify, context, dispose, headers
 from plumbline.sources import files, tables
+from plumbline.sources.store import kept, stored, temporary
 
 
 def extract(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(cells, statuses) of all files under root. Statuses are the files or arrays that gave no table, and why.
 
-    Files are read once: rows and cells are kept for the stages that follow.
+    Files are read once: rows and cells are stored for the stages that follow.
     """
-    rows = tables.numbered(tables.extract_rows(spark, files.inventory(spark, root))).persist()
-    statuses = rows.where("status is not null").select("table_index", "source_path", "table_name", "source_confidence", "status", "message")
-    return headers.to_cells(rows).persist(), statuses
+    with temporary(spark):
+        rows = stored(tables.numbered(stored(tables.extract_rows(spark, files.inventory(spark, root)), "rows")), "rows")
+        statuses = kept(rows.where("status is not null").select("table_index", "source_path", "table_name", "source_confidence", "status", "message"), "statuses")
+        return kept(headers.to_cells(rows), "cells"), statuses
 
 
 def screen(cells: DataFrame, captions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything that the numeric branch makes of cells."""
-    named = cells.select("table_index", "source_path", "table_name").distinct()
-    mappings = context.map_to_figures(named, captions)
-    classes = classify.classify_columns(cells, mappings).persist()
-    findings = dispose.with_order(audits.audit(cells)).persist()
-    normalized = dispose.normalize(findings, classes).persist()
-    leads = context.column_leads(classes).unionByName(context.label_leads(audits.table_rows(cells), mappings))
-    if captions is not None:
-        leads = leads.unionByName(context.coverage_leads(captions, mappings))
-    return {
-        "mappings": mappings, "classes": classes, "findings": findings, "normalized": normalized, "ranked": dispose.rank_findings(findings, classes), "leads": context.ranked_leads(leads),
-        "summary": dispose.assessment_summary(findings, normalized, classes),
-    }
+    """Everything that the numeric branch makes of cells. Results are stored; what they were made of is deleted."""
+    with temporary(cells.sparkSession):
+        mappings = kept(context.map_to_figures(cells.select("table_index", "source_path", "table_name").distinct(), captions), "mappings")
+        classes = kept(classify.classify_columns(cells, mappings), "classes")
+        findings = kept(dispose.with_order(audits.audit(cells)), "findings")
+        normalized = kept(dispose.normalize(findings, classes), "normalized")
+        leads = context.column_leads(classes).unionByName(context.label_leads(audits.table_rows(cells), mappings))
+        if captions is not None:
+            leads = leads.unionByName(context.coverage_leads(captions, mappings))
+        return {
+            "mappings": mappings, "classes": classes, "findings": findings, "normalized": normalized, "ranked": kept(dispose.rank_findings(findings, classes), "ranked"),
+            "leads": kept(context.ranked_leads(leads), "leads"), "summary": dispose.assessment_summary(findings, normalized, classes),
+        }
 
 
 def screen_folder(spark: SparkSession, root: str, article: str | None = None) -> dict[str, DataFrame]:

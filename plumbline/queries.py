@@ -15,6 +15,8 @@ from plumbline.operators import audits, classify, context, dispose, evaluate, he
 from plumbline.oracles import ORACLE_SQL
 from plumbline.plans.star import LINEITEM_ORDER, star_cells
 from plumbline.sources.melt import Melt, melt
+from plumbline.sources.store import kept, stored, temporary
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,29 +28,34 @@ def _brief(findings: DataFrame, **details: str) -> DataFrame:
     return findings.select("table_name", F.col("column").alias("column_name"), "n", "score", "severity", *more)
 
 
+def _found(spark: SparkSession, findings: Callable[[], DataFrame], **details: str) -> DataFrame:
+    """A screen's findings, a few for each column, kept; what they were made of is deleted."""
+    with temporary(spark):
+        return kept(_brief(findings(), **details), "findings")
+
+
 def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed cells, kept for the parts of a screen (and the screens) to share."""
-    return audits.numeric_cells(star_cells(spark, sf_dir)).persist()
+    return audits.numeric_cells(star_cells(spark, sf_dir))
 
 
 def last_digit(spark, sf_dir):
-    return _brief(audits.last_digit_distribution(_numeric(spark, sf_dir)), top_digit="string top_digit")
+    return _found(spark, lambda: audits.last_digit_distribution(_numeric(spark, sf_dir)), top_digit="string top_digit")
 
 
 def decimal_tail(spark, sf_dir):
-    return _brief(audits.decimal_tail_regularity(_numeric(spark, sf_dir)), top_tail="string top_tail", tidy="bigint tidy_tail_count")
+    return _found(spark, lambda: audits.decimal_tail_regularity(_numeric(spark, sf_dir)), top_tail="string top_tail", tidy="bigint tidy_tail_count")
 
 
 def duplicate_values(spark, sf_dir):
-    return _brief(audits.duplicate_values(_numeric(spark, sf_dir)), unique_n="bigint unique_n", repeated="bigint repeat_count")
+    return _found(spark, lambda: audits.duplicate_values(_numeric(spark, sf_dir)), unique_n="bigint total_unique_values", repeated="bigint repeat_count")
 
 
 def arithmetic_sequence(spark, sf_dir):
-    return _brief(audits.arithmetic_sequence(_numeric(spark, sf_dir)), steps="bigint common_step_count")
+    return _found(spark, lambda: audits.arithmetic_sequence(_numeric(spark, sf_dir)), steps="bigint common_step_count")
 
 
 def benford(spark, sf_dir):
-    return _brief(audits.benford_first_digit(_numeric(spark, sf_dir)))
+    return _found(spark, lambda: audits.benford_first_digit(_numeric(spark, sf_dir)))
 
 
 def _pattern_cells(spark, sf_dir):
@@ -56,13 +63,13 @@ def _pattern_cells(spark, sf_dir):
 
 
 def duplicate_rows(spark, sf_dir):
-    return _brief(audits.duplicate_rows(_pattern_cells(spark, sf_dir)), patterns="bigint patterns", repeated="bigint repeated_rows")
+    return _found(spark, lambda: audits.duplicate_rows(_pattern_cells(spark, sf_dir)), patterns="bigint duplicate_row_patterns", repeated="bigint repeat_rows")
 
 
 def clone_vector(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").withColumn("key_copy", F.col("n_nationkey"))
     cells = melt(nation, Melt("nation", 0, "n_nationkey", {"n_nationkey": "whole", "n_regionkey": "whole", "key_copy": "fixed"}))
-    return _brief(audits.clone_vector(audits.numeric_cells(cells)))
+    return _found(spark, lambda: audits.clone_vector(audits.numeric_cells(cells)))
 
 
 def _volumes(spark, sf_dir):
@@ -73,13 +80,14 @@ def _volumes(spark, sf_dir):
 
 
 def formula_check(spark, sf_dir):
-    return _brief(audits.formula_mismatch(_volumes(spark, sf_dir)), mismatches="bigint mismatch_count")
+    return _found(spark, lambda: audits.formula_mismatch(_volumes(spark, sf_dir)), mismatches="bigint mismatch_count")
 
 
 def summary_math(spark, sf_dir):
     by_supplier = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.stddev_samp("l_quantity").alias("sd"))
     made = by_supplier.withColumn("sem", F.col("sd") / F.sqrt("n") + F.when(F.col("l_suppkey") % 10 == 0, 1).otherwise(0))
-    return _brief(audits.summary_math(melt(made, Melt("suppliers", 0, "l_suppkey", {"n": "whole", "sd": "fixed", "sem": "fixed"}))), mismatches="bigint mismatch_count")
+    cells = melt(made, Melt("suppliers", 0, "l_suppkey", {"n": "whole", "sd": "fixed", "sem": "fixed"}))
+    return _found(spark, lambda: audits.summary_math(cells), mismatches="bigint mismatch_count")
 
 
 def classify_columns(spark, sf_dir):
@@ -88,29 +96,28 @@ def classify_columns(spark, sf_dir):
 
 
 def _screened(spark, sf_dir):
-    cells = star_cells(spark, sf_dir)
-    numeric = _numeric(spark, sf_dir)
-    parts = [f(numeric) for f in (audits.last_digit_distribution, audits.decimal_tail_regularity, audits.duplicate_values, audits.arithmetic_sequence, audits.benford_first_digit)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return dispose.with_order(found).persist(), classify.classify_columns(cells).persist()  # both small, and used more than once
+    """Findings of the screens of single columns, numbered, and the columns' classes."""
+    findings = stored(dispose.with_order(audits.column_screens(_numeric(spark, sf_dir))), "findings")
+    return findings, stored(classify.classify_columns(star_cells(spark, sf_dir)), "classes")
 
 
 def normalize(spark, sf_dir):
-    out = dispose.normalize(*_screened(spark, sf_dir))
-    return out.select("table_name", F.col("column").alias("column_name"), "method", "error_type", "column_type", "applicability", "disposition", "score", "n")
+    with temporary(spark):
+        out = dispose.normalize(*_screened(spark, sf_dir))
+        return kept(out.select("table_name", F.col("column").alias("column_name"), "method", "error_type", "column_type", "applicability", "disposition", "score", "n"), "normalized")
 
 
 def rank(spark, sf_dir):
-    out = dispose.rank_findings(*_screened(spark, sf_dir))
-    return out.select("table_name", F.col("column").alias("column_name"), "method", "severity", "rank_score")
+    with temporary(spark):
+        out = dispose.rank_findings(*_screened(spark, sf_dir))
+        return kept(out.select("table_name", F.col("column").alias("column_name"), "method", "severity", "rank_score"), "ranked")
 
 
 def assessment_summary(spark, sf_dir):
-    findings, classes = _screened(spark, sf_dir)
-    out = dispose.assessment_summary(findings, dispose.normalize(findings, classes), classes)
-    return out.select("high_confidence_count", "weak_anomaly_count", "not_applicable_count", "raw_statistical_hit_count", "auditable_column_count", "highest_observed_tier", "source_data_status")
+    with temporary(spark):
+        findings, classes = _screened(spark, sf_dir)
+        out = dispose.assessment_summary(findings, dispose.normalize(findings, classes), classes)
+        return kept(out.select("high_confidence_count", "weak_anomaly_count", "not_applicable_count", "raw_statistical_hit_count", "auditable_column_count", "highest_observed_tier", "source_data_status"), "summary")
 
 
 def _document_rows(spark, sf_dir):
@@ -233,16 +240,19 @@ def risk_tiers(spark, sf_dir):
     return judged.groupBy("match_type", "risk_tier").agg(F.count("*").alias("pairs"), F.max("score").alias("top_score"))
 
 
-def fixture_screen(spark, sf_dir):
+def _fixture(spark: SparkSession) -> DataFrame:
     """The synthetic table through all nine screens: findings with their dispositions."""
     cells = evaluate.fixture_cells(spark)
-    out = dispose.normalize(audits.audit(cells), classify.classify_columns(cells))
-    return out.select(F.col("column").alias("column_name"), "method", "disposition", "score", "n", "normalized_rank")
+    with temporary(spark):
+        return kept(dispose.normalize(audits.audit(cells), classify.classify_columns(cells)), "normalized")
+
+
+def fixture_screen(spark, sf_dir):
+    return _fixture(spark).select(F.col("column").alias("column_name"), "method", "disposition", "score", "n", "normalized_rank")
 
 
 def score_oracle(spark, sf_dir):
-    cells = evaluate.fixture_cells(spark)
-    found = dispose.normalize(audits.audit(cells), classify.classify_columns(cells)).persist()
+    found = _fixture(spark)
     return evaluate.recovery(evaluate.score_oracle(found, evaluate.fixture_oracle(spark)), found)
 
 

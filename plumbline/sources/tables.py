@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from plumbline.sources.store import numbered as ordered
 
 #: columns is null where the header has to be found among the rows.
 ROWS = (
@@ -194,5 +195,5 @@ def extract_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """rows with table_index: the ordinal of the table in the order of files and of tables within them."""
     key = ["source_path", "source_confidence", "table_ord", "table_name"]
-    tables = rows.select(*key).distinct().withColumn("table_index", F.row_number().over(Window.orderBy(*key)) - 1)
-    return rows.join(tables, key)
+    tables = ordered(rows.select(*key).distinct(), [F.col(k) for k in key], "table_index")
+    return rows.join(tables.withColumn("table_index", (F.col("table_index") - 1).cast("int")), key)

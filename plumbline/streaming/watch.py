@@ -10,13 +10,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from plumbline.model import CELLS
 from plumbline.operators import audits
+from plumbline.sources.store import discard, kept, temporary
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Parquet files of cells that appear in folder give findings in out, once each: a batch's number names its output."""
 
     def screen(batch: DataFrame, number: int) -> None:
-        audits.audit(batch, persist=False).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        cells = kept(batch, "batch")
+        with temporary(cells.sparkSession):
+            audits.audit(cells).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        discard(cells)
 
     cells = spark.readStream.schema(CELLS).parquet(folder)
     return cells.writeStream.foreachBatch(screen).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
