@@ -23,6 +23,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 NUMBER = r"(?U)\A[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?\z"
 
 
+_SIMPLE = r"\A[-+]?[0-9]+(?:\.[0-9]+)?\z"
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
@@ -37,7 +40,8 @@ def numeric_token(text: Column) -> Column:
     """The number as printed, without commas and a closing per cent sign; null if it isn't one."""
     bare = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), ",", "")
     bare = stripped(F.when(bare.endswith("%"), bare.substr(F.lit(1), F.length(bare) - 1)).otherwise(bare))
-    return F.when(bare.rlike(NUMBER), bare)
+    # Nearly all cells are plain numbers, which one simple pattern tells.
+    return F.when(text.rlike(_SIMPLE), text).otherwise(F.when(bare.rlike(NUMBER), bare))
 
 
 def value(token: Column) -> Column:
@@ -60,22 +64,30 @@ def plain(token: Column) -> Column:
         return let(F.struct(filled.alias("d"), at.alias("at")), lambda x: F.concat_ws(".", x["d"].substr(F.lit(1), x["at"]), F.when(F.length(x["d"]) > x["at"], x["d"].substr(x["at"] + 1, F.length(x["d"])))))
 
     moved = let(parts, lambda p: F.when(p["exponent"].between(-400, 400), written(p)).otherwise(token))
-    return F.when(token.rlike("[eE]"), moved).otherwise(token)
+    return F.when(_has_exponent(token), moved).otherwise(token)
+
+
+def _has_exponent(token: Column) -> Column:
+    return token.contains("e") | token.contains("E")
+
+
+def _decimals(token: Column) -> Column:
+    return F.split_part(token, F.lit("."), F.lit(2))
 
 
 def last_digit(token: Column) -> Column:
     """The last printed digit of a token without exponent."""
-    return F.nullif(F.regexp_extract(token, r"(\d)\D*$", 1), F.lit(""))
+    return F.right(F.rtrim(token, F.lit(".")), F.lit(1))
 
 
 def decimal_tail(token: Column) -> Column:
     """The first two decimals of a token without exponent, padded with zeros."""
-    return F.rpad(F.substring(F.regexp_extract(token, r"\.(\d*)", 1), 1, 2), 2, "0")
+    return F.rpad(F.substring(_decimals(token), 1, 2), 2, "0")
 
 
 def decimal_places(token: Column) -> Column:
     """Printed decimals; null for numbers with an exponent."""
-    return F.when(~token.rlike("[eE]"), F.length(F.regexp_extract(token, r"\.(\d*)", 1)))
+    return F.when(~_has_exponent(token), F.length(_decimals(token)))
 
 
 def first_digit(token: Column) -> Column:

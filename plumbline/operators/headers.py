@@ -15,6 +15,8 @@ HINTS = (
     "seqnames", "chr", "chrom", "start", "end", "width", "strand", "annotation", "gene", "protein", "pvalue", "p value", "padj", "sample", "group", "condition",
     "time", "day", "length", "volume", "weight", "mean", "sd", "sem", "n", "ratio", "intensity", "level",
 )
+#: What parts no words: letters and digits of any script, and the underscore.
+_WORD = r"[\p{L}\p{N}_]"
 SCANNED = 20
 CONTEXT_ROWS = 3
 #: What Python's float() takes.
@@ -30,7 +32,7 @@ def header_score(cells: Column) -> Column:
     n = F.size(cells)
     numbers = F.size(F.filter(cells, is_numeric_text))
     joined = F.lower(F.array_join(cells, " "))
-    hints = sum((joined.rlike(rf"\b{re.escape(h)}\b").cast("int") for h in HINTS), F.lit(0))
+    hints = sum((joined.rlike(rf"(?<!{_WORD}){re.escape(h)}(?!{_WORD})").cast("int") for h in HINTS), F.lit(0))
     score = (n - numbers) * 2.0 + hints * 5.0 - numbers * 1.5
     score = score + F.when(n >= 3, 3.0).otherwise(0.0) - F.when((n == 1) & (F.length(F.get(cells, F.lit(0))) > 40), 6.0).otherwise(0.0)
     return F.when(n == 0, -10.0).otherwise(score)

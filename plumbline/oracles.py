@@ -142,7 +142,7 @@ _LINES = f"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''
 rows0 AS (SELECT doc_id, row_i, [{_CLEAN} FOR x IN string_split(line, ',')] AS allcells FROM lines),
 rows1 AS (SELECT *, [x FOR x IN allcells IF x <> ''] AS c FROM rows0)"""
 _NUMERIC = f"len([x FOR x IN {{c}} IF regexp_matches(replace(x, ',', ''), {_q(_FLOAT)}, 'i')])"
-_HINTED = " + ".join(f"regexp_matches(lower(array_to_string(c, ' ')), '\\b{h}\\b')::INT" for h in HINTS)
+_HINTED = " + ".join(f"regexp_matches(lower(array_to_string(c, ' ')), '(^|[^\\p{{L}}\\p{{N}}_]){h}([^\\p{{L}}\\p{{N}}_]|$)')::INT" for h in HINTS)
 _HEADERS = _LINES + f""",
 scored AS (SELECT doc_id, row_i, CASE WHEN len(c) = 0 THEN -10 ELSE (len(c) - {_NUMERIC.format(c='c')})*2.0 + ({_HINTED})*5.0 - {_NUMERIC.format(c='c')}*1.5 + (len(c) >= 3)::INT*3 - (len(c) = 1 AND length(c[1]) > 40)::INT*6 END
   + coalesce((len(nx) > 0 AND {_NUMERIC.format(c='nx')} >= greatest(1, len(nx)//3))::INT*3, 0) AS score FROM (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY row_i) nx FROM rows1 WHERE row_i <= 20) WHERE row_i < 20)"""
