@@ -45,7 +45,12 @@ EXAMPLE = {
 
 
 def numeric_cells(cells: DataFrame) -> DataFrame:
-    """Cells that are finite numbers, with the properties of their tokens. Each screen has its own least number of them (five or more)."""
+    """Cells that are finite numbers, with the properties of their tokens. Each screen has its own least number of them (five or more).
+
+    Parsed cells are returned as they are: screens take either.
+    """
+    if "val" in cells.columns:
+        return cells
     parsed = cells.withColumn("token", T.numeric_token(F.col("raw"))).withColumn("val", T.value(F.col("token"))).where("val is not null")
     parsed = parsed.withColumn("plain", T.plain(F.col("token")))
     return parsed.select(
@@ -79,14 +84,15 @@ def _hit(method: str, family: str, score: Column, n: Column, summary: Column, co
     )
 
 
-def lagged(numeric: DataFrame) -> DataFrame:
-    """numeric with ``before``, the numeric cell before in the same column (val, row_i, row_no, cell, raw), and ``d``, the step from it.
+def lagged(cells: DataFrame) -> DataFrame:
+    """Numeric cells with ``before``, the numeric cell before in the same column (val, row_i, row_no, cell, raw), and ``d``, the step from it.
 
-    Cells are dealt by ranges of table, column and row, so a column of any size is ordered in as many tasks as
+    Cells are dealt by ranges of table, column and row (and parsed where they are dealt to), so a column of any size is ordered in as many tasks as
     it needs; the first cell of a part takes its predecessor from the end of the part before.
     """
     cell = F.struct("val", "row_i", "row_no", "cell", "raw")
-    dealt = numeric.repartitionByRange(*COLUMN, "row_i").withColumn("_part", F.spark_partition_id())
+    dealt = cells.repartitionByRange(*COLUMN, "row_i")
+    dealt = numeric_cells(dealt).withColumn("_part", F.spark_partition_id())
     held = stored(dealt.withColumn("_lag", F.lag(cell).over(Window.partitionBy(*COLUMN, "_part").orderBy("row_i"))), "steps")
     # A row for each part of a column.
     ends = held.groupBy(*COLUMN, "_part").agg(F.max_by(cell, "row_i").alias("_end"))
@@ -190,11 +196,10 @@ def _column_hits(methods: tuple[str, ...]) -> Column:
 Parts = tuple[DataFrame, DataFrame]  # hits, and the rows behind them: (*HIT, pos, row_i, focus, example)
 
 
-def _columns(numeric: DataFrame, methods: tuple[str, ...] = tuple(KINDS)) -> Parts:
-    """The screens of single columns."""
+def _columns(cells: DataFrame, methods: tuple[str, ...] = tuple(KINDS)) -> Parts:
+    """The screens of single columns. Cells are parsed once, and stored for what follows."""
     kinds = tuple(k for m in methods for k in KINDS[m])
-    if "step" in kinds:
-        numeric = lagged(numeric)
+    numeric = lagged(cells) if "step" in kinds else stored(numeric_cells(cells), "numeric")
     of_hit = {m: KINDS[m][0] for m in methods}
     shown = F.struct(*[F.lit(of_hit[m]).alias(m) for m in methods])
     profile = _profile(numeric, kinds).withColumn("hit", F.explode(_column_hits(methods)))
@@ -257,8 +262,9 @@ def _rows(cells: DataFrame) -> Parts:
     return hits, some.select("table_index", F.lit("duplicate_rows").alias("method"), none.alias("col_i"), none.alias("col_b"), (F.col("k") * 100 + F.col("j")).cast("long").alias("pos"), "row_i", none.alias("focus"), example.alias("example"))
 
 
-def _clones(numeric: DataFrame, least: int = 5, most: int = 200) -> Parts:
+def _clones(cells: DataFrame, least: int = 5, most: int = 200) -> Parts:
     """A7: two columns of a table with equal values in equal order, blanks left out: a join on the vector, not on all pairs."""
+    numeric = numeric_cells(cells)
     # Sizes first: only short columns become vectors.
     sizes = numeric.groupBy(*COLUMN).agg(F.count("*").alias("k")).where(F.col("k").between(least, most)).drop("k")
     at = F.struct("row_i", (F.round("val", 8) + 0.0).alias("v"), "row_no", "cell", "raw")
@@ -354,34 +360,34 @@ def _findings(parts: list[Parts], cells: DataFrame | None = None) -> DataFrame:
     )
 
 
-def last_digit_distribution(numeric: DataFrame) -> DataFrame:
+def last_digit_distribution(cells: DataFrame) -> DataFrame:
     """A1: last printed digits against the uniform distribution."""
-    return _findings([_columns(numeric, ("last_digit_distribution",))])
+    return _findings([_columns(cells, ("last_digit_distribution",))])
 
 
-def decimal_tail_regularity(numeric: DataFrame) -> DataFrame:
+def decimal_tail_regularity(cells: DataFrame) -> DataFrame:
     """A2: repeated or tidy decimals, and a single precision."""
-    return _findings([_columns(numeric, ("decimal_tail_regularity",))])
+    return _findings([_columns(cells, ("decimal_tail_regularity",))])
 
 
-def duplicate_values(numeric: DataFrame) -> DataFrame:
+def duplicate_values(cells: DataFrame) -> DataFrame:
     """A3: groups of equal values (to 10 decimals)."""
-    return _findings([_columns(numeric, ("duplicate_values",))])
+    return _findings([_columns(cells, ("duplicate_values",))])
 
 
-def arithmetic_sequence(numeric: DataFrame) -> DataFrame:
+def arithmetic_sequence(cells: DataFrame) -> DataFrame:
     """A4: one step, or hardly varying steps, from row to row; rows without a change don't count."""
-    return _findings([_columns(numeric, ("arithmetic_or_over_smooth_sequence",))])
+    return _findings([_columns(cells, ("arithmetic_or_over_smooth_sequence",))])
 
 
-def benford_first_digit(numeric: DataFrame) -> DataFrame:
+def benford_first_digit(cells: DataFrame) -> DataFrame:
     """A5: first digits against Benford's law, for values that span two orders of magnitude."""
-    return _findings([_columns(numeric, ("benford_first_digit",))])
+    return _findings([_columns(cells, ("benford_first_digit",))])
 
 
-def column_screens(numeric: DataFrame) -> DataFrame:
+def column_screens(cells: DataFrame) -> DataFrame:
     """A1 to A5 at once."""
-    return _findings([_columns(numeric)])
+    return _findings([_columns(cells)])
 
 
 def duplicate_rows(cells: DataFrame) -> DataFrame:
@@ -389,9 +395,9 @@ def duplicate_rows(cells: DataFrame) -> DataFrame:
     return _findings([_rows(cells)])
 
 
-def clone_vector(numeric: DataFrame, least: int = 5, most: int = 200) -> DataFrame:
+def clone_vector(cells: DataFrame, least: int = 5, most: int = 200) -> DataFrame:
     """A7: two columns of a table with equal values in equal order."""
-    return _findings([_clones(numeric, least, most)])
+    return _findings([_clones(cells, least, most)])
 
 
 def formula_mismatch(cells: DataFrame) -> DataFrame:
@@ -406,5 +412,4 @@ def summary_math(cells: DataFrame) -> DataFrame:
 
 def audit(cells: DataFrame) -> DataFrame:
     """All nine screens over all tables: findings, with the texts beside each example."""
-    numeric = numeric_cells(cells)
-    return _findings([_rows(cells), _columns(numeric), _clones(numeric), _checks(cells)], cells)
+    return _findings([_rows(cells), _columns(cells), _clones(cells), _checks(cells)], cells)

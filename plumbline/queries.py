@@ -34,28 +34,24 @@ def _found(spark: SparkSession, findings: Callable[[], DataFrame], **details: st
         return kept(_brief(findings(), **details), "findings")
 
 
-def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.numeric_cells(star_cells(spark, sf_dir))
-
-
 def last_digit(spark, sf_dir):
-    return _found(spark, lambda: audits.last_digit_distribution(_numeric(spark, sf_dir)), top_digit="string top_digit")
+    return _found(spark, lambda: audits.last_digit_distribution(star_cells(spark, sf_dir)), top_digit="string top_digit")
 
 
 def decimal_tail(spark, sf_dir):
-    return _found(spark, lambda: audits.decimal_tail_regularity(_numeric(spark, sf_dir)), top_tail="string top_tail", tidy="bigint tidy_tail_count")
+    return _found(spark, lambda: audits.decimal_tail_regularity(star_cells(spark, sf_dir)), top_tail="string top_tail", tidy="bigint tidy_tail_count")
 
 
 def duplicate_values(spark, sf_dir):
-    return _found(spark, lambda: audits.duplicate_values(_numeric(spark, sf_dir)), unique_n="bigint total_unique_values", repeated="bigint repeat_count")
+    return _found(spark, lambda: audits.duplicate_values(star_cells(spark, sf_dir)), unique_n="bigint total_unique_values", repeated="bigint repeat_count")
 
 
 def arithmetic_sequence(spark, sf_dir):
-    return _found(spark, lambda: audits.arithmetic_sequence(_numeric(spark, sf_dir)), steps="bigint common_step_count")
+    return _found(spark, lambda: audits.arithmetic_sequence(star_cells(spark, sf_dir)), steps="bigint common_step_count")
 
 
 def benford(spark, sf_dir):
-    return _found(spark, lambda: audits.benford_first_digit(_numeric(spark, sf_dir)))
+    return _found(spark, lambda: audits.benford_first_digit(star_cells(spark, sf_dir)))
 
 
 def _pattern_cells(spark, sf_dir):
@@ -69,7 +65,7 @@ def duplicate_rows(spark, sf_dir):
 def clone_vector(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").withColumn("key_copy", F.col("n_nationkey"))
     cells = melt(nation, Melt("nation", 0, "n_nationkey", {"n_nationkey": "whole", "n_regionkey": "whole", "key_copy": "fixed"}))
-    return _found(spark, lambda: audits.clone_vector(audits.numeric_cells(cells)))
+    return _found(spark, lambda: audits.clone_vector(cells))
 
 
 def _volumes(spark, sf_dir):
@@ -97,7 +93,7 @@ def classify_columns(spark, sf_dir):
 
 def _screened(spark, sf_dir):
     """Findings of the screens of single columns, numbered, and the columns' classes."""
-    findings = stored(dispose.with_order(audits.column_screens(_numeric(spark, sf_dir))), "findings")
+    findings = stored(dispose.with_order(audits.column_screens(star_cells(spark, sf_dir))), "findings")
     return findings, stored(classify.classify_columns(star_cells(spark, sf_dir)), "classes")
 
 
