@@ -20,7 +20,6 @@ packed as often as they occur, a null id stays null. Other columns are left out.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from plumbline.llm.common import salted_rank, stored
 #: Words whose ids a worker remembers, at most.
 REMEMBERED = 1_000_000
 #: Rows that one task numbers within a length.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 1_000
 _RANK_BITS = 44
 
 
@@ -44,19 +43,24 @@ class WordIds:
     This vocabulary's tokens never cross white space, so a text's ids are those of
     its words, in order; words come again, and their ids are remembered. Texts are
     cut at space and line feed only, and what else counts as white space stays
-    with the tokenizer. New words of letters alone are encoded in one run: each ends with a
+    with the tokenizer. Nor do tokens cross from letters to marks: a word of letters with marks after it is made of both.
+    New words of letters alone are encoded in one run: each ends with a
     token that says so, and if as many do as there are words, the run is cut there.
+
+    When too many words are remembered, those that never came again are forgotten.
     """
 
-    _ending = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,])")
+    _marks = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
-        self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.again: set[bytes] = set()
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -76,19 +80,17 @@ class WordIds:
             self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        known, later, new = self.known, [], set()
-        for w in words:
-            if m := self._ending.fullmatch(w):  # the tokenizer parts a letter from a mark after it
-                later.append((w, m[1], m[2]))
-                new.update(x for x in m.groups() if x not in known)
-            else:
-                new.add(w)
-        letters = [w for w in new if w.decode().isalpha()]
-        for at in range(0, len(letters), 1_000):
-            self._together(letters[at : at + 1_000])
-        self._apart([w for w in new if w not in known])
-        for w, a, b in later:
-            known[w] = known[a] + known[b]
+        known, marks = self.known, self._marks
+        cores = {w: w.rstrip(marks) for w in words}
+        letters = {c for c in cores.values() if c and c not in known and c.decode().isalpha()}
+        ordered = list(letters)
+        for at in range(0, len(ordered), 1_000):
+            self._together(ordered[at : at + 1_000])
+        two = {w: c for w, c in cores.items() if w is not c and len(w) > len(c) and (c in letters or (c in known and c.isalpha()))}
+        ends = {w[len(c) :] for w, c in two.items()}
+        self._apart([w for w in (words | ends) if w not in known and w not in two])
+        for w, c in two.items():
+            known[w] = known[c] + known[w[len(c) :]]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         cut = []
@@ -98,11 +100,13 @@ class WordIds:
                 raw = raw.lower()
             cut.append(raw.replace(b"\n", b" ").split(b" "))
         every = set().union(*cut)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, every
-        new.discard(b"")
-        self.known[b""] = b""
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.remembered:
+            self.known = {w: self.known[w] for w in self.again if w in self.known}
+            self.known[b""] = b""
+            self.again = set()
+            new = every.difference(self.known)
+        self.again.update(every.difference(new))
         self.learn(new)
         for words in cut:
             yield b"".join(map(self.known.__getitem__, words))
@@ -242,8 +246,8 @@ def pack(
     runs = sorted(best_two_fit(counts, capacity))
     length, first, _, sequence, times, offset = (np.array(x, dtype=np.int64) for x in (zip(*runs, strict=True) if runs else [()] * 6))
     told = spark.sparkContext.broadcast(((length << _RANK_BITS) + first, first, sequence, times, offset))
-    salts = int(counts.max()) // RANKED_ROWS + 1
-    ranked = salted_rank(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)), ["doc_id", "piece", "ids_crc32"], "rank")
+    salts = F.get(F.lit((counts // RANKED_ROWS + 1).tolist()), F.col("length").cast("int"))
+    ranked = salted_rank(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts), ["doc_id", "piece", "ids_crc32"], "rank")
     ranked = ranked.select(*pieces.columns, F.col("rank").cast("long"))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     return ranked.mapInArrow(_place(told), schema)
