@@ -6,35 +6,15 @@ counts whose size doesn't depend on the number of rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.sources.store import discard, shared_folder, stored, work_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_plumbline_shared", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        context.setCheckpointDir(folder)
-        context._plumbline_shared = folder
-    return folder.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage; survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "discard", "exact_cuts", "salted_rank", "shared_folder", "stored", "work_path"]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -59,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
         )
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        before, edges = edges, stored(small.where("u <> v").distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break

@@ -8,7 +8,7 @@ the number of documents it links with.
 How the work is split
 ---------------------
 1.  One pass makes a 128-bit digest of every set. Documents with equal sets
-    form a class of copies; its smallest id stands for it from here on, so a
+    form a class of copies, which has a number; one of its rows stands for it from here on, so a
     group of copies of any size costs one document.
 2.  Inverted lists. A partner shares at least ``T = ceil(percent * n / 100)`` of
     the n shingles of a document, so it is on one at least of the
@@ -18,9 +18,11 @@ How the work is split
     hash), and only this head of each document is posted.
 3.  Short posted lists (up to ``short_list`` documents) are merged: pairs on
     them count their common lists, and those under ``extra + 1``, or under the T of the larger set
-    where that is less, go. Longer ones
-    link each of their documents with the smallest: no list gives more rows
-    than it has documents times ``short_list``.
+    where that is less, go. A document on a longer list would have too many
+    pairs there: it posts signatures instead (see ``signatures``), each a hash of a fixed part of
+    its set. Sets that link differ in few shingles, so some part has none of the differences, whereas those that merely have a
+    frequent shingle in common share no whole part. Documents of one signature
+    are joined with the first of them.
 4.  The components of these candidates are blocks: all links lie within blocks. Each
     document goes to its block once with its full set. A block of over
     ``chunk`` documents is split by hash, and each pair of its chunks is a task
@@ -33,7 +35,8 @@ How the work is split
 6.  Components of those edges give the classes.
 
 Nulls, empty texts and texts without words have no shingles and link with
-nothing. A row with a null id is returned with what its set says. Repeated rows
+nothing. Rows are told by their id and text: rows of one id may have different texts, each of which has its own links, and
+a row with a null id links as any other, but is never the smallest of its class (whose component is null if all its ids are). Repeated rows
 get the same result and count as copies. Other columns are left out, so that clashing names
 cannot matter.
 """
@@ -48,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, stored
+from plumbline.llm.common import components, discard, stored
 from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 
 #: Frequent shingles that are told to all tasks, at most: 16 bytes each.
@@ -71,7 +74,7 @@ def _digests(k: int):
         word_bytes = space_separated()
         for batch in batches:
             size, one, two, kept = [], [], [], []
-            for s in shingle_sets(batch.column(1), k, word_bytes):
+            for s in shingle_sets(batch.column(2), k, word_bytes):
                 size.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64)) if len(s) else 0)
                 two.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0)
@@ -87,13 +90,14 @@ def _digests(k: int):
             longs = lambda x: pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(1), pa.nulls(m, pa.int64())]),
                     pa.array(np.concatenate([np.array(size, dtype=np.int64), count[often].astype(np.int64)])),
                     longs(np.concatenate([np.array(one, dtype=np.uint64), every[edge[often]] if m else np.empty(0, dtype=np.uint64)])),
                     longs(np.concatenate([np.array(two, dtype=np.uint64), np.zeros(m, dtype=np.uint64)])),
                     pa.array(np.concatenate([np.zeros(n, dtype=bool), np.ones(m, dtype=bool)])),
                 ],
-                names=["id", "n", "d1", "d2", "noted"],
+                names=["id", "row", "n", "d1", "d2", "noted"],
             )
 
     return run
@@ -124,21 +128,78 @@ def _heads(k: int, percent: int, extra: int, frequent):
                     s = s[:take]
                 heads.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.array(sizes, dtype=np.int64)), pa.array(heads, type=pa.list_(pa.int64()))],
-                names=["id", "n", "head"],
+                [batch.column(0), pa.array(np.array(sizes, dtype=np.int64)), pa.array(heads, type=pa.list_(pa.int64()))],
+                names=["row", "n", "head"],
             )
 
     return run
 
 
+def bands(percent: int, largest: int) -> np.ndarray:
+    """Least sizes of bands of sizes, from 1: sets that link are of one band or of neighbouring ones."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, dtype=np.int64)
+
+
+def parts_of(percent: int, limits: np.ndarray, band: int) -> tuple[int, int]:
+    """(parts, slack) for pairs whose smaller set is of a band.
+
+    Two such sets that link differ in at most h shingles, so of h + 1 + slack parts at least 1 + slack are equal in both.
+    """
+    smaller = int(limits[band + 1]) - 1
+    h = (smaller + smaller * 100 // percent) * (100 - percent) // (100 + percent)
+    slack = 1 + -(-h // 20)
+    return h + 1 + slack, slack
+
+
+def signatures(s: np.ndarray, percent: int, limits: np.ndarray) -> np.ndarray:
+    """Hashes of parts of a set, for pairs where it is the smaller one and where it is the larger one.
+
+    The shingles are dealt to the parts by hash; a part's signature is a hash of all its shingles. Equal
+    parts may both be empty, which says nothing: of a set with no more empty parts than there is slack, one equal part has shingles, and only such
+    parts are posted; a set with more of them posts the empty ones too. So a pair that links has a signature in common.
+    """
+    band = int(np.searchsorted(limits, len(s), side="right")) - 1
+    found = []
+    for of in (band - 1, band):
+        if of < 0:
+            continue
+        parts, slack = parts_of(percent, limits, of)
+        part = (mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums = np.add.reduceat(mix(s[order] + np.uint64(of)), edge)
+        place = part[edge].astype(np.uint64)
+        if parts - len(edge) > slack:
+            empty = np.setdiff1d(np.arange(parts), part[edge]).astype(np.uint64)
+            place, sums = np.concatenate([place, empty]), np.concatenate([sums, np.zeros(len(empty), dtype=np.uint64)])
+        found.append(mix(sums ^ mix(place + np.uint64(of << 32) + np.uint64(1))))
+    return np.concatenate(found)
+
+
+def _signed(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bytes, limits = space_separated(), bands(percent, 1)
+        for batch in batches:
+            found = []
+            for s in shingle_sets(batch.column(1), k, word_bytes):
+                if len(s) >= limits[-1]:
+                    limits = bands(percent, 2 * len(s))
+                found.append(signatures(s, percent, limits).view(np.int64) if len(s) else s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.int64()))], names=["node", "signatures"])
+
+    return run
+
+
 def _with_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_bytes = space_separated()
         for batch in batches:
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k, word_bytes)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(x) for x in ("block", "c", "chunks", "copies", "id")] + [sets], names=["block", "c", "chunks", "copies", "id", "s"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("block", "c", "chunks", "copies", "id")] + [sets], names=["block", "c", "chunks", "copies", "id", "s"])
 
     return run
 
@@ -301,70 +362,76 @@ def jaccard_join(
     text_col: str = "text",
     extra: int = 2,
     short_list: int = 32,
-    chunk: int = 2048,
+    chunk: int = 512,
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every document; see the module."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
 
-    first = stored(texts.mapInArrow(_digests(k), "id long, n long, d1 long, d2 long, noted boolean"), "digests")
+    first = stored(texts.mapInArrow(_digests(k), "id long, row long, n long, d1 long, d2 long, noted boolean"), "digests")
     sets = first.where("not noted").drop("noted")
     noted = first.where("noted").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_FREQUENT).toArrow()
     tokens = noted["d1"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], noted["n"].to_numpy()[order]))
 
-    same = stored(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = same.where(f"n >= {least_size(percent)} and rep is not null").select(F.col("rep").alias("id"), "copies")
+    # A class of equal sets: its smallest id, the row that stands for it, its number.
+    same = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("low"), F.min("row").alias("row"), F.count("*").alias("copies"))
+    same = stored(same.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = same.where(f"n >= {least_size(percent)}").select("row", "node", "copies")
 
-    heads = texts.mapInArrow(_heads(k, percent, extra, frequent), "id long, n long, head array<long>")
-    posted = stored(
-        heads.where("head is not null").dropDuplicates(["id"]).join(reps.select("id"), "id", "left_semi").select("id", "n", F.explode("head").alias("token")),
-        "posted",
-    )
-    lists = posted.groupBy("token").agg(F.count("*").alias("docs"), F.min("id").alias("low")).where("docs > 1")
+    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row long, n long, head array<long>")
+    posted = stored(heads.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", F.explode("head").alias("token")), "posted")
+    lists = posted.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     kept = stored(posted.join(lists, "token"), "lists")
-    stars = kept.where(F.col("docs") > short_list).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    one = kept.where(F.col("docs") <= short_list).select("token", "id", "n")
-    two = one.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    discard(posted)
+    one = kept.where(F.col("docs") <= short_list).select("token", "node", "n")
+    two = one.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"))
     pairs = (
         one.join(two, "token")
-        .where((F.col("id") < F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-        .groupBy("id", "id2")
+        .where((F.col("node") < F.col("node2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+        .groupBy("node", "node2")
         .agg(F.count("*").alias("common"), F.max(F.greatest("n", "n2")).alias("larger"))
         .where(f"common >= least({extra} + 1, ({percent} * larger + 99) div 100)")
-        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        .select(F.col("node").alias("a"), F.col("node2").alias("b"))
     )
+    on_long = kept.where(F.col("docs") > short_list).select("node").distinct().join(reps, "node").select("row", "node")
+    signed = texts.select("row", "text").join(on_long, "row").select("node", "text").mapInArrow(_signed(k, percent), "node long, signatures array<long>")
+    signed = stored(signed.select("node", F.explode("signatures").alias("signature")).distinct(), "signatures")
+    shared = signed.groupBy("signature").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    stars = signed.join(shared, "signature").where("node <> b").select(F.col("node").alias("a"), "b")
     blocks = stored(components(stars.unionByName(pairs)), "blocks")
+    discard(kept, signed)
 
     sizes = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
     members = (
         blocks.join(sizes, "root")
-        .join(reps.withColumnRenamed("id", "node"), "node")
-        .select(F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c"), "chunks", "copies", F.col("node").alias("id"))
+        .join(reps, "node")
+        .select("row", F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c"), "chunks", "copies", F.col("node").alias("id"))
     )
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     dealt = (
-        texts.join(members, "id")
+        texts.select("row", "text").join(members, "row")
         .select("block", "c", "chunks", "copies", "id", "text")
         .mapInArrow(_with_sets(k), "block long, c long, chunks long, copies long, id long, s binary")
         .select("*", spread.alias("other"))
         .select("block", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "copies", "id", "s")
-    )
+    )
     linked = stored(
         dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_blocks(percent), "id long, low long, links long"),
         "linked",
     )
-    degrees = linked.groupBy("id").agg(F.sum("links").alias("links"))
+    degrees = linked.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    lows = roots.join(same.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
     joined = (
-        same.join(degrees, same.rep == degrees.id, "left")
-        .join(roots, same.rep == roots.node, "left")
-        .select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    )
+        same.join(degrees, "node", "left").join(roots, "node", "left").join(lows, "root", "left")
+        .select("n", "d1", "d2", F.coalesce("least", "low").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    )
     return sets.join(joined, ["n", "d1", "d2"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("root", "id").alias("component_id"),
+        F.coalesce("component", "id").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -65,6 +66,42 @@ def test_empty_and_repeated_and_null_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, 2, 1, 2), (1, 2, 1, 2), (None, 2, 1, 2), (None, 0, None, 0), (2, 1, 2, 0)], key=str)
 
 
+def test_rows_of_one_id_and_null_ids_keep_their_links(spark):
+    rng = random.Random(4)
+    a, b = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(60)] for _ in range(2))
+    near = lambda words, i: " ".join([*words[:i], "x", *words[i + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 3)), (3, near(b, 50)), (None, near(a, 58)), (None, near(b, 59))]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 2), (0, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_sets_that_link_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    limits = J.bands(percent, 4000)
+    for n in [*range(1, 40), 100, 500, 1500]:
+        for _ in range(20):
+            s = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            low, high = s.copy(), s
+            while True:  # shingles are taken from one and added to the other while they still link
+                more = np.unique(np.append(high, rng.integers(0, 1 << 62, 1).astype(np.uint64))) if rng.random() < 0.5 else high
+                less = np.delete(low, rng.integers(0, len(low))) if more is high else low
+                both = len(np.intersect1d(less, more))
+                if not both or 100 * both < percent * (len(less) + len(more) - both):
+                    break
+                low, high = less, more
+            assert np.intersect1d(J.signatures(low, percent, limits), J.signatures(high, percent, limits)).size
+
+
+def test_stock_passages_make_no_large_block(spark):
+    """Documents made of frequent passages, a few of many each, share lists but no signatures."""
+    rng = random.Random(9)
+    stock = [" ".join(f"s{i}w{j}" for j in range(40)) for i in range(30)]
+    found = [" ".join(rng.sample(stock, 5)) for _ in range(90)]
+    got = J.jaccard_join(documents(spark, found), 3, 80, short_list=2).collect()
+    assert sorted(map(tuple, got)) == brute(found, 3, 80)
+
+
 def test_both_merges_agree():
     rng = np.random.default_rng(3)
     lists = [np.unique(rng.integers(0, 50, 30)) for _ in range(9)]
