@@ -1,6 +1,11 @@
 import hashlib
+import math
+import random
 import re
+import string
+from collections import Counter
 
+import pytest
 from cases import documents, empty, texts
 
 from plumbline.llm import secret_scan as S
@@ -38,8 +43,6 @@ def test_base_spans(spark):
 
 
 def test_models_tell_random_strings(spark):
-    import random
-
     rng = random.Random(1)
     ordinary = ["customer total price per month and region", "compute_total_price list_of_values read_input_file"]
     rows = [(i, f"{ordinary[i % 2]} token = {''.join(rng.choice(S.ALPHABET) for _ in range(32))} end") for i in range(200)]
@@ -49,6 +52,70 @@ def test_models_tell_random_strings(spark):
     assert got[900].spans == f"markov:4:{4 + len(planted)}" and got[901].spans == "" and all(got[i].n_markov == 0 for i in range(200))
 
 
+def test_many_matches_and_long_tokens(spark):
+    """Positions are added up over many blocks of matches, and a very long token is scored once."""
+    found = ["é token=abcdefgh1 " * 5_000, "x " + "deadbeef" * 40_000 + " y", ("Ab9" * 7 + " ") * 700]
+    got = {r.doc_id: r for r in S.scanned(documents(spark, found)).collect()}
+    for i, text in enumerate(found):
+        counts, joined = brute(text)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts and got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_recall_of_planted_strings(spark):
+    """Of random strings of several alphabets at least nine in ten are found, and no ordinary token; spans are where Python finds the tokens."""
+    rng = random.Random(7)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "ou", "er", "in")]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits]
+    found, planted = [], []
+    for i in range(600):
+        words = [word(rng.randrange(1, 5)) for _ in range(60)] + ["_".join(word(3) for _ in range(4)), word(12), "-".join(word(2) for _ in range(6))]
+        rng.shuffle(words)
+        if i % 3 == 0:
+            words[5] = f"api_key={''.join(rng.choice(alphabets[0]) for _ in range(24))}"
+        if i % 3 == 1:
+            words[7] = "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randrange(20, 44)))
+            planted.append((i, words[7], i % 5))
+        found.append(" ".join(words))
+    got = {r.doc_id: r.spans.split(",") for r in S.scanned(documents(spark, found)).collect()}
+    hit = [f"markov:{found[i].index(x)}:{found[i].index(x) + len(x)}" in got[i] for i, x, _ in planted]
+    assert sum(hit) >= 0.9 * len(hit)
+    markov = sum(s.startswith("markov") for spans in got.values() for s in spans)
+    assert markov - sum(hit) <= 0.01 * 3 * len(found)
+
+
+def test_scores_are_those_of_the_two_models(spark):
+    """Ratios counted anew in Python, pair by pair, give the same verdicts."""
+    rng = random.Random(3)
+    rows = [(i, f"the ordinary words of number{i} and more_of_them token={''.join(rng.choice('abcdef0123456789') for _ in range(20))} {''.join(rng.choice(S.ALPHABET) for _ in range(24))}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = S.trained(docs)
+    n = len(S.ALPHABET) + 1
+    number = lambda c: S.ALPHABET.find(c) + 1
+    counts = {0: Counter(), 1: Counter()}
+    either = "|".join([S.TOKEN, S.HEX, S.ACCESS, S.ASSIGN.removeprefix("(?i)").replace("(password", "(?i:password", 1)])
+    for _, text in rows:
+        values = [m[1] for m in PATTERNS["assign"][0].finditer(text)]
+        for random_, found in ((1, values), (0, re.findall(r"[A-Za-z0-9_]{3,}", re.sub(either, " ", text)))):
+            for w in found:
+                counts[random_].update(zip(map(number, w), map(number, w[1:])))
+    single = {k: [(sum(c for (_, y), c in counts[k].items() if y == b) + 0.5) / (sum(counts[k].values()) + 0.5 * n) for b in range(n)] for k in counts}
+    of = {k: Counter() for k in counts}
+    for k in counts:
+        for (a, _), c in counts[k].items():
+            of[k][a] += c
+    p = lambda k, a, b: (counts[k][a, b] + S.BACKOFF * single[k][b]) / (of[k][a] + S.BACKOFF)
+    want = [math.log(((1 - S.UNIFORM) * p(1, a, b) + S.UNIFORM / n) / p(0, a, b)) for a in range(n) for b in range(n)]
+    assert ratio == pytest.approx(want)
+    got = {r.doc_id: r.spans for r in S.scanned(docs).collect()}
+    for i, text in rows:
+        for m in re.finditer(S.TOKEN, text):
+            inside = any(a.start() < m.end() and m.start() < a.end() for a in PATTERNS["assign"][0].finditer(text))
+            x = [number(c) for c in m[0]]
+            high = sum(want[a * n + b] for a, b in zip(x, x[1:])) / (len(x) - 1) >= S.THRESHOLD
+            assert (f"markov:{m.start()}:{m.end()}" in got[i].split(",")) == (high and not inside)
+
+
 def test_nothing(spark):
     assert S.scanned(empty(spark)).collect() == []
     got = S.scanned(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")).collect()
