@@ -2,11 +2,13 @@
 
 A unit is a line with at least one word. From every unit a window reaches over as
 few units as have ``min_words`` words, and from every unit one reaches back likewise.
-A fingerprint is the hash of all line hashes of a window: windows of one fingerprint are
+A window's fingerprint is its minimum, the smallest line hash in it. Minima alone don't do: a stock line that is the minimum of many windows would have
+to be joined with all its places, which is all pairs, or with one, which may be the wrong one. So a fingerprint goes with its offset
+in the window and a hash of the whole window: places of one fingerprint lie in windows that are
 equal throughout, whatever surrounds them.
 
 Each fingerprint is joined with its first place only, the smallest (id, line), so a passage that a third of
-all documents have gives one row for each of them. All windows at other places are deleted: the windows within
+all documents have gives one row for each of them. A match is extended both ways over the windows that match next to it: all windows at other places are deleted, and the windows within
 a run of ``min_words`` words or more cover it (a unit that neither the first one forward nor the last one
 back reaches begins one itself), so each run that equals one that begins earlier goes, wherever
 its first copy is. What is deleted equals earlier lines, and the first of them stay, so
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.tokens import let
 from plumbline.llm.common import stored
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -70,8 +73,9 @@ _SPANS = "cast(array() as array<struct<b:int,e:int>>)"
 
 
 def _key(hashes: str) -> list[Column]:
-    """What windows are told by: two hashes of their line hashes."""
-    return [F.xxhash64(hashes).alias("h"), F.hash(hashes).alias("h2")]
+    """A window's fingerprint: its minimum, the place of that in it, and the hash of all its line hashes."""
+    least = F.array_min(hashes)
+    return [least.alias("h"), F.xxhash64(F.array_position(hashes, least), hashes).alias("h2")]
 
 
 def _merged(spans: str) -> Column:
@@ -93,8 +97,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     carried = F.struct(F.lit(0).alias("_"), *carry)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), carried.alias("carried"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"))
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    kept = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("deleted"))
+    left = let(lines, lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))
     # The plan is the same at any size: texts are dealt by id once, whatever the other side weighs.
     return rows.join(gone.hint("merge"), ["d", "t"], "left").select(
         F.col("id").alias(id_col),

@@ -80,3 +80,17 @@ def test_texts_of_few_different_lines(spark):
         found = ["\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
         got = {r.doc_id: set(r.deleted) for r in dedup_lines(documents(spark, found), 12).collect()}
         assert got == brute(list(enumerate(found)), 12), seed
+
+
+def test_a_first_place_elsewhere_hides_no_copy(spark):
+    """Documents 2 and 3 share a run; an earlier one has its lines one by one, in other surroundings."""
+    run = [" ".join(f"r{i}w{j}" for j in range(10)) for i in range(6)]
+    other = lambda name: "\n".join(f"{name} other words {i}\n{line}" for i, line in enumerate(run))
+    found = [(1, other("a")), (2, "\n".join(["before two", *run, "after two"])), (3, "\n".join(["before three", *run, "after three"])), (4, other("b"))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    assert [got[i].n_deleted for i in (1, 2, 3, 4)] == [0, 0, 6, 0] and got[3].text == "before three\nafter three"
+
+
+def test_very_many_equal_lines(spark):
+    got = dedup_lines(spark.createDataFrame([(1, "the same line\n" * 100_000), (2, "x")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert (got.n_lines, got.n_deleted, got.text) == (100_001, 99_999, "the same line\n")
