@@ -14,6 +14,8 @@ against the total length; the chunked framing is decoded; the payload's digest i
 compared with the header's. A record that fails a check is returned with the
 reason in ``error``, never dropped.
 
+A page of more than ``SEGMENT_BYTES`` (about one in eleven of the test pages, a third of their bytes) goes through segments.
+
 Null HTML is an empty payload. A null URL is written as an empty one, control characters
 and spaces in a URL are percent-encoded. Pages that repeat the id and the payload of
 a response are responses too. Rows with a null id count as the smallest. A record's id is made of the page's id and
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored, work_path
 
-SEGMENT_BYTES = 32_768
-CHUNK_BYTES = 8_192
+SEGMENT_BYTES = 8_192
+CHUNK_BYTES = 4_096
 FILE_RECORDS = 500
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -159,26 +161,27 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n
 
 
-def _decoded(kind: str, block: bytes, said: str, total: str | None) -> tuple[bytes, str | None]:
-    """Payload of an HTTP block, and what is wrong with it."""
+def _decoded(kind: str, block: bytes, said: str, total: str | None) -> tuple[bytes, str | None, str | None]:
+    """Payload of an HTTP block, its digest, and what is wrong with it. A revisit has no payload of its own."""
     if total is not None and str(len(block)) != total:
-        return b"", f"the segments have {len(block)} of {total} bytes"
+        return b"", None, f"the segments have {len(block)} of {total} bytes"
     head, _, body = block.partition(b"\r\n\r\n")
     if kind == "revisit":
-        return b"", None
+        return b"", None, None
     try:
         payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
     except ValueError as e:
-        return b"", f"chunked framing: {e}"
-    return payload, None if not said or digest(payload) == said.removeprefix("sha1:") else "the payload doesn't have the digest said"
+        return b"", None, f"chunked framing: {e}"
+    found = digest(payload)
+    return payload, found, None if not said or found == said.removeprefix("sha1:") else "the payload doesn't have the digest said"
 
 
-_PARSED = "origin string, number int, total string, record_type string, uri string, said string, refers_to string, block binary, payload binary, payload_bytes bigint, error string, whole boolean"
+_PARSED = "origin string, number int, total string, record_type string, uri string, said string, refers_to string, block binary, payload binary, payload_bytes bigint, digest string, error string, whole boolean"
 
 
 def _parse(with_payload: bool):
-    names = ("origin", "number", "total", "record_type", "uri", "said", "refers_to", "block", "payload", "payload_bytes", "error", "whole")
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
+    names = ("origin", "number", "total", "record_type", "uri", "said", "refers_to", "block", "payload", "payload_bytes", "digest", "error", "whole")
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -190,13 +193,13 @@ def _parse(with_payload: bool):
                 raw = archive.as_py()
                 for f, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind, number = f.get("warc-type", ""), f.get("warc-segment-number")
-                    said, payload, error = f.get("warc-payload-digest", ""), None, None
+                    said, payload, own, error = f.get("warc-payload-digest", ""), None, None, None
                     if number is None:
-                        payload, error = _decoded(kind, block, said, None)
+                        payload, own, error = _decoded(kind, block, said, None)
                     size = None if payload is None else len(payload)
                     origin = f.get("warc-segment-origin-id") if kind == "continuation" else f.get("warc-record-id")
                     kept = payload if with_payload else None
-                    out.append((origin, int(number or 1), f.get("warc-segment-total-length"), kind, f.get("warc-target-uri"), said, f.get("warc-refers-to"), block if number else None, kept, size, error, number is None))
+                    out.append((origin, int(number or 1), f.get("warc-segment-total-length"), kind, f.get("warc-target-uri"), said, f.get("warc-refers-to"), block if number else None, kept, size, own, error, number is None))
                     held += len(block)
                     if held > 4 << 20:
                         yield packed(out)
@@ -227,12 +230,12 @@ def _joined(with_payload: bool):
                     wrong = "segments of one number differ"
                 elif last["total"] is None:
                     wrong = "the last segment is missing"
-                payload, error = (b"", wrong) if wrong else _decoded(first["record_type"], b"".join(x[0] for x in blocks.values()), first["said"], last["total"])
+                payload, own, error = (b"", None, wrong) if wrong else _decoded(first["record_type"], b"".join(x[0] for x in blocks.values()), first["said"], last["total"])
                 kind = "response" if first["record_type"] == "continuation" else first["record_type"]
-                out += [(origin, kind, p["uri"], p["said"], p["refers_to"], payload if with_payload else None, len(payload), error) for p in parts[: 1 if wrong else copies]]
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "error"])
+                out += [(origin, kind, p["uri"], p["said"], p["refers_to"], payload if with_payload else None, len(payload), own, error) for p in parts[: 1 if wrong else copies]]
+            columns = list(zip(*out, strict=True)) if out else [()] * 9
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "digest", "error"])
 
     return run
 
@@ -240,17 +243,19 @@ def _joined(with_payload: bool):
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """(record_id, record_type, uri, payload_digest, refers_to, payload, payload_bytes, error) of every record or reassembled record.
 
+    The digest is that of the payload read; where there is none (a revisit, a broken record), the header's.
+
     Without payload that column is null, and only segments are kept between the two steps; all else is checked just the same.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     records = stored(files.mapInArrow(_parse(with_payload), _PARSED), "records")
-    names = ["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "error"]
+    names = ["origin", "record_type", "uri", "said", "refers_to", "payload", "payload_bytes", "digest", "error"]
     # A record's segments meet in one row: no more than that one page.
     parts = F.array_sort(F.collect_list(F.struct("number", "record_type", "uri", "said", "refers_to", "total", "block")))
     segments = records.where("not whole").groupBy("origin").agg(parts.alias("parts"))
-    schema = "origin string, record_type string, uri string, said string, refers_to string, payload binary, payload_bytes bigint, error string"
+    schema = "origin string, record_type string, uri string, said string, refers_to string, payload binary, payload_bytes bigint, digest string, error string"
     every = records.where("whole").select(*names).unionByName(segments.mapInArrow(_joined(with_payload), schema))
-    return every.select(F.col("origin").alias("record_id"), "record_type", "uri", F.regexp_replace("said", "^sha1:", "").alias("payload_digest"), "refers_to", "payload", "payload_bytes", "error")
+    return every.select(F.col("origin").alias("record_id"), "record_type", "uri", F.coalesce("digest", F.regexp_replace("said", "^sha1:", "")).alias("payload_digest"), "refers_to", "payload", "payload_bytes", "error")
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
