@@ -13,10 +13,10 @@ word to the whole shared stretch, and stretches of at least a window count.
 Items with fewer words than a window are matched whole, against the documents'
 grams of their length.
 
-The benchmark is a stated query set: it is checked against all documents in
-blocks of at most ``BLOCK_BYTES`` of text, each of them broadcast, so what a task
-holds has a fixed bound. Usually that is one block, and the documents aren't
-shuffled at all.
+A benchmark of up to ``BLOCK_BYTES`` of text (its size is taken first) is broadcast with its fingerprints, and the documents aren't
+shuffled at all. A larger one is joined: fingerprints of documents and items (and, for the lengths of
+short items, the documents' grams) meet by hash, each pair of a document and an item that meet is extended
+in a row of its own, and the stretches come together by document. Both ways give the same rows.
 
 Null or empty texts have no words, no hits, no items. Items with a null id or
 without words match nothing; texts of an id that occurs again are all windows of that
@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import stored
+from plumbline.llm.line_dedup import merged_spans
 from plumbline.llm.textkernel import Words, alphanumeric, runs
 
-#: Text of the benchmark that is broadcast at once.
+#: Text of a benchmark that is broadcast.
 BLOCK_BYTES = 16 << 20
 
 
@@ -62,7 +64,7 @@ def winnowed(grams: np.ndarray, first: np.ndarray, gram: int, window: int) -> np
 class Items:
     """Fingerprints of a block of items."""
 
-    def __init__(self, rows: list[tuple[str, str]], window: int, gram: int, least_words: int = 1):
+    def __init__(self, rows: list[tuple[str, str]], window: int, gram: int):
         self.window, self.gram = window, gram
         self.names = [r[0] for r in rows]
         texts = pa.array([r[1] for r in rows], pa.large_string())
@@ -78,7 +80,7 @@ class Items:
             for j in range(len(offsets) - 1):
                 a, b = int(words.first[j]), int(words.first[j + 1])
                 self.words.append(words.hash[a:b].copy())
-                if least_words <= b - a < window and b > a:
+                if 0 < b - a < window:
                     whole.setdefault(b - a, []).append((int(words.whole(j)[0]), base + j))
         prints.sort()
         self.prints = np.array([p[0] for p in prints], dtype=np.uint64)
@@ -129,56 +131,123 @@ class Items:
                     i += 1
 
 
-def _matched(blocks: list):
+_SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+
+def _merged_pairs(found: list[tuple[int, int]]) -> list[dict[str, int]]:
+    merged: list[dict[str, int]] = []
+    for begin, end in sorted(found):
+        if merged and begin <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], end)
+        else:
+            merged.append({"begin": begin, "end": end})
+    return merged
+
+
+def _matched(told):
     """(key, n_words, spans, items) of each text; spans: merged stretches of hit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_bytes = alphanumeric()
-        span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        block: Items = told.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
-                texts = [(j, Words(data, offsets, word_bytes)) for j, data, offsets in runs(part.column(1))]
                 found: dict[int, list] = {}
-                for told in blocks:
-                    block: Items = told.value
-                    for base, words in texts:
-                        for text, begin, end, item in block.hits(words):
-                            found.setdefault(base + text, []).append((begin, end, block.names[item]))
-                    if len(blocks) > 1:
-                        told.__dict__.pop("_value", None)  # one block in memory at a time
-                n_words = np.concatenate([np.diff(words.first) for _, words in texts])
-                spans, names = [], []
-                for j in range(part.num_rows):
-                    merged: list[list[int]] = []
-                    for begin, end, _ in sorted(found.get(j, ())):
-                        if merged and begin <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], end)
-                        else:
-                            merged.append([begin, end])
-                    spans.append([{"begin": b, "end": e} for b, e in merged])
-                    names.append(sorted({x[2] for x in found.get(j, ())}))
+                n_words = []
+                for base, data, offsets in runs(part.column(1)):
+                    words = Words(data, offsets, word_bytes)
+                    n_words.append(np.diff(words.first))
+                    for text, begin, end, item in block.hits(words):
+                        found.setdefault(base + text, []).append((begin, end, block.names[item]))
+                spans = [_merged_pairs([x[:2] for x in found.get(j, ())]) for j in range(part.num_rows)]
+                names = [sorted({x[2] for x in found.get(j, ())}) for j in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words.astype(np.int64)), pa.array(spans, span), pa.array(names, pa.list_(pa.string())), *part.columns[2:]],
+                    [part.column(0), pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.string())), *part.columns[2:]],
                     names=["id", "n_words", "spans", "items", *part.schema.names[2:]],
                 )
 
     return run
 
 
+def _prints(window: int, gram: int, lengths: list[int], items: bool):
+    """(key, n_words, prints): distinct fingerprints of each text, and grams of the lengths of short items (for items: of short ones the whole)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bytes = alphanumeric()
+        for batch in batches:
+            n_words, prints = [], []
+            for _, data, offsets in runs(batch.column(1)):
+                words = Words(data, offsets, word_bytes)
+                grams = words.grams(gram)
+                kept = winnowed(grams, words.first, gram, window)
+                edge = np.searchsorted(kept, words.first)
+                n_words.append(np.diff(words.first))
+                short = {n: words.grams(n) for n in lengths}
+                for j in range(len(offsets) - 1):
+                    a, b = int(words.first[j]), int(words.first[j + 1])
+                    found = [grams[kept[edge[j] : edge[j + 1]]]]
+                    if not items:
+                        found += [short[n][a : max(a, b - n + 1)] for n in lengths]
+                    elif 0 < b - a < window:
+                        found.append(words.whole(j))
+                    prints.append(np.unique(np.concatenate(found)).view(np.int64))
+            counts = np.concatenate(n_words).astype(np.int64) if n_words else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(prints, pa.list_(pa.int64())), *batch.columns[2:]], names=["key", "n_words", "prints", *batch.schema.names[2:]])
+
+    return run
+
+
+def _extended(window: int, gram: int):
+    """(key, item, spans) of pairs of a text and an item that share a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bytes = alphanumeric()
+        for batch in batches:
+            out = []
+            for j, (key, name, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("item").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                for _, data, offsets in runs(batch.column("text").slice(j, 1)):
+                    found = [(begin, end) for _, begin, end, _ in Items([(name, text)], window, gram).hits(Words(data, offsets, word_bytes))]
+                    if found:
+                        out.append((key, name, _merged_pairs(found)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], _SPAN)], names=["row", "item", "spans"])
+
+    return run
+
+
+def _by_join(texts: DataFrame, asked: DataFrame, window: int, gram: int) -> DataFrame:
+    """What _matched gives, for a benchmark of any size. Rows of one id and text are told alike."""
+    asked = stored(asked.groupBy("item", "text").agg(F.xxhash64("item", "text").alias("key")), "items")
+    prints = stored(asked.select("key", "text").mapInArrow(_prints(window, gram, [], True), "key long, n_words long, prints array<long>"), "item-prints")
+    lengths = sorted(r["n_words"] for r in prints.where(f"n_words between 1 and {window - 1}").select("n_words").distinct().collect())  # window - 1 at most
+    texts = texts.withColumn("row", F.xxhash64("id", "text"))
+    extra = [c for c in texts.columns if c not in ("id", "text", "row")]
+    kinds = ", ".join(["key long, n_words long, prints array<long>, id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in extra]])
+    read = stored(texts.select("row", "text", "id", *extra).mapInArrow(_prints(window, gram, lengths, False), kinds).withColumnRenamed("key", "row"), "prints")
+    theirs = prints.select(F.col("key").alias("item_key"), F.explode("prints").alias("print"))
+    pairs = read.select("row", F.explode("prints").alias("print")).join(theirs, "print").select("row", "item_key").distinct()
+    named = asked.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text"))
+    found = texts.select("row", "text").join(pairs, "row").join(named, "item_key").select("row", "text", "item", "item_text").mapInArrow(_extended(window, gram), "row long, item string, spans array<struct<begin:int,end:int>>")
+    inclusive = F.transform("spans", lambda x: F.struct(x["begin"].alias("b"), (x["end"] - 1).alias("e")))
+    found = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(inclusive))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    found = found.select("row", F.transform(merged_spans("spans"), lambda x: F.struct(x["b"].alias("begin"), (x["e"] + 1).alias("end"))).alias("spans"), "items")
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    spans, items = F.coalesce("spans", none("array<struct<begin:int,end:int>>")), F.coalesce("items", none("array<string>"))
+    return read.drop("prints").join(found, "row", "left").select("id", "n_words", spans.alias("spans"), items.alias("items"), *extra)
+
+
 def matched(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, gram: int = 5, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(id, n_words, spans, items) of every document. least_words: items with fewer words are left out. Columns named in carry follow as carried_<name>."""
+    """(id, n_words, spans, items) of every document. Columns named in carry follow as carried_<name>."""
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
-    total = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    told = []
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
-        told.append(spark.sparkContext.broadcast(Items([tuple(r) for r in rows], window, gram, least_words)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    total = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if total > BLOCK_BYTES:
+        return _by_join(texts, asked, window, gram)
+    told = spark.sparkContext.broadcast(Items([tuple(r) for r in asked.collect()], window, gram))  # BLOCK_BYTES at most
     return texts.mapInArrow(_matched(told), ", ".join(["id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>", *[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[2:]]]))
 
 

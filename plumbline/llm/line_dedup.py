@@ -65,7 +65,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     first = prints.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "i")).alias("f"), F.count("*").alias("n0")).where("n0 > 1").select("h", "h2", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.i").alias("i0"))
     later = prints.join(first, ["h", "h2"]).where("not (d = d0 and t = t0 and i = i0)")
     spans = later.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("b"), (F.col("i") + F.col("n") - 1).alias("e")))).alias("spans"))
-    at = F.flatten(F.transform(_merged("spans"), lambda r: F.transform(F.slice("units", r["b"] + 1, r["e"] - r["b"] + 1), lambda u: u["at"])))
+    at = F.flatten(F.transform(merged_spans("spans"), lambda r: F.transform(F.slice("units", r["b"] + 1, r["e"] - r["b"] + 1), lambda u: u["at"])))
     return spans.join(units, ["d", "t"]).select("d", "t", at.alias("lines"))
 
 
@@ -78,8 +78,8 @@ def _key(hashes: str) -> list[Column]:
     return [least.alias("h"), F.xxhash64(F.array_position(hashes, least), hashes).alias("h2")]
 
 
-def _merged(spans: str) -> Column:
-    """Sorted spans with those that touch or overlap made one."""
+def merged_spans(spans: str) -> Column:
+    """Sorted spans (b, e; both included) with those that touch or overlap made one."""
     state = lambda b, e, out: F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"), out.alias("out"))
     closed = lambda acc: F.when(acc["b"] >= 0, F.array_append(acc["out"], F.struct(acc["b"].alias("b"), acc["e"].alias("e")))).otherwise(acc["out"])
     return F.aggregate(
