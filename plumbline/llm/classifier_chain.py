@@ -7,16 +7,16 @@ that models of the other folds give a row, so that it learns how far to trust th
 on texts they haven't seen.
 
 Features are hashes of a text's distinct words and of their leading bytes (words of
-one stem share these). Which are used is settled first: counts over the labelled rows
+one stem share these). Which are used is settled first: counts over the rows that a model is trained on
 keep the ``FEATURES`` that tell a category best, so a long clean text isn't weighed
-down by thousands of words that say nothing.
+down by thousands of words that say nothing. A fold's own rows have no part in choosing what its models see.
 
-It is fitted on at most ``rows`` labelled rows (the smallest hashes of the id): a list
-of a bounded size, broadcast, and a few features of each come to the driver. Scoring
+It is fitted on at most ``rows`` labelled ids (the smallest hashes of the id): a list
+of a bounded size, broadcast. One text of each is stored, and a few features of each come to the driver. Scoring
 covers every text and shuffles nothing.
 
 Each category's threshold is the one with the best F1 out of fold. A null or empty text has no features
-and gets the base rate. Labels that are null, or of ids that aren't there, have no effect; a
+and gets the base rate. Of labels that disagree the positive one counts, of texts of one labelled id the smallest is learned from. Labels that are null, or of ids that aren't there, have no effect; a
 category without positive labels gets probability 0. Repeated rows get equal results, a null id stays
 null. Other columns are left out.
 """
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import stored
 from plumbline.llm.textkernel import Words, alphanumeric, mix, runs
 
 BUCKETS = 1 << 18
@@ -54,27 +55,44 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return every // BUCKETS, every % BUCKETS
 
 
+def _fold(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
+
+
 def _counted(known, categories: int):
-    """(bucket, rows, positive rows of each category) of each task's labelled texts."""
+    """(bucket, counts) of each task's labelled texts: rows of each fold, then positive rows of each category and fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, truth = known.value
-        rows = np.zeros(BUCKETS, dtype=np.int64)
-        positive = np.zeros((categories, BUCKETS), dtype=np.int64)
+        counts = np.zeros((1 + categories, FOLDS, BUCKETS), dtype=np.int64)
         for batch in batches:
-            at = np.searchsorted(ids, batch.column(0).to_numpy())
+            key = batch.column(0).to_numpy()
+            at, fold = np.searchsorted(ids, key), _fold(key)
             for j, data, offsets in runs(batch.column(1)):
                 text, bucket = _features(Words(data, offsets, alphanumeric()))
-                rows += np.bincount(bucket, minlength=BUCKETS)
+                place = fold[j + text] * BUCKETS + bucket
+                counts[0] += np.bincount(place, minlength=FOLDS * BUCKETS).reshape(FOLDS, BUCKETS)
                 of = truth[at[j + text]]
                 for c in range(categories):
-                    positive[c] += np.bincount(bucket[of[:, c]], minlength=BUCKETS)
-        some = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some]), pa.array(list(positive[:, some].T), pa.list_(pa.int64()))], names=["bucket", "rows", "positive"])
+                    counts[1 + c] += np.bincount(place[of[:, c]], minlength=FOLDS * BUCKETS).reshape(FOLDS, BUCKETS)
+        some = np.flatnonzero(counts[0].any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(counts.reshape(-1, BUCKETS)[:, some].T), pa.list_(pa.int64()))], names=["bucket", "counts"])
 
     return run
 
 
+def _chosen(bucket: np.ndarray, n: np.ndarray, positive: np.ndarray, rows: int, truths: np.ndarray) -> np.ndarray:
+    """Buckets whose share of positive rows is farthest from the usual one, in standard errors, for one category or another. positive: categories x buckets."""
+    out = []
+    for of, total in zip(positive, truths, strict=True):
+        share = total / max(rows, 1)
+        z = np.abs(of - n * share) / np.sqrt(np.maximum(n, 1) * max(share * (1 - share), 1e-9))
+        z[n < LEAST_ROWS] = -1
+        best = np.lexsort((bucket, -z))[: FEATURES // len(positive)]
+        out.append(bucket[best[z[best] >= 0]])
+    return np.unique(np.concatenate(out))
+
+
 def _sparse(chosen):
     """The chosen features of each text."""
 
@@ -138,9 +156,9 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     """categories: in the order of the chain, what makes a labelled row positive."""
     spark = docs.sparkSession
     names = list(categories)
-    marked = labels.select(F.col(id_col).cast("long").alias("id"), *[F.coalesce(c, F.lit(False)).cast("boolean").alias(f"c{i}") for i, c in enumerate(categories.values())])
-    marked = marked.where(F.col("id").isNotNull()).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    marked = sorted((tuple(r) for r in marked), key=lambda r: r[0])
+    truth_of = [F.max(F.coalesce(c, F.lit(False)).cast("boolean")).alias(f"c{i}") for i, c in enumerate(categories.values())]
+    marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*truth_of)
+    marked = sorted((tuple(r) for r in marked.orderBy(F.xxhash64("id"), "id").limit(rows).collect()), key=lambda r: r[0])
     ids = np.array([r[0] for r in marked], dtype=np.int64)
     truth = np.array([r[1:] for r in marked], dtype=bool).reshape(len(ids), len(names))
     number = np.full(BUCKETS, -1, dtype=np.int32)
@@ -149,21 +167,30 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
         return nothing
     # At most ``rows`` ids, so the broadcast has a fixed bound.
     wanted = F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "id long"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(wanted, "id")
+    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "labelled")
     known = spark.sparkContext.broadcast((ids, truth))
-    counted = texts.mapInArrow(_counted(known, len(names)), "bucket long, rows long, positive array<long>")
-    sums = [F.sum(F.get("positive", F.lit(i))).alias(f"p{i}") for i in range(len(names))]
-    counted = counted.groupBy("bucket").agg(F.sum("rows").alias("n"), *sums).where(F.col("n") >= LEAST_ROWS)
-    best: dict[int, float] = {}
-    for i in range(len(names)):
-        share = float(truth[:, i].mean())
-        # How far the share of positive rows is from the usual one, in standard errors.
-        z = F.abs(F.col(f"p{i}") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-        for r in counted.select("bucket", z.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES // len(names)).collect():
-            best[r["bucket"]] = max(best.get(r["bucket"], 0.0), r["z"])
-    for k, b in enumerate(sorted(best)):
-        number[b] = k
-    if not best:
+    counted = texts.mapInArrow(_counted(known, len(names)), "bucket long, counts array<long>")
+    width = (1 + len(names)) * FOLDS
+    sums = counted.groupBy("bucket").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"s{i}") for i in range(width)])
+    some = sums.where(sum((F.col(f"s{i}") for i in range(FOLDS)), F.lit(0)) >= LEAST_ROWS).toArrow()  # BUCKETS rows at most
+    if not some.num_rows:
+        return nothing
+    bucket = some["bucket"].to_numpy()
+    counts = np.stack([some[f"s{i}"].to_numpy() for i in range(width)]).reshape(1 + len(names), FOLDS, -1)
+    present = np.array(sorted(r["id"] for r in texts.select("id").collect()), dtype=np.int64)  # rows at most
+    here, in_fold = truth[np.searchsorted(ids, present)], _fold(present)
+    sets = []
+    for k in range(FOLDS + 1):  # the last one is for the models that score: all folds
+        used = np.arange(FOLDS) != k
+        train = in_fold != k
+        sets.append(_chosen(bucket, counts[0, used].sum(axis=0), counts[1:, used].sum(axis=1), int(train.sum()), here[train].sum(axis=0)))
+    best = np.unique(np.concatenate(sets))
+    number[best] = np.arange(len(best))
+    allowed = np.zeros((FOLDS + 1, len(best)), dtype=bool)
+    for k, found in enumerate(sets):
+        allowed[k, number[found]] = True
+    if not len(best):
         return nothing
     chosen = spark.sparkContext.broadcast(number)
     got = sorted((r["id"], r["found"]) for r in texts.mapInArrow(_sparse(chosen), "id long, found array<int>").collect())
@@ -171,7 +198,7 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     row = np.repeat(np.arange(n), [len(f) for _, f in got])
     feature = np.concatenate([np.array(f, dtype=np.int64) for _, f in got]) if n else np.empty(0, dtype=np.int64)
     truth = truth[np.searchsorted(ids, [i for i, _ in got])]
-    fold = (mix(np.array([i for i, _ in got], dtype=np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
+    fold = _fold(np.array([i for i, _ in got], dtype=np.int64))
     before = np.zeros((n, 0))
     models, thresholds, scores = [], [], []
     for c in range(len(names)):
@@ -179,12 +206,13 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
         for k in range(FOLDS):
             train, held = fold != k, fold == k
             place = np.cumsum(train) - 1
-            inside = train[row]
+            inside = train[row] & allowed[k, feature]
             model = fit(place[row[inside]], feature[inside], before[train], truth[train, c], len(best))
             place = np.cumsum(held) - 1
-            inside = held[row]
+            inside = held[row] & allowed[k, feature]
             out[held] = model.logit(place[row[inside]], feature[inside], int(held.sum()), before[held])
-        models.append(fit(row, feature, before, truth[:, c], len(best)))
+        inside = allowed[FOLDS, feature]
+        models.append(fit(row[inside], feature[inside], before, truth[:, c], len(best)))
         order = np.argsort(-out)
         hit = np.cumsum(truth[order, c])
         f1 = 2 * hit / (np.arange(1, n + 1) + max(1, truth[:, c].sum()))
