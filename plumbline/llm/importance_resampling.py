@@ -40,7 +40,7 @@ BUCKETS = 1 << 13
 PRIOR = 200.0
 TARGET_ROWS = 20_000
 _KEY_BITS = 62
-_KEY_SHIFT, _KEY_SCALE = 1 << 24, 1 << 37
+_KEY_SHIFT, _KEY_SCALE = 64, 1 << 55
 
 
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +121,7 @@ def resampled(
 
     rows, expected = weighed.agg(F.count("*"), F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight"))))).first()
     k = min(rows, round(expected or 0) if k is None else k)
-    key = F.floor((F.least(F.greatest(F.col("gumbel_key"), F.lit(-_KEY_SHIFT + 1.0)), F.lit(_KEY_SHIFT - 1.0)) + _KEY_SHIFT) * _KEY_SCALE).cast("long")
+    # Keys of any size, in their order: the resolution is relative, as a double's is.
+    key = F.floor((F.asinh("gumbel_key") + float(_KEY_SHIFT)) * float(_KEY_SCALE)).cast("long")
     cut = exact_cuts(weighed.select(F.lit(0).alias("node"), key.alias("key"), F.lit(1).alias("weight")), {0: rows - k}, _KEY_BITS, 12)[0] if rows else 0
     return weighed.select(F.col("id").alias(id_col), "log_weight", "gumbel_key", (key >= F.lit(cut)).alias("selected"), *[F.col(f"carried_{c}").alias(c) for c in carry])

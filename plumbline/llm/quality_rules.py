@@ -12,7 +12,7 @@ statistics, a few numbers each, come to the driver. The statistics and the verdi
 cover every row.
 
 Only built-in column functions are used. A null or empty text has statistics of 0 and
-fails the base rules. Labels that are null, or of ids that aren't there, have no
+fails the base rules. Of labels that disagree the bad one counts, of texts of one labelled id the one of the smallest statistics is learned from. Labels that are null, or of ids that aren't there, have no
 effect; without labels there are no learned rules. Repeated rows give equal rows. Other
 columns are left out.
 """
@@ -168,8 +168,9 @@ def rule_number(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The statistics of every row, base_failed, kept, and the rule that rejects it."""
     stats = stored(statistics(docs, id_col, text_col), "statistics")
-    marked = labels.select(F.col(id_col), F.col(label_col).alias("_label")).dropna().dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = stats.join(marked, id_col).select(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], "_label").orderBy(F.xxhash64(id_col)).collect()
+    marked = labels.select(F.col(id_col), F.col(label_col).alias("_label")).dropna().groupBy(id_col).agg(F.min("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    sample = stats.join(marked, id_col).groupBy(id_col).agg(F.min(F.struct(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], "_label")).alias("x"))
+    sample = sample.orderBy(F.xxhash64(id_col), id_col).select("x.*").collect()  # rows at most
     x = {n: np.array([r[n] for r in sample]) for n in FEATURES}
     bad = np.array([r["_label"] != 1 for r in sample], dtype=bool)
     rules = learn(x, bad) if len(sample) else []

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 from cases import documents, empty, texts
+from pyspark.sql import functions as F
 
 from plumbline.llm import quality_rules as Q
 
@@ -48,3 +49,28 @@ def test_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.judged(empty(spark), labels).collect() == []
     assert all(r.kept != r.base_failed for r in Q.judged(documents(spark, texts()), labels).collect())
+
+
+def test_disagreeing_labels_and_repeated_ids(spark):
+    clean = "the quick river flows over many different stones while amber clouds drift along the valley towards evening and nobody minds it at all"
+    rows = [(i, f"{clean} {i} {i * 7}" + (" ### && $$ ##" * 6 if i % 4 == 0 else "")) for i in range(200)]
+    labels = [(i, int(i % 4 != 0)) for i in range(200)]
+    schema = "doc_id long, quality int"
+    more = labels + [(i, 1) for i in range(0, 200, 8)]
+    want = {r.doc_id: (r.kept, r.rule) for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, schema)).collect()}
+    again = spark.createDataFrame(rows + rows[:50] * 3, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.kept, r.rule) for r in Q.judged(again, spark.createDataFrame(more, schema).repartition(5)).collect()}
+    assert got == want
+
+
+def test_rules_read_as_sql_agree_with_their_arrays(spark):
+    """The ordered CASE gives each row the number of the first rule that covers it in Python."""
+    found = texts() + [f"w{i} " * 30 + "### " * (i % 9) + "A!" * (i % 5) for i in range(60)]
+    rules = [(Q.Condition("symbols_per_char", True, 0.05), Q.Condition("n_words", True, 30.0)), (Q.Condition("upper_per_char", True, 0.02),), (Q.Condition("repeat_share", True, 0.5), Q.Condition("dup_lines", False, 1.0))]
+    stats = Q.statistics(documents(spark, found))
+    got = stats.select("*", *[F.expr(e).cast("double").alias(n) for n, e in Q.FEATURES.items() if n != "n_words"], Q.rule_number(rules).alias("rule")).collect()
+    x = {n: np.array([float(r[n]) for r in got]) for n in Q.FEATURES if n != "dup_lines"} | {"dup_lines": np.array([float(r["n_dup_lines"]) for r in got])}
+    want = np.zeros(len(got), dtype=int)
+    for i, rule in reversed(list(enumerate(rules, 1))):
+        want[Q.covers(rule, x)] = i
+    assert [r["rule"] for r in got] == want.tolist() and set(want.tolist()) >= {0, 1, 2}
