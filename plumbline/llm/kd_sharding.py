@@ -11,7 +11,7 @@ is summed on the executors, the bucket that holds the median is opened at the ne
 bits, and so on (``exact_cuts``): the driver sees counts, never rows. A key is the
 dimension's value, then the text's checksum, then a hash of the id: where values
 tie, a third of all rows with one value or text too, the cut goes between two rows, and equal
-texts stay next to each other.
+texts stay next to each other. A string counts by its first six bytes after those that all values of its column begin with.
 
 Only built-in column functions are used. A null text has no bytes, null metadata
 count as 0, a null id is put like any other. Repeated rows are rows of their own, each with
@@ -21,10 +21,13 @@ out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import exact_cuts, salted_rank, stored
+from plumbline.llm.common import by_node, exact_cuts, salted_rank, stored
 
 #: Bytes that every document weighs besides its text.
 ROW_BYTES = 8
@@ -36,9 +39,10 @@ _VALUE_BITS = 30
 _TIE_BITS = 32
 
 
-def text_order(name: str) -> Column:
-    """A number by which strings sort, roughly: their first six bytes."""
-    first = F.substring(F.rpad(F.hex(F.col(name).cast("string")), 12, "0"), 1, 12)
+def text_order(name: str, common: str = "") -> Column:
+    """A number by which strings sort, roughly: their first six bytes after the beginning that all have in common."""
+    rest = F.col(name).cast("string").substr(F.lit(len(common) + 1), F.lit(6))
+    first = F.substring(F.rpad(F.hex(rest), 12, "0"), 1, 12)
     return F.coalesce(F.conv(first, 16, 10).cast("double"), F.lit(0.0))
 
 
@@ -47,23 +51,25 @@ def number(name: str) -> Column:
     return F.when(value.isNull() | F.isnan(value), 0.0).otherwise(value)
 
 
-def kd_shards(docs: DataFrame, shards: int, dimensions: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int | None, numbers: Sequence[str], texts: Sequence[str], target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every document.
 
-    dimensions: metadata as numbers, by name; text_order() and number() make them.
+    numbers, texts: columns of metadata to split by. shards: how many, or as many as ``target_bytes`` asks for.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    ranges = docs.agg(F.lit(0), *[f(F.col(c).cast("string")) for c in texts for f in (F.min, F.max)]).first()
+    common = [commonprefix([x or "" for x in ranges[1 + 2 * i : 3 + 2 * i]]) for i in range(len(texts))]
+    dimensions = [number(c) for c in numbers] + [text_order(c, p) for c, p in zip(texts, common, strict=True)]
     names = [f"x{i}" for i in range(len(dimensions))]
     rows = stored(
         docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            *[c.cast("double").alias(n) for n, c in zip(names, dimensions.values(), strict=True)],
+            F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), *[c.cast("double").alias(n) for n, c in zip(names, dimensions, strict=True)]
         ),
         "sizes",
-    )
+    )
     ends = rows.agg(F.count("*").alias("rows"), F.sum("size").alias("size"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
+    if shards is None:
+        shards = max(1, -(-(ends["size"] or 0) // target_bytes))
     leaf = (ends["size"] or 0) / shards
     scale = (1 << _VALUE_BITS) - 1
     tie = F.shiftleft(F.shiftright("text_crc32", 16), 16).bitwiseOR(F.xxhash64("id", "text_crc32").bitwiseAND(0xFFFF))
@@ -77,37 +83,37 @@ def kd_shards(docs: DataFrame, shards: int, dimensions: dict[str, Column], id_co
         return F.shiftleft(values[n], _TIE_BITS).bitwiseOR(tie)
 
     tree: dict[int, tuple[int, int]] = {1: (0, shards)}  # node: first shard, shards
-    splits: dict[int, tuple[str, int]] = {}  # node: dimension, cut
-
-    def node_of(at: int = 1) -> Column:
-        if at not in splits:
-            return F.lit(at)
-        n, cut = splits[at]
-        return F.when(key(n) < F.lit(cut), node_of(2 * at)).otherwise(node_of(2 * at + 1))
-
+    splits: dict[int, tuple[int, int]] = {}  # node: number of the dimension, cut
+    keys = F.array(*[key(n) for n in names])
+
+    def at_node(keys: Column, depth: int) -> Column:
+        """The node that a row has come to."""
+        if not splits:
+            return F.lit(1)
+        last = max(splits) + 1
+        along, cuts = (F.lit([splits[n][i] if n in splits else -1 for n in range(last)]).cast("array<bigint>") for i in (0, 1))
+        step = lambda node, _: F.when(F.coalesce(F.get(along, node), F.lit(-1)) < 0, node).otherwise(2 * node + (F.get(keys, F.get(along, node).cast("int")) >= F.get(cuts, node)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+
+    depth = 0
     while ends["rows"]:
         wide = [n for n, (_, many) in tree.items() if many > 1 and n not in splits]
         if not wide:
             break
-        placed = rows.withColumn("node", node_of()).where(F.col("node").isin(wide))
+        placed = rows.select("*", keys.alias("keys")).withColumn("node", at_node(F.col("keys"), max(depth, 1))).where(F.col("node").isin(wide))
         extent = [(F.max(values[n]) - F.min(values[n])).alias(n) for n in names]
         found = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *extent).collect()}
-        widest = {n: max(names, key=lambda x, r=found.get(n): r[x] if r else 0) for n in wide}
-        along = F.lit(0).cast("long")
-        for n in wide:
-            along = F.when(F.col("node") == n, key(widest[n])).otherwise(along)
+        widest = {n: max(range(len(names)), key=lambda x, r=found.get(n): r[names[x]] if r else 0) for n in wide}
+        along = F.get("keys", by_node(widest).cast("int"))
         targets = {n: (found[n]["size"] if n in found else 0) * (tree[n][1] // 2) / tree[n][1] for n in wide}
         cuts = exact_cuts(placed.select("node", along.alias("key"), F.col("size").alias("weight")), targets, _VALUE_BITS + _TIE_BITS, close=CLOSE * leaf)
         for n in wide:
             first, many = tree[n]
             splits[n] = (widest[n], cuts[n])
             tree[2 * n], tree[2 * n + 1] = (first, many // 2), (first + many // 2, many - many // 2)
-    shard_of = F.lit(0)
-    node = F.col("node")
-    for n, (first, many) in tree.items():
-        if many == 1:
-            shard_of = F.when(node == n, first).otherwise(shard_of)
-    placed = rows.withColumn("node", node_of()).select("id", "size", "text_crc32", shard_of.cast("int").alias("shard"))
+        depth += 1
+    shard = by_node({n: first for n, (first, many) in tree.items() if many == 1})
+    placed = rows.select("*", keys.alias("keys")).withColumn("node", at_node(F.col("keys"), max(depth, 1))).select("id", "size", "text_crc32", shard.cast("int").alias("shard"))
     salts = (ends["rows"] or 0) // (shards * RANKED_ROWS) + 1
     ranked = salted_rank(placed, ["shard"], F.pmod(F.xxhash64("id", "text_crc32"), F.lit(salts)), ["id", "text_crc32"], "slot")
     return ranked.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", F.col("slot").cast("long"))

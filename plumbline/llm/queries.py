@@ -11,7 +11,7 @@ from plumbline.llm.classifier_chain import scored
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.importance_resampling import resampled
 from plumbline.llm.jaccard_join import jaccard_join
-from plumbline.llm.kd_sharding import kd_shards, number, text_order
+from plumbline.llm.kd_sharding import kd_shards
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import judged
@@ -50,8 +50,7 @@ def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dimensions = {"n_chars": number("n_chars"), "lang": text_order("lang"), "source": text_order("source"), "doc_id": number("doc_id")}
-    shards = kd_shards(table(spark, sf_dir, "documents"), 24, dimensions)
+    shards = kd_shards(table(spark, sf_dir, "documents"), 24, ["n_chars", "doc_id"], ["lang", "source"])
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
