@@ -20,11 +20,13 @@ packed as often as they occur, a null id stays null. Other columns are left out.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +34,49 @@ from plumbline.llm.common import salted_rank, stored
 
 #: Words whose ids a worker remembers, at most.
 REMEMBERED = 1_000_000
+#: Texts are worked on in parts of about so many bytes, and words put together so many at a time.
+PART_BYTES = 16 << 20
+ASSEMBLED_WORDS = 1 << 18
 #: Rows that one task numbers within a length.
 RANKED_ROWS = 1_000
 _RANK_BITS = 44
 
 
 class WordIds:
-    """Ids of a text, word by word, as bytes (unsigned 32 bit, little-endian).
+    """Ids of texts, word by word (unsigned 32 bit).
 
     This vocabulary's tokens never cross white space, so a text's ids are those of
-    its words, in order; words come again, and their ids are remembered. Texts are
+    its words, in order. Arrow splits a batch of texts and numbers its words, so that Python looks each word up once a batch;
+    ids are remembered over batches, and put together with numpy. Texts are
     cut at space and line feed only, and what else counts as white space stays
     with the tokenizer. Nor do tokens cross from letters to marks: a word of letters with marks after it is made of both.
-    New words of letters alone are encoded in one run: each ends with a
+    New words of letters that are as the tokenizer would normalize them are encoded in one run, without its patterns: each ends with a
     token that says so, and if as many do as there are words, the run is cut there.
 
     When too many words are remembered, those that never came again are forgotten.
     """
 
-    _marks = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
+        words = Tokenizer(tokenizer.model)
+        words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_words = words.encode_batch_fast
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.again: set[bytes] = set()
+        self.known: dict[str, bytes] = {"": b""}
+        self.again: set[str] = set()
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _together(self, words: list[bytes]) -> None:
-        ids = np.array(self.encode([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _together(self, words: list[str]) -> None:
+        ids = np.array(self.encode_words([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) == len(words) and cut[-1] == len(ids):
             raw = ids.tobytes()
@@ -75,41 +85,65 @@ class WordIds:
         else:
             self._apart(words)
 
-    def _apart(self, words: list[bytes]) -> None:
-        for w, found in zip(words, self.encode([w.decode() for w in words], add_special_tokens=False), strict=True):
+    def _apart(self, words: list[str]) -> None:
+        for w, found in zip(words, self.encode(words, add_special_tokens=False), strict=True):
             self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         known, marks = self.known, self._marks
-        cores = {w: w.rstrip(marks) for w in words}
-        letters = {c for c in cores.values() if c and c not in known and c.decode().isalpha()}
-        ordered = list(letters)
-        for at in range(0, len(ordered), 1_000):
-            self._together(ordered[at : at + 1_000])
-        two = {w: c for w, c in cores.items() if w is not c and len(w) > len(c) and (c in letters or (c in known and c.isalpha()))}
-        ends = {w[len(c) :] for w, c in two.items()}
-        self._apart([w for w in (words | ends) if w not in known and w not in two])
-        for w, c in two.items():
-            known[w] = known[c] + known[w[len(c) :]]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut = []
-        for text in texts:
-            raw = (text or "").encode()
-            if b"<|" not in raw:  # else a special token's name in capitals would become the token
-                raw = raw.lower()
-            cut.append(raw.replace(b"\n", b" ").split(b" "))
-        every = set().union(*cut)
-        new = every.difference(self.known)
+        cores = [w.rstrip(marks) for w in words]
+        letters = list({c for c in cores if c not in known and c.isalpha() and (c.isascii() or unicodedata.is_normalized("NFC", c)) and c == c.lower()})
+        for at in range(0, len(letters), 1_000):
+            self._together(letters[at : at + 1_000])
+        two = [(w, c) for w, c in zip(words, cores) if len(w) > len(c) and c in known and c.isalpha()]
+        made = {w for w, _ in two}
+        ends = {w[len(c) :] for w, c in two}
+        self._apart([w for w in {*words, *ends} if w not in known and w not in made])
+        known.update([(w, known[c] + known[w[len(c) :]]) for w, c in two])
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        got = list(map(self.known.get, words))
+        new = [w for w, g in zip(words, got) if g is None]
+        if not new:
+            return got
         if len(self.known) + len(new) > self.remembered:
-            self.known = {w: self.known[w] for w in self.again if w in self.known}
-            self.known[b""] = b""
+            self.known = {w: self.known[w] for w in self.again if w in self.known} | {"": b""}
             self.again = set()
-            new = every.difference(self.known)
-        self.again.update(every.difference(new))
+            new = [w for w in words if w not in self.known]
+        if 4 * len(self.known) > 3 * self.remembered:
+            self.again.update(set(words).difference(new))
         self.learn(new)
-        for words in cut:
-            yield b"".join(map(self.known.__getitem__, words))
+        return list(map(self.known.__getitem__, words))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, and the end)."""
+        # A copy: ascii_lower goes wrong on a slice of an array.
+        texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))
+        # A special token's name in capitals would become the token in small letters.
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        found = self.of_words(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begin = np.cumsum(size) - size
+        every = np.frombuffer(b"".join(found), dtype="<u4")
+        code = words.indices.to_numpy()
+        parts, ends = [], [np.zeros(1, dtype=np.int64)]
+        for at in range(0, len(code), ASSEMBLED_WORDS):
+            c = code[at : at + ASSEMBLED_WORDS]
+            n = size[c]
+            end = np.cumsum(n)
+            parts.append(every[np.arange(end[-1]) + np.repeat(begin[c] - end + n, n)])
+            ends.append(end + ends[-1][-1])
+        ids = np.concatenate(parts) if parts else np.empty(0, dtype="<u4")
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids, np.concatenate(ends)[first]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        ids, at = self.of_texts(pa.array(texts, pa.string()))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -121,34 +155,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cut(part: pa.RecordBatch, ids: WordIds, capacity: int, end_id: int, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of some documents."""
+    found, at = ids.of_texts(part.column(1))
+    n = part.num_rows
+    length = np.diff(at) + 1
+    begin = np.cumsum(length) - length
+    every = np.empty(len(found) + n, dtype="<u4")
+    last = begin + length - 1
+    inside = np.ones(len(every), dtype=bool)
+    inside[last] = False
+    every[last], every[inside] = end_id, found
+    pieces = -(-length // capacity)
+    of = np.repeat(np.arange(n), pieces)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    cut = np.minimum(length[of] - start, capacity)
+    place = begin[of] + start
+    raw = memoryview(every).cast("B")
+    crc = [zlib.crc32(raw[4 * a : 4 * (a + c)]) for a, c in zip(place.tolist(), cut.tolist(), strict=True)]
+    columns = [part.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(cut), pa.array(crc, pa.int64())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if with_ids:
+        columns.append(pa.array([bytes(raw[4 * a : 4 * (a + c)]) for a, c in zip(place.tolist(), cut.tolist(), strict=True)], pa.binary()))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = path or default_tokenizer()
         if place not in _tokenizers:
             _tokenizers[place] = WordIds(place)
         ids = _tokenizers[place]
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows: list[tuple] = []
-                kept: list[bytes] = []
-                for key, found in zip(part.column(0).to_pylist(), ids(part.column(1).to_pylist()), strict=True):
-                    found += end
-                    for piece, b in enumerate(range(0, len(found), 4 * capacity)):
-                        cut = found[b : b + 4 * capacity]
-                        rows.append((key, piece, b // 4, len(cut) // 4, zlib.crc32(cut)))
-                        if with_ids:
-                            kept.append(cut)
-                if not rows:
-                    continue
-                key, piece, start, length, crc = zip(*rows, strict=True)
-                columns = [pa.array(key, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(kept, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            size = pc.coalesce(pc.binary_length(batch.column(1)), 0).to_numpy()
+            part_of = (np.cumsum(size, dtype=np.int64) - size) // PART_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(part_of)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b:
+                    yield _cut(batch.slice(a, b - a), ids, capacity, end_id, with_ids)
 
     return run
 

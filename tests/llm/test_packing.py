@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from cases import documents, empty, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,16 @@ def test_ids_are_the_tokenizers(spark):
     assert list(WordIds(default_tokenizer())(found)) == want
 
 
+def test_slices_of_a_batch():
+    found = [f"Ünï {'é' * i} CAPS wörd{i}!! \n" * 3 for i in range(50)]
+    ids = WordIds(default_tokenizer())
+    want = list(ids(found))
+    every = pa.array(found)
+    for a in range(0, 50, 7):
+        got, at = ids.of_texts(every.slice(a, 7))
+        assert [got[x:y].tobytes() for x, y in zip(at[:-1], at[1:])] == want[a : a + 7]
+
+
 def test_words_that_never_came_again_are_forgotten():
     plain = Tokenizer.from_file(default_tokenizer())
     ids = WordIds(default_tokenizer(), remembered=8)
