@@ -28,12 +28,28 @@ BENIGN = {
     "local_clone": ["periodic sample structure", "compression or stitching artefact"],
     "weak_visual_similarity": ["same instrument and staining", "plain background"],
 }
+#: What a reviewer may do next, in our own words.
+SUGGESTIONS = {
+    "whole_panel_reuse": "Ask whether one picture is shown twice by design, as a shared control is.",
+    "cropped_reuse": "See whether one panel is said to be an inset of the other; if not, look at the uncut pictures.",
+    "transformed_reuse": "See whether turning or mirroring is described; if not, compare the source pictures.",
+    "local_clone": "Look at the marked patches in the uncompressed picture.",
+    "weak_visual_similarity": "A weak lead: leave it unless other records disagree as well.",
+}
+
+
+def _registered(found: DataFrame) -> DataFrame:
+    return found.select("image.*").select(F.sha2("origin", 256).substr(1, 16).alias("image_id"), F.col("origin").alias("source_path"), F.lit("standalone_image").alias("kind"), F.lit(None).cast("int").alias("page"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 
 def register_images(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, source_path, kind, page, height, width, n_channels, data) of the images in a folder; what can't be decoded is left out."""
-    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
-    return found.select(F.sha2("origin", 256).substr(1, 16).alias("image_id"), F.col("origin").alias("source_path"), F.lit("standalone_image").alias("kind"), F.lit(None).cast("int").alias("page"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    return _registered(spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path))
+
+
+def register_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As ``register_images``, for files that are named."""
+    return _registered(spark.read.format("image").option("dropInvalid", "true").load(paths))
 
 
 def _segmented(split: bool, most: int):
@@ -180,7 +196,9 @@ def normalize_images(findings: DataFrame, min_risk: str = "Low") -> DataFrame:
     benign = F.create_map(*[x for k, v in BENIGN.items() for x in (F.lit(k), F.array(*[F.lit(b) for b in v]))])
     numbers = numbered(tiers, [F.desc("score"), F.col("panel_id_a"), F.col("panel_id_b")], "_number").withColumn("finding_id", F.format_string("image-%05d", "_number"))
     ranked = numbered(numbers.withColumn("_tier", order[F.col("risk_tier")]), [F.desc("_tier"), F.desc("score"), F.col("panel_id_a"), F.col("panel_id_b")], "normalized_rank")
-    return ranked.drop("_number", "_tier").withColumn("benign_explanations_checked", benign[F.col("match_type")])
+    suggestions = F.create_map(*[F.lit(x) for pair in SUGGESTIONS.items() for x in pair])
+    kind = F.col("match_type")
+    return ranked.drop("_number", "_tier").withColumn("benign_explanations_checked", benign[kind]).withColumn("review_suggestion", F.coalesce(suggestions[kind], F.lit(SUGGESTIONS["weak_visual_similarity"])))
 
 
 def image_findings(images: DataFrame, max_pairs: int = MAX_PAIRS, min_score: float = 60.0, with_clones: bool = False, split_pages: bool = False) -> DataFrame:

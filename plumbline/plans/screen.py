@@ -5,14 +5,10 @@ Each stage takes and returns DataFrames; ``write_json`` and ``write_document`` a
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.operators import audits, classify, context, dispose, headers
-from plumbline.sources import files, tables
+from plumbline.sources import documents, files, tables
 from plumbline.sources.store import kept, stored, temporary
 
 
@@ -60,8 +56,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_document(parts: dict[str, DataFrame], path: str, limit: int = 10_000) -> None:
-    """One JSON document with a list for each name: for results that people read, so of ``limit`` rows at most each."""
-    document = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(limit).collect()] for name, df in parts.items()}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(document, ensure_ascii=False, indent=2), encoding="utf-8")
+def write_document(parts: dict[str, DataFrame], path: str) -> None:
+    """One JSON document with a list of all rows for each name."""
+    documents.write_document(path, **parts)
