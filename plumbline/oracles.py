@@ -182,14 +182,14 @@ SELECT doc_id, coalesce(c[1], '') title FROM l""",
 SELECT p_partkey, figure_id, CASE WHEN p_partkey % 3 = 0 THEN 'extended_data' ELSE 'main' END figure_type, array_to_string(list_sort(list_distinct(ps)), ',') panels, true mapped FROM g""",
     "captions": """WITH d AS (SELECT doc_id % 7 + 1 n FROM documents) SELECT 'Fig.' || n figure_id, 'main' figure_type, count(*) captions, 'a,b' panels FROM d GROUP BY n UNION ALL SELECT 'ED Fig.' || n, 'extended_data', count(*), 'c' FROM d GROUP BY n""",
     "notices": "SELECT 'author_correction_link' kind, 'An Author Correction to this article was published on 3 May 2021' AS text, count(*) articles FROM documents",
-    "sections": "SELECT doc_id, trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) abstract, 'All data are in the source tables.' data_availability FROM documents",
+    "sections": "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\t-\\r \\x{85}\\p{Z}]+', ' ', 'g')) abstract, 'All data are in the source tables.' data_availability FROM documents",
     "coverage_leads": _FIGURES + f""", g AS (SELECT DISTINCT {_FIGURE} f FROM t), h AS (SELECT regexp_replace(f, '(\\d+)$', '1\\1') f FROM g)
 SELECT 'source_data_coverage' kind, 'Low' priority, 40e0 context_score, f figure_id FROM h WHERE f NOT IN (SELECT f FROM g)""",
     "column_leads": _STAR + _CLASSES + """, k AS (SELECT ti, count(*) k FROM classes WHERE applicability = 'applicable' AND numeric_n >= 5 GROUP BY ti)
 SELECT 'mapped_experimental_source_data' kind, CASE WHEN 55 + least(20, 2*k) >= 80 THEN 'High' ELSE 'Medium' END priority, CAST(55 + least(20, 2*k) AS DOUBLE) context_score, 'Fig.' || ti figure_id FROM k""",
     "label_leads": "SELECT 'repeated_label_or_header_rows' kind, 'Low' priority, 35e0 context_score WHERE EXISTS (SELECT 1 FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 1)",
     "phash_pairs": """WITH b AS (SELECT vec_id, [(x > 0)::INT FOR x IN embedding[1:64]] s FROM embeddings),
-p AS (SELECT a.vec_id vec_a, b.vec_id vec_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(a.s, b.s)]) AS BIGINT) distance FROM b a JOIN b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 7""",
+p AS (SELECT a.vec_id vec_a, b.vec_id vec_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(a.s, b.s)]) AS BIGINT) distance FROM b a JOIN b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 15""",
     "cosine_to_label": """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE e, generate_subscripts(embedding, 1) i FROM embeddings), m AS (SELECT label, i, avg(e) m FROM x GROUP BY 1, 2), j AS (SELECT * FROM x JOIN m USING (label, i)),
 c AS (SELECT *, e - avg(e) OVER (PARTITION BY vec_id) ce, m - avg(m) OVER (PARTITION BY vec_id) cm FROM j)
 SELECT vec_id, round(sum(e*m)/greatest(sqrt(sum(e*e))*sqrt(sum(m*m)), 1e-9), 5) cosine, round(sum(ce*cm)/greatest(sqrt(sum(ce*ce))*sqrt(sum(cm*cm)), 1e-9), 5) ncc FROM c GROUP BY vec_id""",

@@ -159,12 +159,12 @@ def figure_map(spark, sf_dir):
     return out.select(F.col("table_index").alias("p_partkey"), "figure_id", "figure_type", F.array_join("panels", ",").alias("panels"), "mapped")
 
 
-def _articles(spark, sf_dir, body=None):
-    """Documents with an article's sections spliced in: no table has any. body: what stands as the abstract, the whole text unless given."""
+def _articles(spark, sf_dir):
+    """Documents with an article's sections spliced in: no table has any. The whole text stands as the abstract."""
     d = table(spark, sf_dir, "documents")
     n = (F.col("doc_id") % 7 + 1).cast("string")
     text = F.concat_ws(
-        "\n", F.lit("Abstract"), F.coalesce("text", F.lit("")) if body is None else body, F.lit("Introduction"), F.concat(F.lit("Fig. "), n, F.lit(": Growth.")), F.lit("a, Cells. b, Controls."), F.concat(F.lit("Extended Data Fig. "), n, F.lit(": More.")), F.lit("c, Rates."),
+        "\n", F.lit("Abstract"), F.coalesce("text", F.lit("")), F.lit("Introduction"), F.concat(F.lit("Fig. "), n, F.lit(": Growth.")), F.lit("a, Cells. b, Controls."), F.concat(F.lit("Extended Data Fig. "), n, F.lit(": More.")), F.lit("c, Rates."),
         F.lit("Data availability"), F.lit("All data are in the source tables."), F.lit("References"), F.lit("An Author Correction to this article was published on 3 May 2021"),
     )
     return d.select(F.col("doc_id").alias("article_id"), text.alias("text"))
@@ -180,8 +180,7 @@ def notices(spark, sf_dir):
 
 
 def sections(spark, sf_dir):
-    """The abstract is the first 80 characters only: so its SQL has it."""
-    a = _articles(spark, sf_dir, F.substring("text", 1, 80))
+    a = _articles(spark, sf_dir)
     return a.select(F.col("article_id").alias("doc_id"), context.section(F.col("text"), context.ABSTRACT).alias("abstract"), context.section(F.col("text"), context.AVAILABILITY).alias("data_availability"))
 
 
@@ -204,16 +203,21 @@ def label_leads(spark, sf_dir):
     return context.label_leads(rows, none).select("kind", "priority", "context_score")
 
 
-def phash_pairs(spark, sf_dir, radius: int = 7):
-    """Pairs of vectors whose sign bits differ in at most ``radius`` places: pairs share one band at least of radius + 1 (pigeonhole), so no pair test is a cross join."""
+def phash_pairs(spark, sf_dir, radius: int = 15):
+    """Pairs of vectors whose sign bits differ in at most ``radius`` places, below twice the number of bands.
+
+    Of eight bands of eight bits one differs in at most one bit (pigeonhole): one side posts its bands as they are, the other with each bit turned
+    as well, so pairs meet by equality, and no pair test is a cross join.
+    """
     e = table(spark, sf_dir, "embeddings")
     bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
-    hashed = e.select("vec_id", bits.alias("h"))
-    width = 64 // (radius + 1)
-    banded = hashed.select("vec_id", "h", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * width).bitwiseAND((1 << width) - 1).alias("part")) for b in range(radius + 1)])).alias("k")).select("vec_id", "h", "k.*")
-    other = banded.select(F.col("vec_id").alias("vec_b"), F.col("h").alias("h_b"), "band", "part")
-    near = banded.join(other, ["band", "part"]).where((F.col("vec_id") < F.col("vec_b")) & (images.hamming(F.col("h"), F.col("h_b")) <= radius))
-    return near.select(F.col("vec_id").alias("vec_a"), "vec_b", images.hamming(F.col("h"), F.col("h_b")).cast("bigint").alias("distance")).distinct()
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * 8).bitwiseAND(255).alias("part")) for b in range(8)]))
+    banded = e.select("vec_id", bits.alias("h")).select("vec_id", "h", bands.alias("k")).select("vec_id", "h", "k.*")
+    turned = F.explode(F.array(F.col("part"), *[F.col("part").bitwiseXOR(1 << i) for i in range(8)]))
+    other = banded.select(F.col("vec_id").alias("vec_b"), F.col("h").alias("h_b"), "band", turned.alias("part"))
+    distance = images.hamming(F.col("h"), F.col("h_b")).cast("bigint")
+    near = banded.join(other, ["band", "part"]).where((F.col("vec_id") < F.col("vec_b")) & (distance <= radius))
+    return near.select(F.col("vec_id").alias("vec_a"), "vec_b", distance.alias("distance")).distinct()
 
 
 def cosine_to_label(spark, sf_dir):
