@@ -200,7 +200,8 @@ s AS (SELECT *, CASE WHEN crop THEN 'cropped_reuse' WHEN turned THEN 'transforme
 g AS (SELECT *, CASE WHEN (match_type = 'whole_panel_reuse' AND ncc >= 0.95 AND ssim >= 0.85) OR (match_type = 'cropped_reuse' AND t >= 0.9) OR (match_type = 'transformed_reuse' AND i >= 30 AND r >= 0.45) THEN 'High'
   WHEN score >= 72 OR i >= 16 OR t >= 0.82 THEN 'Medium' ELSE 'Low' END risk_tier FROM s)
 SELECT match_type, risk_tier, count(*) pairs, max(score) top_score FROM g GROUP BY 1, 2""",
-    "fixture_screen": "",
+    "score_labels": """WITH t AS (SELECT * FROM (VALUES ('k1', 'Fig. 2c', false, 2, 'c'), ('k2', 'Extended Data Fig. 7k', true, 7, 'k'), ('k3', 'Fig. 99a', false, 99, 'a')) v(oracle_id, label, ed, num, panel)),
+l AS (SELECT p_partkey % 3 = 0 ed, p_size num, chr(CAST(97 + p_partkey % 5 AS INTEGER)) panel FROM part)
+SELECT oracle_id, label, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.ed = t.ed AND l.num = t.num AND l.panel = t.panel) THEN 'true_positive' WHEN EXISTS (SELECT 1 FROM l WHERE l.ed = t.ed AND l.num = t.num) THEN 'near_miss' ELSE 'missed_oracle' END status FROM t""",
     "score_oracle": "SELECT 1e0 exact_recovery_rate, 1e0 exact_or_near_recovery_rate, 0::BIGINT decoy_high_priority_failures, true passed",
 }
-del ORACLE_SQL["fixture_screen"]
