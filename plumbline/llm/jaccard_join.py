@@ -28,8 +28,8 @@ How the work is split
     ``chunk`` documents is split by hash, and each pair of its chunks is a task
     of its own: no task holds more than two chunks, whatever the block.
 5.  In a task, DivideSkip (Li, Lu, Lu 2008) answers each document against the
-    task's inverted lists: the short ones are merged with the threshold
-    ``T - L``; candidates that reach it are looked up in the L long ones. Links
+    task's inverted lists: the short ones are merged by a heap with the threshold
+    ``T - L``; candidates that reach it are looked up in the L long ones by binary search. Links
     are exact. A task returns a count of links for each document and one edge
     that joins it to its class within the task, never the pairs.
 6.  Components of those edges give the classes.
@@ -58,10 +58,9 @@ from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 MOST_FREQUENT = 500_000
 #: A shingle is noted as frequent when so many documents of one batch have it.
 NOTED = 2
-#: Postings merged by a heap; longer merges count in an array.
-HEAP_MOST = 2_000
-#: Weight of a look-up against a merge step in DivideSkip's choice of L.
-MU = 0.05
+#: Weight of a look-up against a merge step in DivideSkip's choice of L. Look-ups take a whole array of candidates at
+#: once, steps of the heap one posting each, some hundred times as long.
+MU = 0.002
 
 
 def least_size(percent: int) -> int:
@@ -243,41 +242,32 @@ class Index:
         long = min(need - 1, int(need / (MU * np.log2(longest + 1) + 1)))
         short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
         docs, counts = merged(short, need - long)
-        if len(docs):
-            if sum(map(len, long_lists)) < 4 * len(docs) * len(long_lists):
-                counted = np.bincount(np.concatenate(long_lists), minlength=int(docs[-1]) + 1)
-                counts = counts + counted[docs]
-            else:
-                for i, one in enumerate(long_lists):
-                    place = np.minimum(np.searchsorted(one, docs), len(one) - 1)
-                    counts = counts + (one[place] == docs)
-                    if i % 16 == 15:
-                        still = counts + (len(long_lists) - i - 1) >= need
-                        docs, counts = docs[still], counts[still]
+        for i, one in enumerate(long_lists):
+            if not len(docs):
+                break
+            counts = counts + (one[np.minimum(np.searchsorted(one, docs), len(one) - 1)] == docs)
+            if i % 16 == 15:
+                still = counts + (len(long_lists) - i - 1) >= need
+                docs, counts = docs[still], counts[still]
         good = 100 * counts >= percent * (n + self.n[docs] - counts)
         return docs[good], counts[good]
 
 
 def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those on ``least`` of the sorted lists, and on how many: by a heap where that is short."""
-    total = sum(map(len, lists))
-    if total <= HEAP_MOST:
-        docs, counts, last, n = [], [], -1, 0
-        for d in heapq.merge(*[x.tolist() for x in lists]):
-            if d == last:
-                n += 1
-                continue
-            if n >= least:
-                docs.append(last)
-                counts.append(n)
-            last, n = d, 1
+    """Those on ``least`` of the sorted lists or more, and on how many: a heap holds the head of each list."""
+    docs, counts, last, n = [], [], -1, 0
+    for d in heapq.merge(*[x.tolist() for x in lists]):
+        if d == last:
+            n += 1
+            continue
         if n >= least and last >= 0:
             docs.append(last)
             counts.append(n)
-        return np.array(docs, dtype=np.int64), np.array(counts, dtype=np.int64)
-    counted = np.bincount(np.concatenate(lists))
-    docs = np.flatnonzero(counted >= max(1, least))
-    return docs, counted[docs]
+        last, n = d, 1
+    if n >= least and last >= 0:
+        docs.append(last)
+        counts.append(n)
+    return np.array(docs, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 def _join_block(ids: np.ndarray, copies: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int, crossing: bool):

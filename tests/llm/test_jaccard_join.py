@@ -102,12 +102,13 @@ def test_stock_passages_make_no_large_block(spark):
     assert sorted(map(tuple, got)) == brute(found, 3, 80)
 
 
-def test_both_merges_agree():
+def test_merge_equals_counting():
+    """Lists of a few and of many thousands of postings, at every threshold."""
     rng = np.random.default_rng(3)
-    lists = [np.unique(rng.integers(0, 50, 30)) for _ in range(9)]
-    want = np.bincount(np.concatenate(lists))
-    for most in (0, 10_000):
-        J.HEAP_MOST, before = most, J.HEAP_MOST
-        docs, counts = J.merged(lists, 4)
-        J.HEAP_MOST = before
-        assert docs.tolist() == np.flatnonzero(want >= 4).tolist() and counts.tolist() == want[want >= 4].tolist()
+    for docs_most, length in ((50, 30), (3_000, 2_000)):
+        lists = [np.unique(rng.integers(0, docs_most, length)) for _ in range(9)]
+        want = np.bincount(np.concatenate(lists))
+        for least in range(1, 10):
+            docs, counts = J.merged(lists, least)
+            assert docs.tolist() == np.flatnonzero(want >= least).tolist() and counts.tolist() == want[want >= least].tolist()
+    assert [x.tolist() for x in J.merged([], 1)] == [[], []]
