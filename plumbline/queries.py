@@ -14,7 +14,7 @@ from plumbline.functions import tokens as T
 from plumbline.operators import audits, classify, context, dispose, evaluate, headers, images
 from plumbline.oracles import ORACLE_SQL
 from plumbline.plans.star import LINEITEM_ORDER, star_cells
-from plumbline.sources.melt import Melt, melt
+from plumbline.sources.melt import Melt, melt, spread
 from plumbline.sources.store import kept, stored, temporary
 
 
@@ -55,7 +55,7 @@ def benford(spark, sf_dir):
 
 
 def _pattern_cells(spark, sf_dir):
-    return melt(table(spark, sf_dir, "orders"), Melt("orders", 0, "o_orderkey", {"o_orderstatus": "text", "o_orderpriority": "text"}))
+    return melt(spread(table(spark, sf_dir, "orders")), Melt("orders", 0, "o_orderkey", {"o_orderstatus": "text", "o_orderpriority": "text"}))
 
 
 def duplicate_rows(spark, sf_dir):
@@ -71,7 +71,7 @@ def clone_vector(spark, sf_dir):
 def _volumes(spark, sf_dir):
     """Boxes with a derived volume, wrong in some rows."""
     volume = F.col("l_quantity") * F.col("l_linenumber") * F.col("l_linenumber") / 2 + F.when(F.col("l_orderkey") % 97 == 0, 15).otherwise(0)
-    made = table(spark, sf_dir, "lineitem").withColumns({"length_mm": F.col("l_quantity"), "width_mm": F.col("l_linenumber"), "volume_mm3": volume})
+    made = spread(table(spark, sf_dir, "lineitem")).withColumns({"length_mm": F.col("l_quantity"), "width_mm": F.col("l_linenumber"), "volume_mm3": volume})
     return melt(made, Melt("lineitem", 0, LINEITEM_ORDER, {"length_mm": "fixed", "width_mm": "whole", "volume_mm3": "fixed"}))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.tokens import column_letters
 from plumbline.model import CELLS
 
+#: Bytes of files below which a table is quicker left in one task.
+SMALLEST = 1 << 20
 #: Names of the fields of a cell, in order.
 FIELDS = [f.split()[0] for f in CELLS.split(", ")]
 
@@ -47,5 +49,17 @@ def melt(df: DataFrame, spec: Melt) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table in as many tasks as there are cores: its files may be one row group, which no scan can split.
+
+    A table of more bytes than one split for each core fills the cores by itself and is returned as it is, so what is shuffled here is bounded by the cluster's size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if SMALLEST < size <= cores * split else df
+
+
 def melt_all(tables: dict[str, DataFrame], specs: list[Melt]) -> DataFrame:
     return reduce(DataFrame.unionByName, [melt(tables[s.table], s) for s in specs])
