@@ -21,8 +21,10 @@ How the work is split
     where that is less, go. A document on a longer list would have too many
     pairs there: it posts signatures instead (see ``signatures``), each a hash of a fixed part of
     its set. Sets that link differ in few shingles, so some part has none of the differences, whereas those that merely have a
-    frequent shingle in common share no whole part. Documents of one signature
-    are joined with the first of them.
+    frequent shingle in common share no whole part. Documents of a signature that more than ``few``
+    have are joined with the first of them; the others are pairs like those of the short lists.
+    Each pair is then held against the documents' sketches (see ``sketch``), which rule out those whose sets differ in too much.
+    Without that, pairs that merely share a passage chain ever more of a growing table into one block.
 4.  The components of these candidates are blocks: all links lie within blocks. Each
     document goes to its block once with its full set. A block of over
     ``chunk`` documents is split by hash, and each pair of its chunks is a task
@@ -51,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, discard, stored
+from plumbline.llm.common import components, discard, release, stored
 from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 
 #: Frequent shingles that are told to all tasks, at most: 16 bytes each.
@@ -61,6 +63,8 @@ NOTED = 2
 #: Weight of a look-up against a merge step in DivideSkip's choice of L. Look-ups take a whole array of candidates at
 #: once, steps of the heap one posting each, some hundred times as long.
 MU = 0.002
+#: Bits of a sketch, at most: beyond twice as many shingles it rules little out.
+MOST_BITS = 1 << 13
 
 
 def least_size(percent: int) -> int:
@@ -102,8 +106,43 @@ def _digests(k: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each remainder of shingles: whether an odd number of them has it. As many bits as the set has shingles or more, a power of two.
+
+    A shingle that only one of two sets has flips one bit, one that both have none, so the sketches differ in no more
+    bits than the sets differ in shingles. The halves of a sketch, one xor the other, are the sketch of half the size.
+    """
+    bits = min(MOST_BITS, max(64, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the larger one halved to the size of the other."""
+    x, y = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    n, m = len(one), len(two)
+    if n < m:
+        x, y, n, m = y, x, m, n
+    while n > m:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return (x ^ y).bit_count()
+
+
+def _near(percent: int):
+    """Pairs whose sketches don't rule out that they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("n", "n2", "s", "s2")]
+            good = [(100 + percent) * apart(s, s2) <= (100 - percent) * (n + n2) for n, n2, s, s2 in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _heads(k: int, percent: int, extra: int, frequent):
-    """The head of each document: its n - T + 1 + extra least frequent shingles."""
+    """The head of each document, its n - T + 1 + extra least frequent shingles, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_bytes = space_separated()
@@ -112,12 +151,15 @@ def _heads(k: int, percent: int, extra: int, frequent):
         for batch in batches:
             heads: list = []
             sizes: list = []
+            sketches: list = []
             for s in shingle_sets(batch.column(1), k, word_bytes):
                 n = len(s)
                 sizes.append(n)
                 if n < least:
                     heads.append(None)
+                    sketches.append(None)
                     continue
+                sketches.append(sketch(s))
                 take = min(n, n + (-percent * n // 100) + 1 + extra)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
@@ -127,8 +169,8 @@ def _heads(k: int, percent: int, extra: int, frequent):
                     s = s[:take]
                 heads.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(sizes, dtype=np.int64)), pa.array(heads, type=pa.list_(pa.int64()))],
-                names=["row", "n", "head"],
+                [batch.column(0), pa.array(np.array(sizes, dtype=np.int64)), pa.array(heads, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())],
+                names=["row", "n", "head", "s"],
             )
 
     return run
@@ -353,6 +395,7 @@ def jaccard_join(
     extra: int = 2,
     short_list: int = 32,
     chunk: int = 512,
+    few: int = 4,
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every document; see the module."""
     spark = docs.sparkSession
@@ -371,11 +414,14 @@ def jaccard_join(
     same = stored(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = same.where(f"n >= {least_size(percent)}").select("row", "node", "copies")
 
-    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row long, n long, head array<long>")
-    posted = stored(heads.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", F.explode("head").alias("token")), "posted")
+    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row long, n long, head array<long>, s binary")
+    heads = stored(heads.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", "head", "s"), "heads")
+    posted = heads.select("node", "n", F.explode("head").alias("token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     kept = stored(posted.join(lists, "token"), "lists")
-    discard(posted)
+    sketches = stored(heads.select("node", "n", "s"), "sketches")
+    discard(heads)
+    release(spark)
     one = kept.where(F.col("docs") <= short_list).select("token", "node", "n")
     two = one.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"))
     pairs = (
@@ -389,10 +435,19 @@ def jaccard_join(
     on_long = kept.where(F.col("docs") > short_list).select("node").distinct().join(reps, "node").select("row", "node")
     signed = texts.select("row", "text").join(on_long, "row").select("node", "text").mapInArrow(_signed(k, percent), "node long, signatures array<long>")
     signed = stored(signed.select("node", F.explode("signatures").alias("signature")).distinct(), "signatures")
-    shared = signed.groupBy("signature").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = signed.join(shared, "signature").where("node <> b").select(F.col("node").alias("a"), "b")
-    blocks = stored(components(stars.unionByName(pairs)), "blocks")
-    discard(kept, signed)
+    shared = signed.groupBy("signature").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
+    stars = signed.join(shared.where(F.col("m") > few).drop("m"), "signature").where("node <> b").select(F.col("node").alias("a"), "b")
+    a_few = signed.join(shared.where(F.col("m") <= few).select("signature"), "signature")
+    met = a_few.join(a_few.select("signature", F.col("node").alias("b")), "signature").where("node < b").select(F.col("node").alias("a"), "b").distinct()
+    near = (
+        pairs.unionByName(met)
+        .join(sketches.select(F.col("node").alias("a"), "n", "s"), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2")), "b")
+        .mapInArrow(_near(percent), "a long, b long")
+    )
+    blocks = stored(components(stars.unionByName(near)), "blocks")
+    discard(kept, signed, sketches)
+    release(spark)
 
     sizes = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
     members = (
@@ -412,6 +467,7 @@ def jaccard_join(
         dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_blocks(percent), "id long, low long, links long"),
         "linked",
     )
+    release(spark)
     degrees = linked.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("low").alias("b")))
     lows = roots.join(same.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))

@@ -102,6 +102,38 @@ def test_stock_passages_make_no_large_block(spark):
     assert sorted(map(tuple, got)) == brute(found, 3, 80)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_sketches_rule_out_no_link(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 64, 65, 100, 500, 20_000]:
+        s = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for lost in range(0, n * (100 - percent) // 100 + 1, max(1, n // 20)):
+            most = len(s) - lost
+            for more in {0, most * 100 // percent - len(s)}:  # as many as still link
+                if more < 0:
+                    continue
+                other = np.unique(np.append(s[lost:], rng.integers(0, 1 << 62, more).astype(np.uint64)))
+                both = len(np.intersect1d(s, other))
+                if 100 * both >= percent * (len(s) + len(other) - both):
+                    assert (100 + percent) * J.apart(J.sketch(s), J.sketch(other)) <= (100 - percent) * (len(s) + len(other))
+    a, b = (np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(2))
+    assert (100 + percent) * J.apart(J.sketch(a), J.sketch(np.append(a[:60], b))) > (100 - percent) * 460
+
+
+def test_shared_passages_chain_no_block(spark, monkeypatch):
+    """Each document shares a passage with the one before and another with the one after; a few are near copies."""
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(30) for _ in range(61)]
+    found = [" ".join([*passages[i], *words(30), *passages[i + 1]]) for i in range(60)]
+    found += [" ".join([*found[i].split()[:-2], "two", "edits"]) for i in (3, 30, 59)]
+    held, store = {}, J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: held.setdefault(name, store(df, name)))
+    got = J.jaccard_join(documents(spark, found), 3, 80).collect()
+    assert sorted(map(tuple, got)) == brute(found, 3, 80)
+    assert held["blocks"].groupBy("root").count().agg({"count": "max"}).first()[0] == 2
+
+
 def test_merge_equals_counting():
     """Lists of a few and of many thousands of postings, at every threshold."""
     rng = np.random.default_rng(3)
