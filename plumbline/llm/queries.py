@@ -14,6 +14,7 @@ from plumbline.llm.jaccard_join import jaccard_join
 from plumbline.llm.kd_sharding import kd_shards
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.packing import pack
+from plumbline.llm.periodic_runs import periodic_runs, with_repeats
 from plumbline.llm.quality_rules import judged
 from plumbline.llm.secret_scan import scanned
 from plumbline.llm.warc import round_trip
@@ -66,6 +67,23 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the runs and of what collapsing them leaves, and the run of the greatest exponent."""
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    ahead = "r.length * b.period > b.length * r.period or (r.length * b.period = b.length * r.period and (r.start < b.start or (r.start = b.start and r.period < b.period)))"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> if(b is null or {ahead}, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_winnowing,
         op9_markov_secrets,
         op10_warc_segments,
+        op13_periodic_runs,
     )
 }
 #: DuckDB SQL where it can express a query.
