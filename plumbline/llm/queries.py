@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.classifier_chain import scored
+from plumbline.llm.conversation_trie import prefix_trie, sequences, with_shared_heads
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.importance_resampling import resampled
 from plumbline.llm.jaccard_join import jaccard_join
@@ -67,6 +68,10 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the runs and of what collapsing them leaves, and the run of the greatest exponent."""
     found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_winnowing,
         op9_markov_secrets,
         op10_warc_segments,
+        op12_conversation_trie,
         op13_periodic_runs,
     )
 }
