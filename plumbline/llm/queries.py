@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.classifier_chain import scored
+from plumbline.llm.common import work_path
 from plumbline.llm.conversation_trie import prefix_trie, sequences, with_shared_heads
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.importance_resampling import resampled
@@ -18,6 +19,7 @@ from plumbline.llm.packing import pack
 from plumbline.llm.periodic_runs import periodic_runs, with_repeats
 from plumbline.llm.quality_rules import judged
 from plumbline.llm.secret_scan import scanned
+from plumbline.llm.token_counts import counted
 from plumbline.llm.warc import round_trip
 
 
@@ -68,6 +70,11 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a cache that is empty at first: every distinct text is tokenized."""
+    return counted(table(spark, sf_dir, "documents"), work_path(spark, "token-counts"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_heads(sequences(table(spark, sf_dir, "conversations"))))
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_winnowing,
         op9_markov_secrets,
         op10_warc_segments,
+        op11_digest_cache,
         op12_conversation_trie,
         op13_periodic_runs,
     )
