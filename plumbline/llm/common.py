@@ -14,7 +14,12 @@ from pyspark.sql.window import Window
 
 from plumbline.sources.store import discard, release, shared_folder, stored, work_path
 
-__all__ = ["by_node", "components", "discard", "exact_cuts", "release", "salted_rank", "shared_folder", "stored", "work_path"]
+__all__ = ["by_node", "components", "discard", "exact_cuts", "release", "row_key", "salted_rank", "shared_folder", "stored", "work_path"]
+
+
+def row_key(*told: Column) -> Column:
+    """128 bits that tell rows by their values: two hashes, of which the second begins with other values."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *told)), 16, "0") for seed in (1, 2))))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

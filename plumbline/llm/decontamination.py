@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import row_key, stored
 from plumbline.llm.line_dedup import merged_spans
 from plumbline.llm.textkernel import Words, alphanumeric, runs
 
@@ -211,24 +211,24 @@ def _extended(window: int, gram: int):
                     if found:
                         out.append((key, name, _merged_pairs(found)))
             columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], _SPAN)], names=["row", "item", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string()), pa.array(columns[2], _SPAN)], names=["row", "item", "spans"])
 
     return run
 
 
 def _by_join(texts: DataFrame, asked: DataFrame, window: int, gram: int) -> DataFrame:
     """What _matched gives, for a benchmark of any size. Rows of one id and text are told alike."""
-    asked = stored(asked.groupBy("item", "text").agg(F.xxhash64("item", "text").alias("key")), "items")
-    prints = stored(asked.select("key", "text").mapInArrow(_prints(window, gram, [], True), "key long, n_words long, prints array<long>"), "item-prints")
+    asked = stored(asked.groupBy("item", "text").agg(row_key(F.col("item"), F.col("text")).alias("key")), "items")
+    prints = stored(asked.select("key", "text").mapInArrow(_prints(window, gram, [], True), "key binary, n_words long, prints array<long>"), "item-prints")
     lengths = sorted(r["n_words"] for r in prints.where(f"n_words between 1 and {window - 1}").select("n_words").distinct().collect())  # window - 1 at most
-    texts = texts.withColumn("row", F.xxhash64("id", "text"))
+    texts = texts.withColumn("row", row_key(F.col("id"), F.col("text")))
     extra = [c for c in texts.columns if c not in ("id", "text", "row")]
-    kinds = ", ".join(["key long, n_words long, prints array<long>, id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in extra]])
+    kinds = ", ".join(["key binary, n_words long, prints array<long>, id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in extra]])
     read = stored(texts.select("row", "text", "id", *extra).mapInArrow(_prints(window, gram, lengths, False), kinds).withColumnRenamed("key", "row"), "prints")
     theirs = prints.select(F.col("key").alias("item_key"), F.explode("prints").alias("print"))
     pairs = read.select("row", F.explode("prints").alias("print")).join(theirs, "print").select("row", "item_key").distinct()
     named = asked.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text"))
-    found = texts.select("row", "text").join(pairs, "row").join(named, "item_key").select("row", "text", "item", "item_text").mapInArrow(_extended(window, gram), "row long, item string, spans array<struct<begin:int,end:int>>")
+    found = texts.select("row", "text").join(pairs, "row").join(named, "item_key").select("row", "text", "item", "item_text").mapInArrow(_extended(window, gram), "row binary, item string, spans array<struct<begin:int,end:int>>")
     inclusive = F.transform("spans", lambda x: F.struct(x["begin"].alias("b"), (x["end"] - 1).alias("e")))
     found = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(inclusive))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     found = found.select("row", F.transform(merged_spans("spans"), lambda x: F.struct(x["b"].alias("begin"), (x["e"] + 1).alias("end"))).alias("spans"), "items")

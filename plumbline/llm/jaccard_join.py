@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, discard, release, stored
+from plumbline.llm.common import components, discard, release, row_key, stored
 from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 
 #: Frequent shingles that are told to all tasks, at most: 16 bytes each.
@@ -94,7 +94,7 @@ def _digests(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([batch.column(1), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(1), pa.nulls(m, pa.binary())]),
                     pa.array(np.concatenate([np.array(size, dtype=np.int64), count[often].astype(np.int64)])),
                     longs(np.concatenate([np.array(one, dtype=np.uint64), every[edge[often]] if m else np.empty(0, dtype=np.uint64)])),
                     longs(np.concatenate([np.array(two, dtype=np.uint64), np.zeros(m, dtype=np.uint64)])),
@@ -400,9 +400,9 @@ def jaccard_join(
     """(id, n_shingles, component_id, n_links) of every document; see the module."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
 
-    first = stored(texts.mapInArrow(_digests(k), "id long, row long, n long, d1 long, d2 long, noted boolean"), "digests")
+    first = stored(texts.mapInArrow(_digests(k), "id long, row binary, n long, d1 long, d2 long, noted boolean"), "digests")
     sets = first.where("not noted").drop("noted")
     noted = first.where("noted").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_FREQUENT).toArrow()
     tokens = noted["d1"].to_numpy().view(np.uint64)
@@ -414,7 +414,7 @@ def jaccard_join(
     same = stored(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = same.where(f"n >= {least_size(percent)}").select("row", "node", "copies")
 
-    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row long, n long, head array<long>, s binary")
+    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row binary, n long, head array<long>, s binary")
     heads = stored(heads.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", "head", "s"), "heads")
     posted = heads.select("node", "n", F.explode("head").alias("token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")

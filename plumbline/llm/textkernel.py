@@ -2,9 +2,9 @@
 
 The operators on words need one thing many times: a 64-bit hash for every word
 of every text, without a Python object per word. A batch's UTF-8 buffer is
-read in place. A prefix sum of ``table[byte] * base**position`` (modulo 2**64)
-gives the hash of any byte range as a difference, so each word costs a few
-array operations, whatever its length. Hashes depend on the word alone: not on
+read in place, a word as lanes of eight bytes from its begin. Each lane goes through a mixing that depends on its number, and
+the mixed lanes are summed with the length: no arithmetic of the letters is left on which crafted words could collide. Grams mix word
+by word in the same way. Hashes depend on the word alone: not on
 the batch, the process or Python's hash seed.
 
 Null texts count as empty.
@@ -17,9 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in runs of about so many bytes; one text is never cut.
 RUN_BYTES = 1 << 20
 
@@ -35,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-
+#: The first n bytes of a lane.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -62,20 +61,27 @@ def words_and_marks() -> np.ndarray:
     return classes
 
 
-_powers: dict[int, np.ndarray] = {}
+def byte_ranges(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes. data: followed by eight bytes that no range has."""
+    lanes = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    length = end - begin
+    out = mix((lanes[begin] & _MASKS[np.minimum(length, 8)]) ^ _LENGTH)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        n = (length[long] - 1) // 8  # lanes after the first
+        edge = np.cumsum(n) - n
+        nth = np.arange(1, int(n.sum()) + 1) - np.repeat(edge, n)
+        at = np.repeat(begin[long], n) + 8 * nth
+        lane = lanes[at] & _MASKS[np.minimum(np.repeat(end[long], n) - at, 8)]
+        out[long] += np.add.reduceat(mix(lane ^ mix((nth.astype(np.uint64) + np.uint64(1)) * _LENGTH)), edge)
+    return mix(out + length.astype(np.uint64) * _LENGTH)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = max(n + 1, 2 * RUN_BYTES)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n < 4 * RUN_BYTES:  # those for one enormous text aren't held
-            _powers[base] = have
-    return have
+def _chained(so_far: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a gram with one word more."""
+    out = (so_far + word) * _STEP
+    out ^= out >> np.uint64(29)
+    return out
 
 
 class Words:
@@ -92,21 +98,16 @@ class Words:
         edge[offsets] = edge[0] = edge[-1] = True
         begin = np.flatnonzero(edge[:-1] & (of != 0))
         end = np.flatnonzero(edge[1:] & (of != 0)) + 1
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        terms = _BYTE_TABLE[_LOWER[data] if lower else data]
-        terms *= _power(_BASE, n)[:n]
-        np.cumsum(terms, out=sums[1:])
-        self.hash = mix((sums[end] - sums[begin]) * _power(_INVERSE, n)[begin] + (end - begin).astype(np.uint64))
+        self._data = np.zeros(n + 8, dtype=np.uint8)
+        self._data[:n] = _LOWER[data] if lower else data
+        self.hash = byte_ranges(self._data, begin, end)
         self.begin, self.end = begin, end
-        self._sums = sums
         #: self.first[j] to self.first[j + 1]: the words of text j
         self.first = np.searchsorted(begin, offsets)
 
     def prefix(self, n: int) -> np.ndarray:
         """The hash of each word's first n bytes, or of all of a shorter one."""
-        end = np.minimum(self.begin + n, self.end)
-        return mix((self._sums[end] - self._sums[self.begin]) * _power(_INVERSE, len(self._sums))[self.begin])
+        return byte_ranges(self._data, self.begin, np.minimum(self.begin + n, self.end))
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k words that begin at each word; those that leave their text mean nothing."""
@@ -115,7 +116,7 @@ class Words:
         if n >= k:
             m = n - k + 1
             for j in range(k):
-                out[:m] = out[:m] * _STEP + self.hash[j : j + m]
+                out[:m] = _chained(out[:m], self.hash[j : j + m])
         return mix(out + np.uint64(k))
 
     def whole(self, j: int) -> np.ndarray:
@@ -123,7 +124,7 @@ class Words:
         out = np.zeros(1, dtype=np.uint64)
         words = self.hash[self.first[j] : self.first[j + 1]]
         for h in words:
-            out = out * _STEP + h
+            out = _chained(out, h)
         return mix(out + np.uint64(len(words)))
 
 

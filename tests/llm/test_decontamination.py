@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from cases import documents, empty, texts
 
 from plumbline.llm import decontamination as D
@@ -65,3 +66,17 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")] * 2 + [(None, None)], "doc_id long, text string")
     got = D.decontaminate(docs, spark.createDataFrame([(1, "x a b c d e f g h")], "item_id long, text string")).collect()
     assert sorted((r.n_words, r.n_hit) for r in got) == [(0, 0), (8, 8), (8, 8)]
+
+
+@pytest.mark.parametrize("block", [1 << 24, 100])
+def test_crafted_words_are_not_hits(spark, monkeypatch, block):
+    """An item of a word, and one of a window, that only a polynomial hash modulo 2**64 finds in the documents."""
+    from test_kernel import thue_morse
+
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    a, b = thue_morse(11)
+    rest = "one two three four five six seven"
+    table = spark.createDataFrame([(1, a), (2, f"{a} {rest}"), (3, f"{rest} {a}")], "item_id long, text string")
+    found = [b, f"{b} {rest}", f"{rest} {b} {rest}", a]
+    got = result(spark, found, table)
+    assert got == brute(found, [(1, a), (2, f"{a} {rest}"), (3, f"{rest} {a}")]) and [r[2] for r in got] == [0, 0, 0, 1]

@@ -144,3 +144,13 @@ def test_merge_equals_counting():
             docs, counts = J.merged(lists, least)
             assert docs.tolist() == np.flatnonzero(want >= least).tolist() and counts.tolist() == want[want >= least].tolist()
     assert [x.tolist() for x in J.merged([], 1)] == [[], []]
+
+
+def test_crafted_words_do_not_link(spark):
+    """Words on which a polynomial hash modulo 2**64 agrees, alone and in the middle of equal texts."""
+    from test_kernel import thue_morse
+
+    pairs = [thue_morse(n) for n in (10, 12, 16)]
+    found = [w for p in pairs for w in p] + [f"a b {w} c d" for p in pairs for w in p]
+    got = sorted(map(tuple, J.jaccard_join(documents(spark, found), 3, 90).collect()))
+    assert got == brute(found, 3, 90) and all(r[3] == 0 for r in got)

@@ -47,3 +47,38 @@ def test_one_text_longer_than_a_run():
     text = "word " * 600_000
     (found,) = T.shingle_sets(pa.array([text]), 3, T.space_separated())
     assert len(found) == 1
+
+
+def thue_morse(n):
+    """Two words of 2**n letters on which any polynomial hash modulo 2**64 with an odd base agrees, from n = 10 or 11 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_crafted_words_do_not_collide():
+    for n in range(3, 17):
+        pair = thue_morse(n)
+        for lower in (True, False):
+            (_, data, offsets), *_ = T.runs(pa.array([" ".join(pair)]), run_bytes=1 << 30)
+            words = T.Words(data, offsets, T.space_separated(), lower=lower)
+            assert len(words.hash) == 2 and words.hash[0] != words.hash[1]
+            assert words.prefix(1 << n)[0] == words.hash[0] and words.prefix(3)[0] != words.prefix(3)[1]
+    # as words of a gram
+    a, b = (" ".join(x) for x in thue_morse(12))
+    assert len({int(s[0]) for s in T.shingle_sets(pa.array([a, b]), 5_000, T.space_separated())}) == 2
+
+
+def test_hashes_are_of_the_word_alone():
+    """Words of all lengths about a lane's, with bytes of zero, at any place."""
+    found = [c * n + tail for n in range(0, 20) for c in ("a", "b", "\0", "é") for tail in ("", "x", "\0", "\0\0")]
+    found = list(dict.fromkeys(w for w in found if w))
+    seen: dict[str, int] = {}
+    for pad in range(9):
+        text = " " * pad + " ".join(found)
+        (_, data, offsets), *_ = T.runs(pa.array([text]))
+        words = T.Words(data, offsets, T.space_separated())
+        for w, h in zip(found, words.hash.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(found)
