@@ -12,7 +12,9 @@ Reading. Records are parsed from whole archives. Continuation records are groupe
 the id of their origin record, put in the order of their segment numbers, and checked
 against the total length; the chunked framing is decoded; the payload's digest is
 compared with the header's. A record that fails a check is returned with the
-reason in ``error``, never dropped.
+reason in ``error``, never dropped: so are headers that aren't UTF-8 (their bytes escaped), a block that the archive cuts short, and a Content-Length that is
+absent or doesn't lead to the record's end (reading goes on at the next record that begins after an empty line). Of a compressed
+archive that is damaged all that comes out is read, and a row without a record id says so. Bytes between records that begin none are skipped.
 
 A page of more than ``SEGMENT_BYTES`` (about one in eleven of the test pages, a third of their bytes) goes through segments.
 
@@ -26,9 +28,10 @@ are left out; an empty table makes empty archives.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +65,8 @@ def unchunked(body: bytes) -> bytes:
     while True:
         end = body.index(b"\r\n", at)
         n = int(body[at:end].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("a chunk of a negative size")
         at = end + 2
         if not n:
             return b"".join(parts)
@@ -141,24 +146,68 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_
     typed.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_written(segment_bytes), "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record; what isn't a record is skipped up to the next one."""
+def inflated(raw: bytes) -> tuple[bytes, str | None]:
+    """An archive's bytes (gzip, in any number of members, or plain), and what is wrong with its compression."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw, None
+    parts = []
+    while raw:
+        member = zlib.decompressobj(31)
+        for at in range(0, len(raw), 1 << 16):
+            part, before = raw[at : at + (1 << 16)], member.copy()
+            try:
+                parts.append(member.decompress(part))
+            except zlib.error as e:
+                # What comes before the damage comes out in small steps.
+                with suppress(zlib.error):
+                    for i in range(0, len(part), 64):
+                        parts.append(before.decompress(part[i : i + 64]))
+                return b"".join(parts), f"the archive's compression is damaged: {e}"
+            if member.eof:
+                break
+        if not member.eof:
+            return b"".join([*parts, member.flush()]), "the archive's compression ends early"
+        raw = member.unused_data + raw[at + (1 << 16) :]
+        if not raw.strip(b"\0"):
+            break
+    return b"".join(parts), None
+
+
+def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (lower-case names), block and error of each record; what isn't a record is skipped up to the next one."""
+
+    def next_record(at: int) -> int:
+        while (at := archive.find(b"WARC/1.", at)) > 0 and archive[at - 1] != 0x0A:
+            at += 1
+        return at
+
     at = 0
-    while (at := archive.find(b"WARC/1.", at)) >= 0:
+    while (at := next_record(at)) >= 0:
         end = archive.find(b"\r\n\r\n", at)
+        fields, error = {}, None if end >= 0 else "the header has no end"
+        head = archive[at : end if end >= 0 else len(archive)]
+        try:
+            head.decode()
+        except UnicodeDecodeError:
+            error = error or "the header isn't UTF-8"
+        for line in head.decode(errors="backslashreplace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        begin = end + 4
         if end < 0:
+            yield fields, b"", error
             return
-        fields = {}
-        for line in archive[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.decode().strip().lower()] = value.decode().strip()
-        try:
-            n = int(fields["content-length"])
-        except (KeyError, ValueError):
-            at = end
-            continue
-        yield fields, archive[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        said = fields.get("content-length", "")
+        stop = begin + int(said) if said.isascii() and said.isdigit() else -1
+        if stop > len(archive) or stop >= 0 and archive[stop : stop + 4] not in (b"\r\n\r\n", b"\r\n\r", b"\r\n", b"\r", b""):
+            error, stop = error or f"the block doesn't end after {said} bytes", -1
+        elif stop < 0:
+            error = error or "no Content-Length"
+        if stop < 0:
+            stop = archive.find(b"\r\n\r\nWARC/1.", end)
+            stop = len(archive) if stop < 0 else stop
+        yield fields, archive[begin:stop], error
+        at = max(stop, begin)
 
 
 def _decoded(kind: str, block: bytes, said: str, total: str | None) -> tuple[bytes, str | None, str | None]:
@@ -190,11 +239,15 @@ def _parse(with_payload: bool):
         for batch in batches:
             for archive in batch.column(0):
                 out, held = [], 0
-                raw = archive.as_py()
-                for f, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                content, damage = inflated(archive.as_py())
+                for f, block, error in parsed(content):
                     kind, number = f.get("warc-type", ""), f.get("warc-segment-number")
-                    said, payload, own, error = f.get("warc-payload-digest", ""), None, None, None
-                    if number is None:
+                    if number is not None and not (number.isascii() and number.isdigit() and len(number) < 10):
+                        number, error = None, error or "the segment's number is no number"
+                    said, payload, own = f.get("warc-payload-digest", ""), None, None
+                    if error:
+                        number, payload = None, b""
+                    elif number is None:
                         payload, own, error = _decoded(kind, block, said, None)
                     size = None if payload is None else len(payload)
                     origin = f.get("warc-segment-origin-id") if kind == "continuation" else f.get("warc-record-id")
@@ -204,6 +257,8 @@ def _parse(with_payload: bool):
                     if held > 4 << 20:
                         yield packed(out)
                         out, held = [], 0
+                if damage:
+                    out.append((None, 1, None, "", None, None, None, None, b"" if with_payload else None, 0, None, damage, True))
                 if out:
                     yield packed(out)
 

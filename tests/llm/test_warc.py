@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 from hypothesis import given, settings
@@ -61,6 +62,49 @@ def test_damage_is_reported(spark, tmp_path):
         assert len(got) == 1 and got[0].error == wrong, name
 
 
+def raw_record(name, block, length=None, extra=b""):
+    length = b"Content-Length: %d\r\n" % len(block) if length is None else length
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\n" % name + extra + length + b"\r\n" + block + b"\r\n\r\n"
+
+
+def read_back(spark, folder, raw):
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(raw)
+    return sorted(((r.record_id, bytes(r.payload).decode(), r.error) for r in W.read_warc(spark, f"file://{folder}").collect()), key=repr)
+
+
+def test_broken_records_are_rows(spark, tmp_path):
+    """Each among two sound records, which are read all the same."""
+    http = lambda t: b"HTTP/1.1 200 OK\r\n\r\n" + t
+    one, two = raw_record(b"1", http(b"one")), raw_record(b"2", http(b"two"))
+    sound = [("<1>", "one", None), ("<2>", "two", None)]
+    broken = {
+        "bytes": (raw_record(b"b", http(b"x"), extra=b"X-Odd: \xff\xfe\r\n"), "the header isn't UTF-8"),
+        "absent": (raw_record(b"b", http(b"x"), length=b""), "no Content-Length"),
+        "words": (raw_record(b"b", http(b"x"), length=b"Content-Length: many\r\n"), "no Content-Length"),
+        "large": (raw_record(b"b", http(b"x"), length=b"Content-Length: 60\r\n"), "the block doesn't end after 60 bytes"),
+        "larger": (raw_record(b"b", http(b"x"), length=b"Content-Length: 99999\r\n"), "the block doesn't end after 99999 bytes"),
+        "small": (raw_record(b"b", http(b"x" * 50), length=b"Content-Length: 30\r\n"), "the block doesn't end after 30 bytes"),
+        "number": (raw_record(b"b", http(b"x"), extra=b"WARC-Segment-Number: two\r\n"), "the segment's number is no number"),
+        "chunk": (raw_record(b"b", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n-5\r\nx"), "chunked framing: a chunk of a negative size"),
+    }
+    for name, (record, wrong) in broken.items():
+        for place, raw in (("middle", one + record + two), ("last", one + two + record)):
+            assert read_back(spark, tmp_path / f"{name}-{place}", raw) == sorted([*sound, ("<b>", "", wrong)], key=repr), (name, place)
+    cut = (one + two + raw_record(b"b", http(b"x" * 90)))[:-60]
+    assert read_back(spark, tmp_path / "cut", cut) == sorted([*sound, ("<b>", "", f"the block doesn't end after {len(http(b'x' * 90))} bytes")], key=repr)
+    assert read_back(spark, tmp_path / "headless", one + two + b"WARC/1.1\r\nWARC-Record-ID: <b>") == sorted([*sound, ("<b>", "", "the header has no end")], key=repr)
+
+
+def test_damaged_compression_is_a_row(spark, tmp_path):
+    records = [raw_record(b"%d" % i, b"HTTP/1.1 200 OK\r\n\r\n" + hashlib.sha256(b"%d" % i).hexdigest().encode() * 40) for i in range(40)]
+    whole, members = gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))
+    assert len(read_back(spark, tmp_path / "sound", members)) == 40 and all(r[2] is None for r in read_back(spark, tmp_path / "whole", whole))
+    for name, raw in (("cut", whole[: len(whole) // 2]), ("member", members[:-30]), ("flipped", whole[: len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40 :])):
+        got = read_back(spark, tmp_path / name, raw)
+        assert sum(r[0] is None and "compression" in r[2] for r in got) == 1 and sum(r[2] is None for r in got) >= 10, name
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(max_size=60))
 def test_framing(text):
