@@ -1,7 +1,7 @@
 """Figure panels: segmentation, features, candidate pairs, pair scores, risk tiers.
 
-Candidates are joined on features alone; pixels join again for the pairs that are scored. Matching of local
-keypoints needs a library that isn't a dependency here: its fields say ``detector = 'none'`` with no inliers.
+Candidates are joined on features alone (``candidates``); pixels join again for the pairs that are scored. Corners and their descriptors are made
+once for each panel that is in some pair, and pairs are matched by them (``functions.keypoints``).
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import keypoints as K
 from plumbline.functions import pixels as P
-from plumbline.sources.store import numbered
+from plumbline.operators.candidates import MAX_PAIRS, candidate_pairs, cosine, hamming, recall_score
+from plumbline.sources.store import numbered, stored
 
-FEATURES = "panel_id string, image_id string, source_path string, page int, bbox array<int>, width int, height int, gray binary, dhash bigint, phash bigint, edge_hist array<float>"
-#: Up to so many panels all pairs are candidates; then only those that one of these limits lets through.
-EXHAUSTIVE = 80
-NEAR_BITS, NEAR_EDGES, UNLIKE_AREA = 18, 0.55, 0.65
-MAX_PAIRS = 5000
+FEATURES = "panel_id string, image_id string, source_path string, page int, bbox array<int>, width int, height int, gray binary, dhash bigint, phash bigint, edge_hist array<float>, figure_id string, panel_path string"
 BENIGN = {
     "whole_panel_reuse": ["shared control panel", "same source shown twice by design"],
     "cropped_reuse": ["declared inset", "zoomed region of the same image"],
@@ -52,7 +50,7 @@ def register_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _registered(spark.read.format("image").option("dropInvalid", "true").load(paths))
 
 
-def _segmented(split: bool, most: int):
+def _segmented(split: bool, most: int, folder: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -68,25 +66,16 @@ def _segmented(split: bool, most: int):
                         continue
                     number += 1
                     page = None if pd.isna(r.page) else int(r.page)
-                    rows.append((f"{r.image_id}-{number:03d}", r.image_id, r.source_path, page, [x0, y0, x1, y1], x1 - x0, y1 - y0, crop.tobytes(), P.dhash(crop), P.phash(crop), P.edge_histogram(crop).tolist()))
+                    rows.append((f"{r.image_id}-{number:03d}", r.image_id, r.source_path, page, [x0, y0, x1, y1], x1 - x0, y1 - y0, crop.tobytes(), P.dhash(crop), P.phash(crop), P.edge_histogram(crop).tolist(), "", f"{folder}/{r.image_id}-{number:03d}.png" if folder else None))
             out = pd.DataFrame(rows, columns=[f.strip().split()[0] for f in FEATURES.split(", ")])
             yield out.astype({"page": "Int32"})
 
     return run
 
 
-def panels(images: DataFrame, split_pages: bool = False, most: int = 80) -> DataFrame:
-    """Panels of images with their gray pixels and features."""
-    return images.mapInPandas(_segmented(split_pages, most), FEATURES)
-
-
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-9))
+def panels(images: DataFrame, split_pages: bool = False, most: int = 80, folder: str | None = None) -> DataFrame:
+    """Panels of images with their gray pixels and features; panel_path is where in the folder their pixels go as a file."""
+    return images.mapInPandas(_segmented(split_pages, most, folder), FEATURES)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -95,31 +84,27 @@ def correlation(a: Column, b: Column) -> Column:
     return cosine(centred(a), centred(b))
 
 
-def candidate_pairs(found: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """Pairs of panels worth scoring, best first.
-
-    Beyond ``EXHAUSTIVE`` panels a pair has to be near in one of four ways. The pair test is the operator's own definition (an
-    "or" of distances, one of which nearly any pair can meet), so it is a blocked nested loop over features of a few hundred bytes, never over pixels.
-    """
-    few = found.select("panel_id").limit(EXHAUSTIVE + 1).count() <= EXHAUSTIVE
-    side = lambda s: found.select(*[F.col(c).alias(f"{c}_{s}") for c in ("panel_id", "source_path", "bbox", "width", "height", "dhash", "phash", "edge_hist")])
-    pairs = side("a").join(side("b"), F.col("panel_id_a") < F.col("panel_id_b"))
-    area = lambda s: F.col(f"width_{s}").cast("double") * F.col(f"height_{s}")
-    pairs = pairs.select(
-        "panel_id_a", "panel_id_b",
-        hamming(F.col("phash_a"), F.col("phash_b")).alias("phash_distance"), hamming(F.col("dhash_a"), F.col("dhash_b")).alias("dhash_distance"),
-        cosine(F.col("edge_hist_a"), F.col("edge_hist_b")).alias("edge_hist_corr"), (F.least(area("a"), area("b")) / F.greatest(area("a"), area("b"))).alias("area_ratio"),
-    )
-    if not few:
-        pairs = pairs.where((F.col("phash_distance") <= NEAR_BITS) | (F.col("dhash_distance") <= NEAR_BITS) | (F.col("edge_hist_corr") >= NEAR_EDGES) | (F.col("area_ratio") < UNLIKE_AREA))
-    return pairs.withColumn("recall_score", recall_score()).orderBy(F.desc("recall_score"), "panel_id_a", "panel_id_b").limit(max_pairs)
+PAIR = (
+    "panel_id_a string, panel_id_b string, ncc double, ssim double, orientation string, template_ncc double, template_direction string, template_bbox array<int>, overlap_ratio double, "
+    "keypoint_matches int, ransac_inliers int, inlier_ratio double, feature_transform string, matrix array<array<double>>, rotation_degrees double, scale_x double, scale_y double"
+)
+DETECTOR = "corners"
+
+
+def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [K.described(np.frombuffer(g, dtype=np.uint8).reshape(h, w)) for g, h, w in zip(batch["gray"], batch["height"], batch["width"], strict=True)]
+        yield pd.DataFrame({"panel_id": batch["panel_id"], **{name: [x[i].tobytes() for x in found] for i, name in enumerate(("places", "bits", "mirrored"))}})
 
 
-def recall_score() -> Column:
-    return (64 - F.col("phash_distance")) + 0.75 * (64 - F.col("dhash_distance")) + 40 * F.col("edge_hist_corr") + 12 * F.col("area_ratio")
+def described(found: DataFrame) -> DataFrame:
+    """(panel_id, places, bits, mirrored): corners of panels, some 70 KB each at most."""
+    return found.select("panel_id", "gray", "height", "width").mapInPandas(_described, "panel_id string, places binary, bits binary, mirrored binary")
 
 
-PAIR = "panel_id_a string, panel_id_b string, ncc double, ssim double, orientation string, template_ncc double, template_direction string, template_bbox array<int>, overlap_ratio double"
+def _corners(r, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bits = lambda name: np.frombuffer(getattr(r, f"{name}_{side}"), dtype=np.uint8).reshape(-1, K.BITS // 8)
+    return np.frombuffer(getattr(r, f"places_{side}"), dtype=np.float32).reshape(-1, 2), bits("bits"), bits("mirrored")
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +114,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = (np.frombuffer(g, dtype=np.uint8).reshape(h, w) for g, h, w in ((r.gray_a, r.height_a, r.width_a), (r.gray_b, r.height_b, r.width_b)))
             ncc, ssim, orientation = P.whole(a, b)
             found = P.template(a, b)
-            rows.append((r.panel_id_a, r.panel_id_b, ncc, ssim, orientation, found["ncc"], found["direction"], found["bbox"], min(a.size, b.size) / max(a.size, b.size)))
+            rows.append((r.panel_id_a, r.panel_id_b, ncc, ssim, orientation, found["ncc"], found["direction"], found["bbox"], min(a.size, b.size) / max(a.size, b.size), *K.matched(_corners(r, "a"), _corners(r, "b")).values()))
         yield pd.DataFrame(rows, columns=[f.strip().split()[0] for f in PAIR.split(", ")])
 
 
@@ -148,12 +133,31 @@ def pair_verdict(df: DataFrame) -> DataFrame:
     return df.withColumn("match_type", kind).withColumn("transform", transform).withColumn("score", F.round(F.least(score, F.lit(100.0)), 2))
 
 
+#: What a finding says of each of its panels.
+TOLD = {"source_path": "source", "page": "page", "figure_id": "figure_id", "panel_path": "panel_path"}
+
+
+def _with_sources(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings with the source, page, figure and file of both panels."""
+    for side in ("a", "b"):
+        told = found.select(F.col("panel_id").alias(f"panel_id_{side}"), *[F.col(c).alias(f"{name}_{side}") for c, name in TOLD.items()])
+        scored = scored.join(told, f"panel_id_{side}")
+    return scored
+
+
 def score_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    side = lambda s: found.select(*[F.col(c).alias(f"{c}_{s}") for c in ("panel_id", "gray", "width", "height")])
-    both = pairs.select("panel_id_a", "panel_id_b").join(side("a"), "panel_id_a").join(side("b"), "panel_id_b")
-    compared = both.mapInPandas(_compared, PAIR)
-    compared = compared.withColumns({"detector": F.lit("none"), "keypoint_matches": F.lit(0), "ransac_inliers": F.lit(0), "inlier_ratio": F.lit(0.0), "feature_transform": F.lit("none")})
-    return pair_verdict(compared)
+    """Pairs of panels with all metrics, the kind of match and its score. Corners are made once a panel, of those in some pair."""
+    pairs = stored(pairs.select("panel_id_a", "panel_id_b"), "pairs")
+    asked = pairs.select(F.explode(F.array("panel_id_a", "panel_id_b")).alias("panel_id")).distinct()
+    corners = stored(described(found.join(asked, "panel_id")), "corners")
+    every = found.select("panel_id", "gray", "width", "height").join(corners, "panel_id")
+    side = lambda s: every.select(*[F.col(c).alias(f"{c}_{s}") for c in every.columns])
+    both = pairs.join(side("a"), "panel_id_a").join(side("b"), "panel_id_b")
+    compared = pair_verdict(both.mapInPandas(_compared, PAIR)).withColumn("detector", F.lit(DETECTOR))
+    feature = F.struct("detector", "keypoint_matches", "ransac_inliers", "inlier_ratio", F.col("feature_transform").alias("transform"), "matrix", "rotation_degrees", "scale_x", "scale_y")
+    template = F.struct("template_ncc", "template_direction", "template_bbox")
+    details = F.to_json(F.struct(feature.alias("feature"), template.alias("template"), F.col("orientation").alias("whole_orientation")))
+    return _with_sources(compared.withColumn("details", details), found)
 
 
 CLONE = "panel_id string, similarity double, box_a array<int>, box_b array<int>"
@@ -172,7 +176,8 @@ def _cloned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def local_clones(found: DataFrame) -> DataFrame:
     """Panels with two much alike patches, as pairs of the panel with itself."""
     clones = found.select("panel_id", "gray", "width", "height").mapInPandas(_cloned, CLONE)
-    return clones.select(F.col("panel_id").alias("panel_id_a"), F.col("panel_id").alias("panel_id_b"), F.lit("local_clone").alias("match_type"), F.round(70 + 25 * F.col("similarity"), 2).alias("score"), "similarity", "box_a", "box_b")
+    pairs = clones.select(F.col("panel_id").alias("panel_id_a"), F.col("panel_id").alias("panel_id_b"), F.lit("local_clone").alias("match_type"), F.round(70 + 25 * F.col("similarity"), 2).alias("score"), "similarity", "box_a", "box_b")
+    return _with_sources(pairs, found)
 
 
 def risk_tier() -> Column:
@@ -203,6 +208,6 @@ def normalize_images(findings: DataFrame, min_risk: str = "Low") -> DataFrame:
 
 def image_findings(images: DataFrame, max_pairs: int = MAX_PAIRS, min_score: float = 60.0, with_clones: bool = False, split_pages: bool = False) -> DataFrame:
     """From images to findings of at least min_score."""
-    found = panels(images, split_pages).persist()
+    found = stored(panels(images, split_pages), "panels")
     scored = score_pairs(found, candidate_pairs(found, max_pairs)).where(F.col("score") >= min_score)
     return scored.unionByName(local_clones(found), allowMissingColumns=True) if with_clones else scored

@@ -150,6 +150,10 @@ scored AS (SELECT doc_id, row_i, CASE WHEN len(c) = 0 THEN -10 ELSE (len(c) - {_
 _FIGURES = """WITH t AS (SELECT p_partkey, 'parts.xlsx Source Data ' || CASE WHEN p_partkey % 3 = 0 THEN 'ED ' ELSE '' END || 'Fig. ' || p_size || chr(CAST(97 + p_partkey % 5 AS INTEGER)) || CASE WHEN p_partkey % 2 = 0 THEN ' and b' ELSE '' END nm FROM part)"""
 _FIGURE = "CASE WHEN p_partkey % 3 = 0 THEN 'ED Fig.' ELSE 'Fig.' END || regexp_extract(nm, 'Fig\\.\\s*(\\d+)', 1)"
 
+#: Vectors with their sign bits s, and the same with up to seven bits in a row turned, u.
+_SIGNED = """b AS (SELECT vec_id, embedding, [(x > 0)::INT FOR x IN embedding[1:64]] s,
+  [((y[1] > 0) <> (64 - y[2] >= vec_id % 50 AND 64 - y[2] < vec_id % 50 + vec_id % 8))::INT FOR y IN list_zip(embedding[1:64], range(1, 65))] u FROM embeddings)"""
+
 ORACLE_SQL: dict[str, str] = {
     "last_digit": _STAR + _LAST + _shown("a1", ", top_digit"),
     "decimal_tail": _STAR + _TAIL + _shown("a2", ", top_tail, CAST(tidy AS BIGINT) tidy"),
@@ -188,8 +192,14 @@ SELECT 'source_data_coverage' kind, 'Low' priority, 40e0 context_score, f figure
     "column_leads": _STAR + _CLASSES + """, k AS (SELECT ti, count(*) k FROM classes WHERE applicability = 'applicable' AND numeric_n >= 5 GROUP BY ti)
 SELECT 'mapped_experimental_source_data' kind, CASE WHEN 55 + least(20, 2*k) >= 80 THEN 'High' ELSE 'Medium' END priority, CAST(55 + least(20, 2*k) AS DOUBLE) context_score, 'Fig.' || ti figure_id FROM k""",
     "label_leads": "SELECT 'repeated_label_or_header_rows' kind, 'Low' priority, 35e0 context_score WHERE EXISTS (SELECT 1 FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 1)",
-    "phash_pairs": """WITH b AS (SELECT vec_id, [(x > 0)::INT FOR x IN embedding[1:64]] s FROM embeddings),
-p AS (SELECT a.vec_id vec_a, b.vec_id vec_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(a.s, b.s)]) AS BIGINT) distance FROM b a JOIN b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 15""",
+    "phash_pairs": f"""WITH {_SIGNED}, a AS (SELECT s, min(vec_id) vec_a, count(*) copies_a FROM b GROUP BY s), c AS (SELECT u, min(vec_id) vec_b, count(*) copies_b FROM b GROUP BY u),
+p AS (SELECT vec_a, vec_b, copies_a, copies_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(s, u)]) AS BIGINT) distance FROM a CROSS JOIN c) SELECT * FROM p WHERE distance <= 7""",
+    "panel_candidates": f"""WITH {_SIGNED}, q AS (SELECT 'v' || lpad(vec_id::VARCHAR, 12, '0') id, s ph, [(abs(x) > 0.1)::INT FOR x IN embedding[1:64]] dh, [abs(x)::DOUBLE FOR x IN embedding] e, 100 + vec_id % 7 w FROM b
+  UNION ALL SELECT 'w' || lpad(vec_id::VARCHAR, 12, '0'), u, [(abs(x) > 0.1)::INT FOR x IN embedding[1:64]], [abs(x)::DOUBLE FOR x IN embedding], 100 + vec_id % 7 FROM b),
+p AS (SELECT l.id panel_id_a, r.id panel_id_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(l.ph, r.ph)]) AS BIGINT) phash_distance, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(l.dh, r.dh)]) AS BIGINT) dhash_distance,
+  list_cosine_similarity(l.e, r.e) edge, least(l.w, r.w)*80e0/(greatest(l.w, r.w)*80e0) area FROM q l JOIN q r ON l.id < r.id),
+f AS (SELECT *, (64 - phash_distance) + 0.75e0*(64 - dhash_distance) + 40*edge + 12*area score FROM p WHERE phash_distance <= 18 OR dhash_distance <= 18 OR edge >= 0.55 OR area < 0.65)
+SELECT panel_id_a, panel_id_b, phash_distance, dhash_distance, round(edge, 5) edge_hist_corr, round(area, 5) area_ratio, round(score, 4) recall_score FROM f ORDER BY round(score, 9) DESC, panel_id_a, panel_id_b LIMIT 300""",
     "cosine_to_label": """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE e, generate_subscripts(embedding, 1) i FROM embeddings), m AS (SELECT label, i, avg(e) m FROM x GROUP BY 1, 2), j AS (SELECT * FROM x JOIN m USING (label, i)),
 c AS (SELECT *, e - avg(e) OVER (PARTITION BY vec_id) ce, m - avg(m) OVER (PARTITION BY vec_id) cm FROM j)
 SELECT vec_id, round(sum(e*m)/greatest(sqrt(sum(e*e))*sqrt(sum(m*m)), 1e-9), 5) cosine, round(sum(ce*cm)/greatest(sqrt(sum(ce*ce))*sqrt(sum(cm*cm)), 1e-9), 5) ncc FROM c GROUP BY vec_id""",

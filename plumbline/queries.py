@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import tokens as T
 from plumbline.operators import audits, classify, context, dispose, evaluate, headers, images
+from plumbline.operators.candidates import band_keys
 from plumbline.oracles import ORACLE_SQL
 from plumbline.plans.star import LINEITEM_ORDER, star_cells
 from plumbline.sources.melt import Melt, melt, spread
@@ -203,28 +204,45 @@ def label_leads(spark, sf_dir):
     return context.label_leads(rows, none).select("kind", "priority", "context_score")
 
 
-def phash_pairs(spark, sf_dir, radius: int = 15):
-    """Pairs of vectors whose sign bits differ in at most ``radius`` places, below twice the number of bands.
-
-    Of eight bands of eight bits one differs in at most one bit (pigeonhole): one side posts its bands as they are, the other with each bit turned
-    as well, so pairs meet by equality, and no pair test is a cross join.
-    """
+def _signed(spark, sf_dir):
+    """(vec_id, embedding, h, turned): sign bits of vectors as a hash, and the hash with up to seven bits in a row turned."""
     e = table(spark, sf_dir, "embeddings")
     bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * 8).bitwiseAND(255).alias("part")) for b in range(8)]))
-    banded = e.select("vec_id", bits.alias("h")).select("vec_id", "h", bands.alias("k")).select("vec_id", "h", "k.*")
-    turned = F.explode(F.array(F.col("part"), *[F.col("part").bitwiseXOR(1 << i) for i in range(8)]))
-    other = banded.select(F.col("vec_id").alias("vec_b"), F.col("h").alias("h_b"), "band", turned.alias("part"))
-    distance = images.hamming(F.col("h"), F.col("h_b")).cast("bigint")
-    near = banded.join(other, ["band", "part"]).where((F.col("vec_id") < F.col("vec_b")) & (distance <= radius))
-    return near.select(F.col("vec_id").alias("vec_a"), "vec_b", distance.alias("distance")).distinct()
+    mask = F.expr("shiftleft(shiftleft(1L, cast(vec_id % 8 as int)) - 1L, cast(vec_id % 50 as int))")
+    return e.select("vec_id", "embedding", bits.alias("h"), bits.bitwiseXOR(mask).alias("turned"))
+
+
+def phash_pairs(spark, sf_dir, radius: int = 7):
+    """Hashes and turned hashes that differ in at most ``radius`` bits: pairs of classes of equal ones, by smallest id, with their sizes.
+
+    Of radius + 2 bands two are equal (pigeonhole), so pairs meet by equality on keys of 14 bits and more: a pair of random hashes meets with a
+    chance of 36 / 2**14. That stays below the square for radii up to about seven; beyond it, bits at random meet nearly all. A hash that many vectors have is one row.
+    """
+    e = _signed(spark, sf_dir)
+    side = lambda c, s: e.groupBy(F.col(c).alias(f"h_{s}")).agg(F.min("vec_id").alias(f"vec_{s}"), F.count("*").alias(f"copies_{s}"))
+    keyed = lambda c, s: side(c, s).withColumn("key", F.explode(band_keys([F.col(f"h_{s}")], radius, 2)))
+    distance = images.hamming(F.col("h_a"), F.col("h_b")).cast("bigint")
+    near = keyed("h", "a").join(keyed("turned", "b"), "key").where(distance <= radius)
+    return near.select("vec_a", "vec_b", "copies_a", "copies_b", distance.alias("distance")).distinct()
+
+
+def panel_candidates(spark, sf_dir):
+    """The best 300 pairs of panels by their features: hashes and edges of vectors, and of near copies of them."""
+    e = _signed(spark, sf_dir)
+    dhash = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((F.abs(x) > 0.1).cast("bigint")))
+    side = lambda mark, phash: e.select(
+        F.concat(F.lit(mark), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("panel_id"), F.col(phash).alias("phash"), dhash.alias("dhash"),
+        F.transform("embedding", lambda x: F.abs(x)).alias("edge_hist"), (100 + F.col("vec_id") % 7).cast("int").alias("width"), F.lit(80).alias("height"),
+    )
+    found = images.candidate_pairs(side("v", "h").unionByName(side("w", "turned")), 300)
+    return found.select("panel_id_a", "panel_id_b", F.col("phash_distance").cast("bigint"), F.col("dhash_distance").cast("bigint"), F.round("edge_hist_corr", 5).alias("edge_hist_corr"), F.round("area_ratio", 5).alias("area_ratio"), F.round("recall_score", 4).alias("recall_score"))
 
 
 def cosine_to_label(spark, sf_dir):
     """Each vector's cosine and correlation with its label's mean vector."""
     e = table(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    both = e.join(F.broadcast(means), "label")  # a row per label, 64 numbers each
+    both = e.join(means, "label")
     return both.select("vec_id", F.round(images.cosine(F.col("embedding"), F.col("mean")), 5).alias("cosine"), F.round(images.correlation(F.col("embedding"), F.col("mean")), 5).alias("ncc"))
 
 
@@ -270,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         last_digit, decimal_tail, duplicate_values, arithmetic_sequence, benford, duplicate_rows, clone_vector, formula_check, summary_math, classify_columns, normalize, rank, assessment_summary,
         header_detect, column_names, article_title, page_title, source_links, figure_map, captions, notices, sections, coverage_leads, column_leads, label_leads,
-        phash_pairs, cosine_to_label, risk_tiers, fixture_screen, score_oracle, score_labels,
+        phash_pairs, panel_candidates, cosine_to_label, risk_tiers, fixture_screen, score_oracle, score_labels,
     )
 }
 
