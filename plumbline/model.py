@@ -13,6 +13,11 @@ FINDINGS = (
     "anomaly_family string, severity string, score double, n bigint, summary string, details string"
 )
 TABLE_KEY = ["table_index", "source_path", "source_kind", "source_confidence", "table_name"]
+#: A finding's examples; fields that its method doesn't give are null.
+EXAMPLES = (
+    "array<struct<row_index bigint, cell string, column string, value string, values array<string>, expected_from_formula double, formula string, expected_sem double, sd double, n double, "
+    "nearby_labels map<string,string>>>"
+)
 COLUMN_KEY = [*TABLE_KEY, "col_i", "column"]
 
 # Names that findings and reports use.

@@ -116,14 +116,15 @@ found AS (
   UNION ALL SELECT ti, col_i, table_name, column_name, 'arithmetic_or_over_smooth_sequence', n, score0, cv, common/greatest(n-1, 1), 0, '', false FROM a4
   UNION ALL SELECT ti, col_i, table_name, column_name, 'benford_first_digit', n, score0, 0, 0, 0, '', false FROM a5),
 fam AS (SELECT *, count(*) OVER (PARTITION BY ti, col_i) families FROM found),
-judged AS (SELECT fam.*, round(score0, 3) score, column_type, applicability, n_methods, """
-    + f"""CASE WHEN applicability = 'not_applicable' THEN {_NA} WHEN column_type = 'summary_statistic' THEN {_NA} WHEN plainzero THEN {_NA}
-  WHEN "method" = 'duplicate_values' AND applicability = 'applicable' THEN {_WEAK}
-  WHEN applicability = 'applicable' AND "method" = 'last_digit_distribution' AND n >= 50 AND w <> '0' AND (x >= 0.45 OR (y < 1e-8 AND x >= 0.35 AND z >= 3)) THEN {_HIGH}
-  WHEN applicability = 'applicable' AND "method" = 'decimal_tail_regularity' AND n >= 50 AND w <> '00' AND (x >= 0.45 OR y >= 0.65) THEN {_HIGH}
-  WHEN applicability = 'applicable' AND "method" = 'arithmetic_or_over_smooth_sequence' AND n >= 20 AND (x < 0.02 OR y >= 0.75) THEN {_HIGH}
-  WHEN families >= 2 AND n >= 20 AND score0 >= 80 AND applicability = 'applicable' AND "method" IN ('arithmetic_or_over_smooth_sequence', 'benford_first_digit') THEN {_HIGH}
-  ELSE {_WEAK} END disposition FROM fam JOIN classes USING (ti, col_i))"""
+judged AS (SELECT r.*, CASE WHEN disposition_rule IN ('excluded_type', 'summary_field', 'whole_number_tails') THEN """
+    + f"{_NA} WHEN disposition_rule IN ('duplicates_alone', 'single_method') THEN {_WEAK} ELSE {_HIGH} END disposition FROM (SELECT fam.*, round(score0, 3) score, column_type, applicability, n_methods, "
+    + """CASE WHEN applicability = 'not_applicable' THEN 'excluded_type' WHEN column_type = 'summary_statistic' THEN 'summary_field' WHEN plainzero THEN 'whole_number_tails'
+  WHEN "method" = 'duplicate_values' AND applicability = 'applicable' THEN 'duplicates_alone'
+  WHEN applicability = 'applicable' AND "method" = 'last_digit_distribution' AND n >= 50 AND w <> '0' AND (x >= 0.45 OR (y < 1e-8 AND x >= 0.35 AND z >= 3)) THEN 'heaped_digit'
+  WHEN applicability = 'applicable' AND "method" = 'decimal_tail_regularity' AND n >= 50 AND w <> '00' AND (x >= 0.45 OR y >= 0.65) THEN 'heaped_tail'
+  WHEN applicability = 'applicable' AND "method" = 'arithmetic_or_over_smooth_sequence' AND n >= 20 AND (x < 0.02 OR y >= 0.75) THEN 'regular_steps'
+  WHEN families >= 2 AND n >= 20 AND score0 >= 80 AND applicability = 'applicable' AND "method" IN ('arithmetic_or_over_smooth_sequence', 'benford_first_digit') THEN 'several_methods'
+  ELSE 'single_method' END disposition_rule FROM fam JOIN classes USING (ti, col_i)) r)"""
 )
 _ERRORS = "CASE \"method\" WHEN 'last_digit_distribution' THEN 'terminal_digit_heaping' WHEN 'decimal_tail_regularity' THEN 'decimal_tail_heaping' WHEN 'duplicate_values' THEN 'duplicate_value_cluster' WHEN 'arithmetic_or_over_smooth_sequence' THEN 'arithmetic_smoothness' ELSE 'benford_misfit' END"
 _ELIGIBLE = "(column_type = 'experimental_measurement' OR (column_type = 'numeric_unknown' AND \"method\" IN ('duplicate_values', 'decimal_tail_regularity')))"
@@ -168,7 +169,7 @@ SELECT 'orders' table_name, '__rows__' column_name, CAST(n AS BIGINT) n, round(s
     "formula_check": _BOXES + ", m AS (SELECT count(*) n, sum((abs(v - l*w*w/2) > greatest(0.02e0, abs(l*w*w/2)*0.02e0))::INT) k FROM boxes), q AS (SELECT *, least(100e0, 50e0 + 5e0*k) score0 FROM m WHERE k >= 2) SELECT 'lineitem' table_name, 'volume_mm3' column_name, CAST(n AS BIGINT) n, round(score0, 3) score, " + _severity() + " severity, CAST(k AS BIGINT) mismatches FROM q",
     "summary_math": _SUPPLIERS + ", m AS (SELECT count(*) n, sum((k > 1 AND abs(sem - sd/sqrt(k)) > greatest(0.001e0, abs(sd/sqrt(k))*0.03e0))::INT) j FROM r) SELECT 'suppliers' table_name, 'sem' column_name, CAST(n AS BIGINT) n, least(100e0, 70e0 + 5e0*j) score, 'High' severity, CAST(j AS BIGINT) mismatches FROM m WHERE j >= 1",
     "classify_columns": _STAR + _CLASSES + " SELECT table_name, column_name, CAST(numeric_n AS BIGINT) numeric_n, CAST(unique_n AS BIGINT) unique_n, column_type, applicability, applicability = 'applicable' homepage_eligible, CAST(n_methods AS BIGINT) n_methods FROM classes",
-    "normalize": _FOUND + f' SELECT table_name, column_name, "method", {_ERRORS} error_type, column_type, applicability, disposition, score, CAST(n AS BIGINT) n FROM judged',
+    "normalize": _FOUND + f' SELECT table_name, column_name, "method", {_ERRORS} error_type, column_type, applicability, disposition, disposition_rule, true has_reason, score, CAST(n AS BIGINT) n FROM judged',
     "rank": _FOUND + f""" SELECT table_name, column_name, "method", {_severity()} severity, round(score + CASE {_severity()} WHEN 'High' THEN 30 WHEN 'Medium' THEN 10 ELSE 0 END + 12
   + CASE column_type WHEN 'experimental_measurement' THEN 25 WHEN 'numeric_unknown' THEN -5 WHEN 'genomic_or_identifier' THEN -80 WHEN 'derived_stat_or_annotation' THEN -60 WHEN 'design_or_sample_axis' THEN -70 WHEN 'large_structured_table' THEN -55 WHEN 'too_few_numeric_values' THEN -40 ELSE 0 END
   - CASE WHEN {_ELIGIBLE} THEN 0 ELSE 30 END, 3) rank_score FROM judged""",

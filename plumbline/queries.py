@@ -101,7 +101,7 @@ def _screened(spark, sf_dir):
 def normalize(spark, sf_dir):
     with temporary(spark):
         out = dispose.normalize(*_screened(spark, sf_dir))
-        return kept(out.select("table_name", F.col("column").alias("column_name"), "method", "error_type", "column_type", "applicability", "disposition", "score", "n"), "normalized")
+        return kept(out.select("table_name", F.col("column").alias("column_name"), "method", "error_type", "column_type", "applicability", "disposition", "disposition_rule", (F.length("disposition_reason") > 0).alias("has_reason"), "score", "n"), "normalized")
 
 
 def rank(spark, sf_dir):

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import HIGH, NOT_APPLICABLE, WEAK
 from plumbline.operators import audits, classify, dispose, evaluate
+from plumbline.sources.store import temporary
 
 SCHEMA = "table_index int, source_path string, source_kind string, source_confidence string, table_name string, row_i bigint, row_no bigint, col_i int, column string, column_context string, cell string, raw string"
 
@@ -143,3 +145,21 @@ def test_order_of_rows_and_partitions_does_not_matter(spark, fixture):
     table = evaluate.fixture_cells(spark).orderBy(F.rand(3)).repartition(7)
     got = {(r.column, r.method, r.score, r.details) for r in audits.audit(table).collect()}
     assert got == {(r.column, r.method, r.score, r.details) for r in fixture[0].collect()}
+
+
+def test_reasons_and_examples(spark):
+    """Each finding of the fixture says which rule judged it, why, and shows its examples beside its details."""
+    with temporary(spark):
+        cells = evaluate.fixture_cells(spark)
+        rows = {(r.column, r.method): r for r in dispose.normalize(audits.audit(cells), classify.classify_columns(cells)).collect()}
+    assert all(r.disposition_reason and r.disposition_rule for r in rows.values())
+    rule = {k: r.disposition_rule for k, r in rows.items()}
+    assert rule["foci_last_digit_heap", "last_digit_distribution"] == "heaped_digit" and rule["sem", "summary_math_inconsistency"] == "summary_mismatch"
+    assert rule["volume_mm3", "formula_mismatch"] == "exact_mismatch" and rule["smooth_measurement", "arithmetic_or_over_smooth_sequence"] == "regular_steps"
+    assert rule["foci_last_digit_heap", "duplicate_values"] == "duplicates_alone" and rule["n", "decimal_tail_regularity"] == "summary_field" and rule["start", "decimal_tail_regularity"] == "excluded_type"
+    assert rows["start", "decimal_tail_regularity"].disposition_reason == rows["start", "decimal_tail_regularity"].eligibility_reason
+    wrong = rows["volume_mm3", "formula_mismatch"].evidence_examples
+    assert [e.row_index for e in wrong] == [11, 21, 31] and all(e.expected_from_formula is not None for e in wrong)
+    for r in rows.values():
+        said = json.loads(r.details).get("evidence_examples", [])
+        assert [e["value"] for e in said if "value" in e] == [e.value for e in r.evidence_examples if e.value is not None] and len(said) == len(r.evidence_examples)
