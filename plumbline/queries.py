@@ -15,8 +15,9 @@ from plumbline.operators import audits, classify, context, dispose, evaluate, he
 from plumbline.operators.candidates import band_keys
 from plumbline.oracles import ORACLE_SQL
 from plumbline.plans.star import LINEITEM_ORDER, star_cells
+from plumbline.sources.delimited import read_delimited
 from plumbline.sources.melt import Melt, melt, spread
-from plumbline.sources.store import kept, stored, temporary
+from plumbline.sources.store import kept, stored, temporary, work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +135,15 @@ def column_names(spark, sf_dir):
     return named.select(F.col("table_index").alias("doc_id"), F.col("col_i").cast("bigint").alias("col_i"), F.col("column").alias("column_name"))
 
 
+def csv_extract(spark, sf_dir):
+    """Documents written as one comma-separated table, texts quoted with their line feeds, and extracted from it again."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    path = work_path(spark, "csv")
+    table(spark, sf_dir, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted("text"), quoted("lang"), F.col("n_chars").cast("string")).alias("value")).write.text(path)
+    rows, _ = read_delimited(spark, path, "part-*")
+    return rows.select(F.col("cells")[0].cast("bigint").alias("doc_id"), F.md5(F.col("cells")[1].cast("binary")).alias("text_md5"), F.col("cells")[2].alias("lang"), F.col("cells")[3].cast("bigint").alias("n_chars"), F.size("cells").cast("bigint").alias("n_cells"))
+
+
 def article_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", context.title(F.coalesce("text", F.lit(""))).alias("title"))
 
@@ -287,7 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         last_digit, decimal_tail, duplicate_values, arithmetic_sequence, benford, duplicate_rows, clone_vector, formula_check, summary_math, classify_columns, normalize, rank, assessment_summary,
-        header_detect, column_names, article_title, page_title, source_links, figure_map, captions, notices, sections, coverage_leads, column_leads, label_leads,
+        header_detect, column_names, csv_extract, article_title, page_title, source_links, figure_map, captions, notices, sections, coverage_leads, column_leads, label_leads,
         phash_pairs, panel_candidates, cosine_to_label, risk_tiers, fixture_screen, score_oracle, score_labels,
     )
 }

@@ -1,4 +1,4 @@
-"""Files to rows of text cells. A task reads whole files, one at a time, and gives a row per table row.
+"""Files to rows of text cells. Delimited files are read in splits (``delimited``). Of other formats a task reads whole files, one at a time, and gives a row per table row.
 
 Formats without a reader here (the old Excel format, MATLAB, PDF) give a status row, as does anything that
 can't be read: a file is never left out in silence.
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.delimited import read_delimited
 from plumbline.sources.store import numbered as ordered
 
 #: columns is null where the header has to be found among the rows.
@@ -39,7 +40,8 @@ def _listed(kind: str, confidence: str, name: str, number: int, rows: list[list]
         yield kind, confidence, name, number, i, [_text(x) for x in row], columns, None, None
 
 
-def read_delimited(name: str, data: bytes, kind: str = "table", confidence: str = "raw_table"):
+def read_points(name: str, data: bytes, kind: str, confidence: str):
+    """The points beside an image: a small file."""
     delimiter = "\t" if name.lower().endswith(".tsv") else ","
     yield from _listed(kind, confidence, name, 0, list(csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=delimiter)))
 
@@ -143,9 +145,7 @@ def read_file(path: str, data: bytes, kind: str):
     name = path.rsplit("/", 1)[-1]
     low = name.lower()
     if kind == "sidecar":
-        yield from read_delimited(name, data, "image", "estimated")
-    elif low.endswith((".csv", ".tsv")):
-        yield from read_delimited(name, data)
+        yield from read_points(name, data, "image", "estimated")
     elif low.endswith(".xlsx"):
         yield from read_xlsx(name, data)
     elif low.endswith(".xls"):
@@ -184,12 +184,22 @@ def extract_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
         .unionByName(beside.where("sidecar is not null").select(F.col("sidecar").alias("path"), F.col("path").alias("as_path"), F.lit("sidecar").alias("kind")))
     )
     none = beside.where("sidecar is null").select("path", F.col("path").alias("as_path"), F.lit(None).cast("binary").alias("content"), F.lit("image").alias("kind"))
-    # One listing per folder of files; contents are read where they are parsed, a file to a row.
-    roots = sorted({r["folder"] for r in files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()})
+    roots = [r["root"] for r in files.select(F.expr("substring(path, 1, length(path) - length(relative_path))").alias("root")).distinct().limit(2).collect()]
     if not roots:
         return spark.createDataFrame([], ROWS)
-    contents = spark.read.format("binaryFile").load(roots).select("path", "content")
-    return contents.join(asked, "path").select("path", "as_path", "content", "kind").unionByName(none).mapInPandas(_read, ROWS)
+    root = roots[0]
+    if len(roots) > 1:
+        raise ValueError(f"the files are of more than one inventory: below {roots[0]} and {roots[1]}")
+    # Contents are read where they are parsed, a file to a row.
+    split = F.lower("path").rlike(r"\.(csv|tsv)$") & (F.col("kind") == "file")
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    whole = contents.join(asked.where(~split), "path").select("path", "as_path", "content", "kind").unionByName(none).mapInPandas(_read, ROWS)
+    rows, bad = read_delimited(spark, root, only=asked.where(split))
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("table_name")
+    lit = F.lit
+    good = rows.select(F.col("path").alias("source_path"), lit("table").alias("source_kind"), lit("raw_table").alias("source_confidence"), name, lit(0).alias("table_ord"), "row_i", "cells", lit(None).cast("array<string>").alias("columns"), *[lit(None).cast("string").alias(c) for c in ("status", "message")])
+    wrong = bad.select(F.col("path").alias("source_path"), lit("table").alias("source_kind"), lit("not_extracted").alias("source_confidence"), name, lit(0).alias("table_ord"), lit(-1).cast("bigint").alias("row_i"), *[lit(None).cast("array<string>").alias(c) for c in ("cells", "columns")], lit("unreadable").alias("status"), "message")
+    return whole.unionByName(good).unionByName(wrong)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
