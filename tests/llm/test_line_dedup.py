@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from cases import documents, empty, texts
 
 from plumbline.llm.line_dedup import dedup_lines
@@ -71,14 +72,16 @@ def test_a_run_goes_to_its_end_though_its_first_window_is_older_and_ends_sooner(
     assert got == {0: [], 7: [1], 8: [1, 2], 9: [1]}
 
 
-def test_texts_of_few_different_lines(spark):
+@pytest.mark.parametrize("few", [0, 2, 4, 1000])
+def test_texts_of_few_different_lines(spark, few):
+    """Where no fingerprint is joined with all its positions, or all are, or some."""
     import random
 
-    for seed in range(3):
+    for seed in range(2):
         rng = random.Random(seed)
         stock = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(6)] + ["", " \t"]
         found = ["\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
-        got = {r.doc_id: set(r.deleted) for r in dedup_lines(documents(spark, found), 12).collect()}
+        got = {r.doc_id: set(r.deleted) for r in dedup_lines(documents(spark, found), 12, few=few).collect()}
         assert got == brute(list(enumerate(found)), 12), seed
 
 
@@ -94,3 +97,29 @@ def test_a_first_place_elsewhere_hides_no_copy(spark):
 def test_very_many_equal_lines(spark):
     got = dedup_lines(spark.createDataFrame([(1, "the same line\n" * 100_000), (2, "x")], "doc_id long, text string")).where("doc_id = 1").first()
     assert (got.n_lines, got.n_deleted, got.text) == (100_001, 99_999, "the same line\n")
+
+
+def test_long_shared_stretches_of_short_lines(spark):
+    """Longer than a match is extended at once, with lines of one word, in few copies and in many."""
+    import random
+
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(1000)}" if i % 3 else f"u{i} v{i}" for i in range(150)]
+    found = ["\n".join([f"start {i}", *long[i % 5 * 7 : 150 - i % 3 * 11], f"end {i}"]) for i in range(7)] + ["\n".join(long[40:90]), "\n".join(long[60:70])]
+    for few in (1, 4, 100):
+        got = {r.doc_id: set(r.deleted) for r in dedup_lines(documents(spark, found), 12, few=few).collect()}
+        assert got == brute(list(enumerate(found)), 12), few
+
+
+def test_fingerprints_are_few(spark, monkeypatch):
+    """Each is posted once. Windows of these documents are of one or two lines, so that well over a third of all lines are minima of some."""
+    from plumbline.llm import line_dedup as L
+
+    sizes = {}
+    keep = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: sizes.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(L, "discard", lambda *_: None)
+    L.repeated_runs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    units = sizes["units"].selectExpr("sum(size(units))").first()[0]
+    prints = sizes["windows"].where("i >= 0").select("d", "t", "i").distinct().count()
+    assert prints == sizes["windows"].where("i >= 0").select("d", "t", "h", "i").distinct().count() < 0.6 * units
