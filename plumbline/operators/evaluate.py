@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.model import HIGH, NOT_APPLICABLE
 from plumbline.operators.classify import EXCLUDED_TYPES
+from plumbline.sources.store import stored
 
 ORACLE = "id string, error_type string, source_contains string, table_name string, columns array<string>, expected_disposition string"
 
@@ -47,16 +50,70 @@ def fixture_oracle(spark: SparkSession, name: str = "neutral_source_data.csv") -
     return spark.createDataFrame([(f"planted-{i}", kind, name, name, columns, HIGH) for i, (kind, columns) in enumerate(planted.items(), 1)], ORACLE)
 
 
+#: Bytes of patterns that are shared with all tasks at once; more are looked for in several passes.
+SHARED_BYTES = 8 << 20
+
+
+def _occurring(shared, columns: tuple[str, ...]):
+    """(finding, place, pattern): which patterns occur in which text of a finding, by one walk through each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in shared.value:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            out = [(i, place, p) for place in columns for i, text in zip(batch["finding"], batch[place], strict=True) if text for p in {p for _, p in automaton.iter(text)}]
+            yield pd.DataFrame(out, columns=["finding", "place", "pattern"])
+
+    return run
+
+
+def occurrences(findings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(finding, place, pattern) of findings(finding, source, blob) for patterns(pattern): what ``contains`` would say of all pairs.
+
+    An automaton of all patterns (Aho and Corasick 1975) costs the texts and the hits, not the pairs. Patterns are weighed first; beyond
+    ``SHARED_BYTES`` they are dealt into parts of about that weight.
+    """
+    spark = findings.sparkSession
+    asked = stored(patterns.where("pattern <> ''").distinct(), "patterns")
+    weight = asked.agg(F.sum(F.octet_length("pattern") + 64)).first()[0] or 0
+    parts = -(-weight // SHARED_BYTES)
+    out = None
+    for part in range(parts):
+        mine = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part)
+        shared = spark.sparkContext.broadcast([r["pattern"] for r in mine.collect()])  # about SHARED_BYTES
+        found = findings.mapInPandas(_occurring(shared, ("source", "blob")), "finding bigint, place string, pattern string")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "finding bigint, place string, pattern string") if out is None else stored(out, "occurrences")
+
+
+def matches(normalized: DataFrame, oracle: DataFrame) -> DataFrame:
+    """(oracle_id, normalized_rank) of the findings that an oracle's items ask for; normalized_rank tells findings apart.
+
+    An item asks for an error type, and if it says so for a table, for a part of the source's path, and for one of some columns, to be named by the finding's column or details.
+    """
+    told = normalized.where(F.col("disposition") != NOT_APPLICABLE).select(F.col("normalized_rank").alias("finding"), F.col("source_path").alias("source"), F.concat_ws(" ", "column", "details").alias("blob"), "error_type", "table_name")
+    items = oracle.select(F.col("id").alias("item"), F.col("error_type"), F.coalesce("source_contains", F.lit("")).alias("part"), F.coalesce("table_name", F.lit("")).alias("of_table"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
+    columns = items.select("*", F.explode(F.array_distinct("columns")).alias("pattern"))
+    hits = occurrences(told.select("finding", "source", "blob"), items.select(F.col("part").alias("pattern")).unionByName(columns.select("pattern")))
+    named = hits.where("place = 'blob'").join(told.select("finding", "error_type", "table_name"), "finding").join(columns.where("pattern <> ''"), ["pattern", "error_type"])
+    # An item without columns, or with an empty name (which any text contains), asks no more of a finding than its type.
+    any_column = (F.size("columns") == 0) | F.array_contains("columns", "")
+    found = named.select("item", "finding", "table_name", "of_table", "part").unionByName(told.join(items.where(any_column), "error_type").select("item", "finding", "table_name", "of_table", "part"))
+    found = found.where("of_table = '' or of_table = table_name").distinct()
+    there = hits.where("place = 'source'").select("finding", F.col("pattern").alias("part"))
+    return found.where("part = ''").select("item", "finding").unionByName(found.join(there, ["finding", "part"], "left_semi").select("item", "finding")).select(F.col("item").alias("oracle_id"), F.col("finding").alias("normalized_rank"))
+
+
 def score_oracle(normalized: DataFrame, oracle: DataFrame) -> DataFrame:
-    """A row for every planted item: exact, near or miss, and its first hit. The oracle is a short list."""
-    items = F.broadcast(oracle.select(*[F.col(c).alias(f"o_{c}") for c in ("id", "error_type", "source_contains", "table_name", "columns", "expected_disposition")]))
-    blob = F.concat_ws(" ", "column", "details")
-    on = (
-        (F.col("o_error_type") == F.col("error_type")) & F.col("source_path").contains(F.col("o_source_contains")) & ((F.col("o_table_name") == "") | (F.col("o_table_name") == F.col("table_name")))
-        & ((F.size("o_columns") == 0) | F.exists("o_columns", lambda c: F.contains(F.col("_blob"), c))) & (F.col("disposition") != NOT_APPLICABLE)
-    )
-    hits = normalized.withColumn("_blob", blob).join(items, on).withColumn("exact", F.col("disposition") == F.col("o_expected_disposition"))
-    best = hits.groupBy("o_id").agg(F.max("exact").alias("exact"), F.min_by(F.struct("normalized_rank", "disposition", "summary"), F.struct(~F.col("exact"), "normalized_rank")).alias("first"))
+    """A row for every planted item: exact, near or miss, and its first hit."""
+    expected = oracle.select(F.col("id").alias("oracle_id"), "expected_disposition")
+    hits = matches(normalized, oracle).join(normalized.select("normalized_rank", "disposition", "summary"), "normalized_rank").join(expected, "oracle_id")
+    hits = hits.withColumn("exact", F.col("disposition") == F.col("expected_disposition"))
+    best = hits.groupBy(F.col("oracle_id").alias("o_id")).agg(F.max("exact").alias("exact"), F.min_by(F.struct("normalized_rank", "disposition", "summary"), F.struct(~F.col("exact"), "normalized_rank")).alias("first"))
     out = oracle.join(best, oracle.id == best.o_id, "left")
     status = F.when(F.col("exact"), "exact").when(F.col("o_id").isNotNull(), "near").otherwise("miss")
     return out.select(F.col("id").alias("oracle_id"), "error_type", "expected_disposition", status.alias("status"), F.col("first.normalized_rank").alias("first_hit_rank"), F.col("first.disposition").alias("first_hit_disposition"), F.col("first.summary").alias("first_hit_summary"))

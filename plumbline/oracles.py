@@ -193,6 +193,9 @@ SELECT 'source_data_coverage' kind, 'Low' priority, 40e0 context_score, f figure
     "column_leads": _STAR + _CLASSES + """, k AS (SELECT ti, count(*) k FROM classes WHERE applicability = 'applicable' AND numeric_n >= 5 GROUP BY ti)
 SELECT 'mapped_experimental_source_data' kind, CASE WHEN 55 + least(20, 2*k) >= 80 THEN 'High' ELSE 'Medium' END priority, CAST(55 + least(20, 2*k) AS DOUBLE) context_score, 'Fig.' || ti figure_id FROM k""",
     "label_leads": "SELECT 'repeated_label_or_header_rows' kind, 'Low' priority, 35e0 context_score WHERE EXISTS (SELECT 1 FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) > 1)",
+    "oracle_matches": """WITH f AS (SELECT doc_id, source, concat_ws(' ', lang, text) blob, 'kind' || (doc_id % 3) kind, 'table' || (doc_id % 2) tab FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) id, 'kind' || (item_id % 3) kind, CASE WHEN item_id % 4 = 0 THEN '' ELSE 'src' || (item_id % 10) END part, CASE WHEN item_id % 5 = 0 THEN 'table0' ELSE '' END tab, item_id % 7 = 0 every, split_part(text, ' ', 1) one, substr(text, 1, 30) two FROM benchmark)
+SELECT id oracle_id, doc_id normalized_rank FROM i JOIN f ON i.kind = f.kind AND (part = '' OR contains(source, part)) AND (i.tab = '' OR i.tab = f.tab) AND (every OR contains(blob, one) OR contains(blob, two))""",
     "csv_extract": "SELECT doc_id, md5(coalesce(text, '')) text_md5, coalesce(lang, '') lang, CAST(n_chars AS BIGINT) n_chars, CAST(4 AS BIGINT) n_cells FROM documents",
     "phash_pairs": f"""WITH {_SIGNED}, a AS (SELECT s, min(vec_id) vec_a, count(*) copies_a FROM b GROUP BY s), c AS (SELECT u, min(vec_id) vec_b, count(*) copies_b FROM b GROUP BY u),
 p AS (SELECT vec_a, vec_b, copies_a, copies_b, CAST(list_sum([(x[1] <> x[2])::INT FOR x IN list_zip(s, u)]) AS BIGINT) distance FROM a CROSS JOIN c) SELECT * FROM p WHERE distance <= 7""",

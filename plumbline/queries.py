@@ -284,6 +284,19 @@ def score_oracle(spark, sf_dir):
     return evaluate.recovery(evaluate.score_oracle(found, evaluate.fixture_oracle(spark)), found)
 
 
+def oracle_matches(spark, sf_dir):
+    """Items made of the benchmark's first words, asked of documents as findings: which of them each item is met by."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    kind = lambda c: F.concat(F.lit("kind"), (F.col(c) % 3).cast("string"))
+    findings = d.select(F.col("doc_id").alias("normalized_rank"), F.col("source").alias("source_path"), F.col("lang").alias("column"), F.col("text").alias("details"), kind("doc_id").alias("error_type"), F.concat(F.lit("table"), (F.col("doc_id") % 2).cast("string")).alias("table_name"), F.lit("weak_anomaly").alias("disposition"))
+    n = F.col("item_id")
+    items = b.select(
+        n.cast("string").alias("id"), kind("item_id").alias("error_type"), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("src"), (n % 10).cast("string"))).alias("source_contains"), F.when(n % 5 == 0, "table0").otherwise("").alias("table_name"),
+        F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring_index("text", " ", 1), F.substring("text", 1, 30))).alias("columns"),
+    )
+    return evaluate.matches(findings, items)
+
+
 def score_labels(spark, sf_dir):
     """Labels of a known case against leads that name figures."""
     leads = context.ranked_leads(
@@ -298,7 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         last_digit, decimal_tail, duplicate_values, arithmetic_sequence, benford, duplicate_rows, clone_vector, formula_check, summary_math, classify_columns, normalize, rank, assessment_summary,
         header_detect, column_names, csv_extract, article_title, page_title, source_links, figure_map, captions, notices, sections, coverage_leads, column_leads, label_leads,
-        phash_pairs, panel_candidates, cosine_to_label, risk_tiers, fixture_screen, score_oracle, score_labels,
+        phash_pairs, panel_candidates, cosine_to_label, risk_tiers, fixture_screen, score_oracle, oracle_matches, score_labels,
     )
 }
 
