@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns documents; its result is written as
-Parquet in the shared folder and read again as the next one's documents.
+Parquet in the shared folder and read again as the next one's documents; it goes, with all that a stage stored, when the next is written.
 
 Stages decide by row: a null id is an id like others, the smallest, and rows of one id may have
 different texts. Rows of one id and text are decided alike, and of them one goes beyond the n-gram Jaccard join
@@ -19,6 +19,7 @@ from plumbline.llm.importance_resampling import resampled
 from plumbline.llm.jaccard_join import jaccard_join
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.packing import pack
+from plumbline.sources.store import delete, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -83,9 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = work_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

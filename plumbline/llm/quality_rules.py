@@ -4,8 +4,9 @@ The statistics are column expressions. The list is learned by sequential coverin
 (as in RIPPER; Cohen 1995): a rule is a conjunction of thresholds on statistics, grown
 one condition at a time by FOIL's information gain on two thirds of the
 labelled rows, then pruned from its end on the other third; the rows it covers go,
-and the next rule is grown, until one is no longer accurate. A rule rejects; what no rule
-covers is kept. The list becomes one ordered ``CASE`` expression.
+and the next rule is grown, until one is no longer accurate. Of conditions on one side of one statistic the
+tightest is kept. A rule rejects; what no rule
+covers is kept. The list becomes one ordered ``CASE`` expression. It is learned on labelled rows that pass the base rules, which are all that it decides.
 
 It is fitted on at most ``rows`` labelled rows (the smallest hashes of the id), whose
 statistics, a few numbers each, come to the driver. The statistics and the verdict
@@ -98,6 +99,16 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def tightened(rule: Rule) -> Rule:
+    """The rule with one condition, the tightest, for each side of a statistic, in the order of the first ones."""
+    kept: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        before = kept.get((c.feature, c.over))
+        if before is None or (c.threshold > before.threshold) == c.over:
+            kept[c.feature, c.over] = c
+    return tuple(kept.values())
+
+
 def covers(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     out = np.ones(len(next(iter(x.values()))), dtype=bool)
     for c in rule:
@@ -151,7 +162,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
         hit = covers(rule, x) & left if rule else np.zeros(len(bad), dtype=bool)
         if hit.sum() < least or bad[hit].mean() < precision or worth(rule)[0] < 2 * precision - 1:
             break
-        rules.append(rule)
+        rules.append(tightened(rule))
         left &= ~hit
     return rules
 
@@ -168,13 +179,13 @@ def rule_number(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The statistics of every row, base_failed, kept, and the rule that rejects it."""
     stats = stored(statistics(docs, id_col, text_col), "statistics")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     marked = labels.select(F.col(id_col), F.col(label_col).alias("_label")).dropna().groupBy(id_col).agg(F.min("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = stats.join(marked, id_col).groupBy(id_col).agg(F.min(F.struct(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], "_label")).alias("x"))
+    sample = stats.where(~failed).join(marked, id_col).groupBy(id_col).agg(F.min(F.struct(*[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()], "_label")).alias("x"))
     sample = sample.orderBy(F.xxhash64(id_col), id_col).select("x.*").collect()  # rows at most
     x = {n: np.array([r[n] for r in sample]) for n in FEATURES}
     bad = np.array([r["_label"] != 1 for r in sample], dtype=bool)
     rules = learn(x, bad) if len(sample) else []
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         stats.withColumn("base_failed", failed)
         .withColumn("rule", rule_number(rules))

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import quality_rules as Q
 
+#: Words of marks that repeat none of one another.
+MARKS = "".join(f" #{k}$$&&" for k in range(20))
+
 
 def brute(text):
     text = text or ""
@@ -35,9 +38,28 @@ def test_learned_rules_separate_what_a_conjunction_can():
     assert Q.learn(x, rng.random(3000) < 0.1) == []
 
 
+def test_one_condition_for_each_side_of_a_statistic():
+    c = Q.Condition
+    rule = (c("a", True, 0.2), c("b", False, 5.0), c("a", True, 0.9), c("a", False, 3.0), c("b", False, 7.0))
+    assert Q.tightened(rule) == (c("a", True, 0.9), c("b", False, 5.0), c("a", False, 3.0))
+
+
+def test_rules_are_learned_on_what_passes_the_base(spark):
+    """Bad rows that fail the base rules, or good ones, neither teach a rule nor hide one."""
+    clean = "the quick river flows over many different stones while amber clouds drift along the valley towards evening and nobody minds it at all"
+    rows = [(i, f"{clean} {i} {i * 7}" + (MARKS if i % 4 == 0 else "")) for i in range(200)]
+    short = [(i, "### && $$ " * (i % 3)) for i in range(1000, 1400)]
+    labels = [(i, int(i % 4 != 0)) for i in range(200)]
+    docs, schema = "doc_id long, text string", "doc_id long, quality int"
+    want = {r.doc_id: (r.kept, r.rule) for r in Q.judged(spark.createDataFrame(rows, docs), spark.createDataFrame(labels, schema)).collect()}
+    for good in (0, 1):
+        got = {r.doc_id: (r.kept, r.rule) for r in Q.judged(spark.createDataFrame(rows + short, docs), spark.createDataFrame(labels + [(i, good) for i, _ in short], schema)).collect()}
+        assert {i: got[i] for i in want} == want
+
+
 def test_judged(spark):
     clean = "the quick river flows over many different stones while amber clouds drift along the valley towards evening and nobody minds it at all"
-    rows = [(i, f"{clean} {i} {i * 7}" + (" ### && $$ ##" * 6 if i % 4 == 0 else "")) for i in range(200)] + [(900, None), (901, "short")]
+    rows = [(i, f"{clean} {i} {i * 7}" + (MARKS if i % 4 == 0 else "")) for i in range(200)] + [(900, None), (901, "short")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)] + [(5, 1, 0), (None, 0, 0), (7000, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in Q.judged(docs, labels).collect()}
@@ -53,7 +75,7 @@ def test_without_labels_or_documents(spark):
 
 def test_disagreeing_labels_and_repeated_ids(spark):
     clean = "the quick river flows over many different stones while amber clouds drift along the valley towards evening and nobody minds it at all"
-    rows = [(i, f"{clean} {i} {i * 7}" + (" ### && $$ ##" * 6 if i % 4 == 0 else "")) for i in range(200)]
+    rows = [(i, f"{clean} {i} {i * 7}" + (MARKS if i % 4 == 0 else "")) for i in range(200)]
     labels = [(i, int(i % 4 != 0)) for i in range(200)]
     schema = "doc_id long, quality int"
     more = labels + [(i, 1) for i in range(0, 200, 8)]
