@@ -1,7 +1,8 @@
 """Intermediate tables in storage that driver and executors share, and gapless numbers of sorted rows.
 
 A table written out cuts the plan, outlives lost executors, and is read by as many
-parts of a screen as need it. What is stored inside ``temporary`` is deleted at its end, but for what is ``kept``.
+parts of a screen as need it. What is stored inside ``temporary`` is deleted at its end, but for what is ``kept``. All that is left goes when the
+driver ends: plans that read it end with it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_delete_left)
+    _left[path] = spark
+    return path
+
+
+_left: dict[str, SparkSession] = {}
+
+
+def _delete_left() -> None:
+    for path, spark in list(_left.items()):
+        with suppress(Exception):  # the JVM may have gone before
+            delete(spark, path)
 
 
 _open: list[list[str]] = []
@@ -62,7 +77,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(place, True)
+    _left.pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
