@@ -1,6 +1,6 @@
 """Files to rows of text cells. Delimited files are read in splits (``delimited``). Of other formats a task reads whole files, one at a time, and gives a row per table row.
 
-Formats without a reader here (the old Excel format, MATLAB, PDF) give a status row, as does anything that
+Formats without a reader here (the old Excel format, PDF) give a status row, as does anything that
 can't be read: a file is never left out in silence.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.delimited import read_delimited
+from plumbline.sources.matrices import variables
 from plumbline.sources.store import numbered as ordered
 
 #: columns is null where the header has to be found among the rows.
@@ -49,34 +50,73 @@ def read_points(name: str, data: bytes, kind: str, confidence: str):
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _shared(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    out = []
+    with book.open("xl/sharedStrings.xml") as part:
+        for _, item in ET.iterparse(part):
+            if item.tag == f"{_NS}si":
+                out.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
+                item.clear()
+    return out
+
+
+def _column(reference: str | None) -> int:
+    """The number, from 0, of a cell's column; -1 if it isn't said."""
+    at = 0
+    for letter in re.match("[A-Z]*", reference or "")[0]:
+        at = at * 26 + ord(letter) - 64
+    return at - 1
+
+
+def _sheet_rows(part, shared: list[str]) -> Iterator[list[str]]:
+    """A sheet's rows, from its XML as a stream: each row's elements are let go when it is read."""
+    number, parents = 0, []
+    for event, found in ET.iterparse(part, events=("start", "end")):
+        if event == "start":
+            parents.append(found)
+            continue
+        parents.pop()
+        if found.tag != f"{_NS}row":
+            continue
+        cells: dict[int, str] = {}
+        for c in found.iter(f"{_NS}c"):
+            at, value = _column(c.get("r")), c.find(f"{_NS}v")
+            at = at if at >= 0 else max(cells, default=-1) + 1
+            if c.get("t") == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+            elif value is not None:
+                cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text or ""
+        for _ in range(number + 1, int(found.get("r") or number + 1)):
+            number += 1
+            yield []
+        number += 1
+        yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+        if parents:
+            parents[-1].remove(found)
+
+
 def read_xlsx(name: str, data: bytes):
-    """Every sheet of a workbook, from its XML."""
+    """Every sheet of a workbook that has a text, a row at a time. Shared strings are held, once each."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        files = set(book.namelist())
-        shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")] if "xl/sharedStrings.xml" in files else []
+        shared = _shared(book)
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         number = 0
         for sheet in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
             target = links[sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")].lstrip("/")
-            rows: list[list] = []
-            for r in ET.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_NS}row"):
-                cells: dict[int, str] = {}
-                for c in r.iter(f"{_NS}c"):
-                    at = 0
-                    for letter in re.match("[A-Z]*", c.get("r") or "")[0]:
-                        at = at * 26 + ord(letter) - 64
-                    at = at - 1 if at else len(cells)
-                    value = c.find(f"{_NS}v")
-                    if c.get("t") == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
-                    elif value is not None:
-                        cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text or ""
-                while len(rows) < int(r.get("r") or len(rows) + 1) - 1:
-                    rows.append([])
-                rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-            if any(x for row in rows for x in row):
-                yield from _listed("table", "raw_table", sheet.get("name"), number, rows)
-                number += 1
+            with book.open(target if target.startswith("xl/") else f"xl/{target}") as part:
+                blank, any_text = 0, False
+                for i, row in enumerate(_sheet_rows(part, shared)):
+                    if not any_text and not any(row):
+                        blank += 1  # rows before the first text: of a sheet without any, none is given
+                        continue
+                    if not any_text:
+                        any_text = True
+                        for k in range(blank):
+                            yield "table", "raw_table", sheet.get("name"), number, k, [], None, None, None
+                    yield "table", "raw_table", sheet.get("name"), number, i, row, None, None, None
+                number += any_text
 
 
 def read_json(name: str, data: bytes):
@@ -115,13 +155,16 @@ def read_numpy(name: str, data: bytes):
 
 
 def read_mat(name: str, data: bytes):
-    try:
-        from scipy.io import loadmat
-    except ImportError:
-        yield from _status("array", "not_extracted", name, "scipy dependency missing", "MATLAB files need scipy.")
-        return
-    for i, (key, value) in enumerate((k, v) for k, v in loadmat(io.BytesIO(data)).items() if not k.startswith("__")):
-        yield from _array(key, i, value)
+    """Numeric variables of a level-5 file; a status row for each other one."""
+    number = 0
+    for key, value in variables(data):
+        if isinstance(value, str):
+            yield from _status("array", "metadata_only", key, "mat_not_numeric", f"{key}: a variable of class {value} was left out.")
+        else:
+            yield from _array(key, number, value)
+            number += 1
+    if not number:
+        yield from _status("array", "metadata_only", name, "mat_no_arrays", "The file has no numeric variable.")
 
 
 def read_pdf(name: str, data: bytes):
@@ -166,12 +209,20 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.strip().split()[0] for f in ROWS.split(", ")]
     for batch in batches:
         for path, as_path, data, kind in zip(batch["path"], batch["as_path"], batch["content"], batch["kind"], strict=True):
-            try:
-                rows = list(read_file(path, bytes(data) if data is not None else b"", kind))
-            except Exception as e:  # one unreadable file is a status row, not the end of the job
-                rows = list(_status("table", "not_extracted", path.rsplit("/", 1)[-1], "unreadable", f"{type(e).__name__}: {e}"))
-            for at in range(0, len(rows), 20_000):
-                yield pd.DataFrame([(as_path, *r) for r in rows[at : at + 20_000]], columns=names)
+            rows = read_file(path, bytes(data) if data is not None else b"", kind)
+            part: list[tuple] = []
+            while True:
+                try:
+                    row = next(rows, None)
+                except Exception as e:  # one unreadable file is a status row, not the end of the job
+                    row, rows = next(_status("table", "not_extracted", path.rsplit("/", 1)[-1], "unreadable", f"{type(e).__name__}: {e}")), iter(())
+                if row is not None:
+                    part.append((as_path, *row))
+                if part and (row is None or len(part) == 20_000):
+                    yield pd.DataFrame(part, columns=names)
+                    part = []
+                if row is None:
+                    break
 
 
 def extract_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
