@@ -104,6 +104,8 @@ def _equal_windows(windows: DataFrame, units: DataFrame) -> DataFrame:
     keyed = windows.join(units, ["d", "t"]).select("d", "t", "q", "n", F.xxhash64(inside).alias("h"), F.xxhash64(F.lit(1), F.reverse(inside)).alias("h2"))
     keyed = stored(keyed, "stock")
     first = keyed.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "q")).alias("f"), F.count("*").alias("places")).where("places > 1").select("h", "h2", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.q").alias("q0"))
+    # Written, so that the join reads both sides as they are dealt, and a passage of very many copies can be split.
+    first = stored(first, "firsts")
     later = keyed.join(first, ["h", "h2"]).where("not (d = d0 and t = t0 and q = q0)")
     return later.select("d", "t", F.col("q").cast("int").alias("b"), (F.col("q") + F.col("n") - 1).cast("int").alias("e"))
 
