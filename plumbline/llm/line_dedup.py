@@ -35,13 +35,12 @@ from plumbline.llm.common import discard, stored
 
 #: Positions of a fingerprint up to which each is held against all earlier ones.
 FEW = 4
-_SPACE = "[\\x20\\x09-\\x0D]+"
+_WORD = "[^\\x20\\x09-\\x0D]++"
 
 
 def n_words(line: Column) -> Column:
     """Runs of other characters than white space."""
-    parts = F.size(F.split(line, _SPACE))
-    return F.when(line == "", 0).otherwise(parts - line.rlike("^" + _SPACE).cast("int") - line.rlike(_SPACE + "$").cast("int"))
+    return F.regexp_count(line, F.lit(_WORD))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
