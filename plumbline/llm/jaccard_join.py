@@ -449,9 +449,10 @@ def jaccard_join(
     discard(kept, signed, sketches)
     release(spark)
 
-    sizes = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
+    # Blocks of several chunks, each of over ``chunk`` documents: written, so that their number is known and the many members of one aren't dealt by it.
+    sizes = stored(blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("several")).where("several > 1"), "sizes")
     members = (
-        blocks.join(sizes, "root")
+        blocks.join(sizes, "root", "left").withColumn("chunks", F.coalesce("several", F.lit(1).cast("long"))).drop("several")
         .join(reps, "node")
         .select("row", F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("c"), "chunks", "copies", F.col("node").alias("id"))
     )
