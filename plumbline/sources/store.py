@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,14 +56,19 @@ _open: list[list[str]] = []
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again, for whoever calls."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """df written as Parquet to the shared folder and read again, for whoever calls. Its rows are counted by the job that writes them."""
+    path, seen = work_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._plumbline_path = path
+    out._plumbline_path, out._plumbline_seen = path, seen
     return out
 
 
+def rows_in(table: DataFrame) -> int:
+    """The number of rows of a ``kept`` table; no job is run."""
+    return table._plumbline_seen.get["rows"]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As ``kept``, but goes at the end of the ``temporary`` block that it is made in."""
     path = work_path(df.sparkSession, name)

@@ -5,7 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from plumbline.sources.store import kept, stored, temporary
+from plumbline.sources.store import kept, rows_in, stored, temporary
 
 RUN = """
 import sys
@@ -32,3 +32,10 @@ def test_with_the_block(spark):
         a, b = stored(spark.range(3), "a"), kept(spark.range(3), "b")
         assert os.path.exists(place(a))
     assert not os.path.exists(place(a)) and b.count() == 3
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    a, b = kept(spark.range(0, 1000, 1, 7).where("id % 3 = 0"), "a"), kept(spark.range(0), "b")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert (rows_in(a), rows_in(b)) == (334, 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
