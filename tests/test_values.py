@@ -24,3 +24,28 @@ def test_texts_are_counted_before_the_shuffle_and_first_rows_are_found(spark):
     assert '"top_repeated_values":[{"value":"0.5","count":120' in found.details
     rows = [x.split(",")[0] for x in found.details.split('"row_index":')[1:]]
     assert rows == ["2", "4", "5", "8", "10", "11", "14", "16"]
+
+
+def test_checks_gather_numbers_in_parts_and_look_texts_up(spark, monkeypatch):
+    monkeypatch.setattr(audits, "CHECKED", 100)
+    n = 200
+    table = {"t": {"length": [2] * n, "width": [3] * n, "volume": ["50" if i % 50 == 7 else "9" for i in range(n)]}, "u": {"length of volume": [2.0] * 9, "width": [5] * 9}}
+    hits, rows = audits._checks(cells(spark, table))
+    got = {r.table_name: (r.n, r.details.mismatch_count) for r in hits.collect()}
+    assert got == {"t": (n, 4), "u": (9, 9)}  # a column may be the length and the volume
+    assert [(r.example.row_index, r.example.cell, r.example.value) for r in rows.where("table_index = 0").orderBy("pos").collect()] == [(i + 2, f"C{i + 2}", "50") for i in (7, 57, 107, 157)]
+
+
+def test_a_table_of_several_splits_is_not_written_again_by_each_pass(spark, tmp_path, monkeypatch):
+    from plumbline.sources import melt
+
+    spark.range(1000).write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    monkeypatch.setattr(melt, "SMALLEST", 0)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", f"{size // 2}b")
+    try:
+        assert melt.spread(df) is df
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
