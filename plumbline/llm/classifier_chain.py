@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +179,7 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
         return nothing
     bucket = some["bucket"].to_numpy()
     counts = np.stack([some[f"s{i}"].to_numpy() for i in range(width)]).reshape(1 + len(names), FOLDS, -1)
-    present = np.array(sorted(r["id"] for r in texts.select("id").collect()), dtype=np.int64)  # rows at most
+    present = np.sort(texts.select("id").toArrow()["id"].to_numpy())  # rows at most
     here, in_fold = truth[np.searchsorted(ids, present)], _fold(present)
     sets = []
     for k in range(FOLDS + 1):  # the last one is for the models that score: all folds
@@ -193,12 +194,15 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     if not len(best):
         return nothing
     chosen = spark.sparkContext.broadcast(number)
-    got = sorted((r["id"], r["found"]) for r in texts.mapInArrow(_sparse(chosen), "id long, found array<int>").collect())
-    n = len(got)
-    row = np.repeat(np.arange(n), [len(f) for _, f in got])
-    feature = np.concatenate([np.array(f, dtype=np.int64) for _, f in got]) if n else np.empty(0, dtype=np.int64)
-    truth = truth[np.searchsorted(ids, [i for i, _ in got])]
-    fold = _fold(np.array([i for i, _ in got], dtype=np.int64))
+    del some, counts
+    # As arrays, not as lists of numbers, each of which would be an object of the driver.
+    got = texts.mapInArrow(_sparse(chosen), "id long, found array<int>").toArrow().sort_by("id")
+    n, key = got.num_rows, got["id"].to_numpy()
+    row = np.repeat(np.arange(n), pc.list_value_length(got["found"]).to_numpy())
+    feature = pc.list_flatten(got["found"]).to_numpy().astype(np.int64)
+    del got
+    truth = truth[np.searchsorted(ids, key)]
+    fold = _fold(key)
     before = np.zeros((n, 0))
     models, thresholds, scores = [], [], []
     for c in range(len(names)):
