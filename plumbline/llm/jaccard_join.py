@@ -14,8 +14,9 @@ How the work is split
     the n shingles of a document, so it is on one at least of the
     ``n - T + 1`` shortest of the document's lists, and on ``extra + 1`` of the
     ``n - T + 1 + extra`` shortest. Shingles are ordered by their frequency
-    (frequent ones, as counted in all batches of the first pass, last; ties by
-    hash), and only this head of each document is posted.
+    (frequent ones last; ties by hash), and only this head of each document is posted. Frequent ones are those that come twice in a batch of the
+    first pass. In a larger table ever more shingles are on long lists and yet in no batch twice, so the posted lists are counted, those that
+    are long go to the end of the order, and heads are made anew (``RECOUNTS`` times, or until no list is long).
 3.  Short posted lists (up to ``short_list`` documents) are merged: pairs on
     them count their common lists, and those under ``extra + 1``, or under the T of the larger set
     where that is less, go. A document on a longer list would have too many
@@ -60,6 +61,8 @@ from plumbline.llm.textkernel import mix, shingle_sets, space_separated
 MOST_FREQUENT = 500_000
 #: A shingle is noted as frequent when so many documents of one batch have it.
 NOTED = 2
+#: Times that posted lists are counted before they are joined.
+RECOUNTS = 2
 #: Weight of a look-up against a merge step in DivideSkip's choice of L. Look-ups take a whole array of candidates at
 #: once, steps of the heap one posting each, some hundred times as long.
 MU = 0.002
@@ -106,6 +109,16 @@ def _digests(k: int):
     return run
 
 
+def most_frequent(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in their order and how frequent each is, by the largest of its counts; the ``MOST_FREQUENT`` ones."""
+    order = np.lexsort((-counts, tokens))
+    tokens, counts = tokens[order], counts[order]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+    tokens, counts = tokens[first], counts[first]
+    most = np.sort(np.argsort(-counts, kind="stable")[:MOST_FREQUENT])
+    return tokens[most], counts[most]
+
+
 def sketch(s: np.ndarray) -> bytes:
     """A bit for each remainder of shingles: whether an odd number of them has it. As many bits as the set has shingles or more, a power of two.
 
@@ -404,18 +417,27 @@ def jaccard_join(
 
     first = stored(texts.mapInArrow(_digests(k), "id long, row binary, n long, d1 long, d2 long, noted boolean"), "digests")
     sets = first.where("not noted").drop("noted")
-    noted = first.where("noted").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST_FREQUENT).toArrow()
-    tokens = noted["d1"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order], noted["n"].to_numpy()[order]))
+    told = lambda of: (of["token"].to_numpy().view(np.uint64), of["n"].to_numpy())
+    often = told(first.where("noted").groupBy(F.col("d1").alias("token")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow())
 
     # A class of equal sets: its smallest id, the row that stands for it, its number.
     same = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("low"), F.min("row").alias("row"), F.count("*").alias("copies"))
     same = stored(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     reps = same.where(f"n >= {least_size(percent)}").select("row", "node", "copies")
 
-    heads = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row binary, n long, head array<long>, s binary")
-    heads = stored(heads.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", "head", "s"), "heads")
+    def headed() -> DataFrame:
+        frequent = spark.sparkContext.broadcast(most_frequent(*often))
+        made = texts.select("row", "text").mapInArrow(_heads(k, percent, extra, frequent), "row binary, n long, head array<long>, s binary")
+        return made.where("head is not null").dropDuplicates(["row"]).join(reps.select("row", "node"), "row").select("node", "n", "head", "s")
+
+    for _ in range(RECOUNTS):
+        counts = headed().select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > short_list)
+        long = told(counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow())
+        release(spark)
+        if not len(long[0]):
+            break
+        often = tuple(np.concatenate(x) for x in zip(often, long, strict=True))
+    heads = stored(headed(), "heads")
     posted = heads.select("node", "n", F.explode("head").alias("token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     kept = stored(posted.join(lists, "token"), "lists")

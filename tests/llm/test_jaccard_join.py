@@ -154,3 +154,26 @@ def test_crafted_words_do_not_link(spark):
     found = [w for p in pairs for w in p] + [f"a b {w} c d" for p in pairs for w in p]
     got = sorted(map(tuple, J.jaccard_join(documents(spark, found), 3, 90).collect()))
     assert got == brute(found, 3, 90) and all(r[3] == 0 for r in got)
+
+
+def test_a_passage_that_no_batch_holds_twice_goes_to_the_end_of_the_order(spark, monkeypatch):
+    shared = [f"s{i}" for i in range(14)]
+    texts = [" ".join([f"w{d}x{i}" for i in range(40)] + shared) for d in range(60)]
+    texts.append(texts[7] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, real = {}, J.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r.doc_id: (r.component_id, r.n_links) for r in J.jaccard_join(docs, short_list=8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {d: (7, 1) if d in (7, 60) else (d, 0) for d in range(61)}
+    assert rows["signatures"] == 0  # each document has enough shingles of its own
