@@ -157,7 +157,7 @@ def test_crafted_words_do_not_link(spark):
 
 
 def test_a_passage_that_no_batch_holds_twice_goes_to_the_end_of_the_order(spark, monkeypatch):
-    shared = [f"s{i}" for i in range(14)]
+    shared = [f"s{i}" for i in range(8)]
     texts = [" ".join([f"w{d}x{i}" for i in range(40)] + shared) for d in range(60)]
     texts.append(texts[7] + " more")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
