@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import audits, values
 from tests.test_screen import cells
 
@@ -49,3 +51,50 @@ def test_a_table_of_several_splits_is_not_written_again_by_each_pass(spark, tmp_
         assert melt.spread(df) is df
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def melted_cells(spark, n=60):
+    """A melted table with odd fields, and the same cells without their tables."""
+    from plumbline.sources.melt import Melt, melt_all
+
+    odd = [None, -0.0, 0.0, 0.011, 0.012, -3.0, 100.0, 1e9, 7.5]
+    rows = [(i * 3, odd[i % 9], i if i % 4 else None, odd[(i * 2) % 9], 0.5 if i in (1, 2, 58) or i > 50 else 0.7) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b int, t double, late double")
+    tables = {"x": df, "none": df.limit(0)}
+    cells = melt_all(tables, [Melt("x", 0, "id", {"a": "fixed", "b": "whole", "t": "text", "late": "trimmed"}, "signal"), Melt("none", 1, "id", {"a": "trimmed"})])
+    return cells, cells.select("*")
+
+
+def test_fields_of_melted_tables_are_counted_before_they_are_printed(spark):
+    from plumbline.sources import melt
+
+    cells, plain = melted_cells(spark)
+    assert melt.melted(plain) is None
+    made = melt.counts(melt.melted(cells))
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(values.counted(cells)) == rows(values.counted(plain)) != []
+    assert rows(melt.named(cells, ["table_index", "table_name", "col_i", "column", "column_context"])) == rows(melt.named(plain, ["table_index", "table_name", "col_i", "column", "column_context"]))
+
+
+def test_melted_cells_have_the_findings_of_cells(spark):
+    cells, plain = melted_cells(spark)
+    for screen in (audits.last_digit_distribution, audits.decimal_tail_regularity, audits.column_screens):
+        rows = [sorted(map(tuple, screen(c).collect()), key=str) for c in (cells, plain)]
+        assert rows[0] == rows[1] != []
+
+
+def test_first_cells_are_found_where_rows_of_a_key_are_uneven(spark, monkeypatch):
+    looked = []
+    monkeypatch.setattr(values, "narrowed", lambda cells, bounds: looked.append(1) or cells)
+    n = 2000
+    table = {"late": ["1" if i == 0 or i > 1900 else "x" for i in range(n)], "even": [str(i % 5) for i in range(n)], "few": ["9" if i in (3, 900) else "x" for i in range(n)], "many": [str(i % 50) for i in range(n)]}
+    made = cells(spark, {"t": table})
+    texts = values.counted(made).withColumn("key", F.lit("k"))
+    got = values.first_cells(texts, made, [*values.COLUMN, "key"], 8).orderBy("col_i", "k").collect()
+    expected = [[i for i in range(n) if v[i] != "x"][:8] for v in table.values()]
+    assert [[r.row_i for r in got if r.col_i == c] for c in range(4)] == expected
+    assert len(looked) == 2  # once within bounds, once for the key that came short
+    looked.clear()
+    values.first_cells(texts.where("col_i <> 0"), made, [*values.COLUMN, "key"], 8)
+    assert len(looked) == 1
