@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from plumbline import queries as Q
@@ -88,3 +89,13 @@ def test_captions_and_notices_read_the_whole_text(spark, tmp_path):
     assert got == {("Fig.9", 1, "a,d")} | {(f"{x}Fig.{n}", 1, p) for n in (1, 2, 3) for x, p in (("", "a,b"), ("ED ", "c"))}
     found = {r.text: r.articles for r in Q.notices(spark, str(tmp_path)).collect()}
     assert found == {f"An Author Correction to this article was published on {x}": n for x, n in (("3 May 2021", 3), ("4 June 2022", 1))}
+
+
+def test_documents_with_headings_of_their_own(spark, tmp_path):
+    texts = [None, "", " \n\n", "a\nIntroduction\nb", "see Data availability\n References: x\nb", "Fig. 1 shows\nFig. 1: a, b", "1x\nfig. 1\n", "\ue0001a\ue000\nReferences", "plain  text"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = Q.sections(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({Q.ORACLE_SQL['sections']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
