@@ -1,10 +1,15 @@
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline import queries
 from plumbline.operators import audits, values
 from tests.test_screen import cells
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_steps_over_parts_of_a_column_carry_places_and_values_alone(spark, monkeypatch):
     monkeypatch.setattr(values, "PART", 40)
@@ -98,3 +103,17 @@ def test_first_cells_are_found_where_rows_of_a_key_are_uneven(spark, monkeypatch
     looked.clear()
     values.first_cells(texts.where("col_i <> 0"), made, [*values.COLUMN, "key"], 8)
     assert len(looked) == 1
+
+
+@pytest.mark.parametrize("name", ["arithmetic_sequence", "duplicate_values", "formula_check"])
+def test_order_keys_that_no_long_can_pack(spark, tmp_path, name):
+    """Keys moved by 97 * 2^20 leave the order of rows as it is, and exceed what the packed number may have in a long."""
+    con = duckdb.connect()
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(t)
+        con.sql(f"COPY (SELECT * {f'REPLACE ({key} + {97 << 20} AS {key})' if key else ''} FROM {t}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    rounded = lambda rows: sorted(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in rows)
+    assert rounded(map(tuple, got.collect())) == rounded(want)
